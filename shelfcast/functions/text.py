@@ -18,6 +18,8 @@ UNKNOWN_PUBLISHER_SENTENCE = (
     "Based on the publisher '%s', which has no historical data in our Epic Games dataset, we cannot make a "
     "reliable prediction. Industry average suggests approximately %d years and %d months."
 )
+NO_TEXT = "None"
+NO_NUMBER = "nan"
 WITHOUT_SCORE = "without an available Metacritic score"
 WITH_SCORE = "with a Metacritic score of "
 SHORT_NAMES = {"epic": "Epic", "gamepass": "Xbox", "psplus": "PS Plus", "humble": "Humble"}
@@ -37,7 +39,7 @@ def number_text(x: Column) -> Column:
 
 def fixed(x: Column, digits: int) -> Column:
     """A fixed number of decimals, halves up."""
-    return F.format_string(f"%.{digits}f", round_half_up(x, digits))
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", round_half_up(x, digits)))
 
 
 def plural(n: Column) -> Column:
@@ -70,8 +72,8 @@ def known_publisher_sentence(
         plural(average_years),
         average_months,
         plural(average_months),
-        fixed(average_score, 1),
-        game,
+        F.coalesce(fixed(average_score, 1), F.lit(NO_NUMBER)),
+        F.coalesce(game, F.lit(NO_TEXT)),
         score_phrase(score),
         years,
         plural(years),
@@ -83,7 +85,7 @@ def known_publisher_sentence(
 
 
 def unknown_publisher_sentence(publisher: Column, years: Column, months: Column) -> Column:
-    return F.format_string(UNKNOWN_PUBLISHER_SENTENCE, publisher, years, months)
+    return F.format_string(UNKNOWN_PUBLISHER_SENTENCE, F.coalesce(publisher, F.lit(NO_TEXT)), years, months)
 
 
 def month_duration(months: Column) -> Column:
