@@ -35,7 +35,8 @@ def whole_months(years: Column) -> Column:
 
 
 def lower_bound(years: Column) -> Column:
-    return F.greatest(years * LOWER_FACTOR, F.lit(LOWER_FLOOR))
+    lower = years * LOWER_FACTOR
+    return F.when(lower < LOWER_FLOOR, F.lit(LOWER_FLOOR)).otherwise(lower)
 
 
 def upper_bound(years: Column) -> Column:

@@ -34,6 +34,11 @@ def category(months: Column) -> Column:
     )
 
 
+def not_negative(x: Column) -> Column:
+    """At least 0; null stays null."""
+    return F.when(x < 0, F.lit(0.0)).otherwise(x)
+
+
 def tiered_estimates(
     items: DataFrame,
     history: DataFrame,
@@ -70,9 +75,8 @@ def tiered_estimates(
     )
     # an item without a release date starts waiting now
     start = F.coalesce(F.col("released"), as_of)
-    zero = F.lit(0.0)
-    repeat_days = F.greatest(F.datediff("last_on", as_of) + F.col("mean_gap_days"), zero)
-    model_days = F.greatest(F.datediff(start, as_of) + F.col("total_days"), zero)
+    repeat_days = not_negative(F.datediff("last_on", as_of) + F.col("mean_gap_days"))
+    model_days = not_negative(F.datediff(start, as_of) + F.col("total_days"))
     # the steadier the publisher, the higher; none without a spread
     steadiness = round_half_up(100 * (1 - F.least(F.col("consistency"), F.lit(1.0)))).cast("int")
 

@@ -114,8 +114,10 @@ def _through_hot_sets(searches: DataFrame, listed: DataFrame, size: int) -> Data
     """
     wanted = searches.where(F.size("hot") > 0)
     largest = wanted.agg(F.max(F.size("hot"))).scalar()
-    holding = listed.where(F.size("hot") > 0).select(
-        "title_words", *_ranking_columns(), F.explode(subsets(F.col("hot"), largest)).alias("hot_set")
+    holding = (
+        listed.where(F.size("hot") > 0)
+        .withColumn("largest", largest)
+        .select("title_words", *_ranking_columns(), F.explode(subsets(F.col("hot"), F.col("largest"))).alias("hot_set"))
     )
     best = Window.partitionBy("hot_set").orderBy("n_words", "n_chars", "game_id")
     # tasks cut to ``size`` titles per set before the shuffle
