@@ -37,17 +37,23 @@ def with_outcome_source(
     )
 
 
-def accepted_votes(
+def with_votes(
     requests: DataFrame, period_us: int = COOLDOWN_US, hot_rows: int | None = HOT_ROWS, bands: int = BANDS
 ) -> DataFrame:
-    """Requests that count as a vote: one per client, game, platform and hour.
+    """Adds ``voted``: one vote counts per client, game, platform and hour.
 
-    Local traffic always counts and starts no cooldown.
+    Local traffic always counts, starts no cooldown and is not shuffled.
     """
     remote = requests.where(~F.col("is_local")).withColumns(
         {"at_us": F.unix_micros("ts"), "id": F.col("request_id"), "eligible": F.lit(True)}
     )
-    counted = period_openers(remote, ["client_ip", "game_key", "platform"], period_us, hot_rows, bands).where(
-        F.col("opener_id") == F.col("id")
-    )
-    return counted.select(*requests.columns).unionByName(requests.where("is_local"))
+    judged = period_openers(remote, ["client_ip", "game_key", "platform"], period_us, hot_rows, bands)
+    local = requests.where("is_local").withColumn("voted", F.lit(True))
+    return judged.select(*requests.columns, (F.col("opener_id") == F.col("id")).alias("voted")).unionByName(local)
+
+
+def accepted_votes(
+    requests: DataFrame, period_us: int = COOLDOWN_US, hot_rows: int | None = HOT_ROWS, bands: int = BANDS
+) -> DataFrame:
+    """The requests that count as a vote."""
+    return with_votes(requests, period_us, hot_rows, bands).where("voted").drop("voted")

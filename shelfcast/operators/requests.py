@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions.text import filled
 
-# Key prefixes, the default platform and local addresses.
+# Key prefixes, the default platform and what local addresses look like.
 ANY_PLATFORM = "any"
 RESULT_PREFIX = "predict"
 COOLDOWN_PREFIX = "rate_limit"
-LOCAL_ADDRESSES = ["::1", "127.0.0.1"]
-LOCAL_NAME = "localhost"
+LOCAL = r"^(?:|::1|127\.0\.0\.1)\z|localhost"
 STATUS_MISSING_GAME = 400
 
 
@@ -27,28 +26,26 @@ def cooldown_key(client_ip: Column, game: Column, platform: Column) -> Column:
 
 def client_address(forwarded_for: Column, remote_addr: Column) -> Column:
     """First forwarded address, blanks included; the peer address if there is none."""
-    return F.coalesce(filled(F.split(forwarded_for, ",")[0]), remote_addr)
+    return F.coalesce(filled(F.substring_index(forwarded_for, ",", 1)), remote_addr)
 
 
 def is_local(client_ip: Column) -> Column:
-    return F.coalesce(
-        (client_ip == "") | client_ip.isin(LOCAL_ADDRESSES) | client_ip.contains(LOCAL_NAME), F.lit(True)
-    )
+    """No address at all counts as local. One pattern, so the address is worked out once."""
+    return F.coalesce(client_ip.rlike(LOCAL), F.lit(True))
 
 
 def with_keys(requests: DataFrame) -> DataFrame:
     """Adds game, platform, game_key, client_ip and is_local; every row stays."""
-    game = F.coalesce(filled(F.col("query_game")), filled(F.col("body_game_name")))
-    platform = F.coalesce(filled(F.col("query_platform")), filled(F.col("body_platform")), F.lit(ANY_PLATFORM))
-    client_ip = client_address(F.col("forwarded_for"), F.col("remote_addr"))
-    return requests.withColumns(
-        {
-            "game": game,
-            "platform": platform,
-            "game_key": F.lower(game),
-            "client_ip": client_ip,
-            "is_local": is_local(client_ip),
-        }
+    return (
+        requests.withColumns(
+            {
+                "game": F.coalesce(filled(F.col("query_game")), filled(F.col("body_game_name"))),
+                "platform": F.coalesce(filled(F.col("query_platform")), filled(F.col("body_platform")), F.lit(ANY_PLATFORM)),
+                "client_ip": client_address(F.col("forwarded_for"), F.col("remote_addr")),
+            }
+        )
+        # a second step, so that the columns above are computed once
+        .withColumns({"game_key": F.lower("game"), "is_local": is_local(F.col("client_ip"))})
     )
 
 

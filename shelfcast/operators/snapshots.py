@@ -47,8 +47,14 @@ def is_expired(as_of: Column, retention: str = RETENTION) -> Column:
 
 
 def surviving(snapshot: DataFrame, as_of: Column, retention: str = RETENTION) -> DataFrame:
-    """A plain comparison on the column, so that it reaches the scan."""
-    return snapshot.where(~is_expired(as_of, retention))
+    """A plain comparison on the column, so that it reaches the scan.
+
+    On a snapshot laid out by ``created_on`` only the surviving days are read.
+    """
+    kept = snapshot.where(F.col("created_at") >= as_of - F.expr(retention))
+    if "created_on" in snapshot.columns:
+        kept = kept.where(F.col("created_on") >= F.to_date(as_of - F.expr(retention)))
+    return kept
 
 
 def expiry_summary(snapshot: DataFrame, as_of: Column, retention: str = RETENTION) -> DataFrame:

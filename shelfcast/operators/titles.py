@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE_SIZE = 5
-HOT_PAIRS = 100_000_000
+HOT_PAIRS = 1_000_000
 MAX_HOT_WORDS = 1_000
 
 

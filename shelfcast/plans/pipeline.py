@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.operators import requests as rq
 from shelfcast.operators.catalogue import release_month, release_year
-from shelfcast.operators.demand import ERROR, HIT, MISS, accepted_votes, with_outcome_source
+from shelfcast.operators.demand import ERROR, HIT, MISS, with_outcome_source, with_votes
 from shelfcast.operators.keyed_scan import HOT_ROWS
 from shelfcast.operators.scoring import FAILED, RESULT_FIELDS, estimates, feature_rows, publisher_features
 from shelfcast.session import new_path
@@ -36,16 +36,21 @@ def answered(requests: DataFrame, stats: DataFrame, codes: DataFrame, hot_rows:
     return requests.sparkSession.read.schema(decided.schema).parquet(path)
 
 
-def votable(answered_requests: DataFrame) -> DataFrame:
-    """Hits and successful misses are counted; soft errors and failures are not."""
-    return answered_requests.where(
-        (F.col("source") == HIT) | ((F.col("source") == MISS) & (F.col("outcome") == "ok"))
-    )
+def stored() -> Column:
+    """A successful miss: it was scored and its result kept."""
+    return (F.col("source") == MISS) & (F.col("outcome") == "ok")
+
+
+def with_vote_flag(answered_requests: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Hits and successful misses ask for a vote; soft errors and failures do not."""
+    asks = (F.col("source") == HIT) | stored()
+    others = answered_requests.where(~asks).withColumn("voted", F.lit(False))
+    return with_votes(answered_requests.where(asks), hot_rows=hot_rows).unionByName(others)
 
 
 def scored_results(answered_requests: DataFrame, stats: DataFrame, codes: DataFrame) -> DataFrame:
     """The estimate of every request that was passed on and succeeded, by request id."""
-    items = answered_requests.where((F.col("source") == MISS) & (F.col("outcome") == "ok")).select(
+    items = answered_requests.where(stored()).select(
         F.col("request_id").alias("stored_by"),
         F.col("game").alias("name"),
         "publisher",
@@ -62,22 +67,20 @@ def responses(
 ) -> DataFrame:
     """One answer per request: status, source, the result and whether it counted as a vote."""
     decided = answered(requests, stats, codes, hot_rows)
-    results = scored_results(decided, stats, codes)
-    votes = accepted_votes(
-        votable(decided).select("request_id", "ts", "client_ip", "game_key", "platform", "is_local"), hot_rows=hot_rows
-    ).select("request_id", F.lit(True).alias("voted"))
-    shown = F.when(F.col("source") == HIT, F.col("stored_by")).when(
-        (F.col("source") == MISS) & (F.col("outcome") == "ok"), F.col("request_id")
-    )
-    answers = (
-        decided.select("request_id", "game", "platform", "source", shown.alias("stored_by"))
-        .join(results, "stored_by", "left")
-        .join(votes, "request_id", "left")
-        .withColumn("status", F.when(F.col("source") == ERROR, STATUS_ERROR).otherwise(STATUS_OK))
-    )
-    columns = ["request_id", "status", "game", "platform", "source", "stored_by", *RESULT_FIELDS]
-    refused = rq.rejected(requests).select("request_id", "status")
+    status = F.when(F.col("source") == ERROR, STATUS_ERROR).otherwise(STATUS_OK)
+    voted = with_vote_flag(
+        decided.select(
+            "request_id", "ts", "client_ip", "game", "game_key", "platform", "is_local", "outcome", "source", "stored_by"
+        ),
+        hot_rows,
+    ).select("request_id", status.alias("status"), "game", "platform", "source", "outcome", "stored_by", "voted")
+
+    # only answers with a stored result are joined, so missing ones form no hot key
+    has_result = (F.col("source") == HIT) | stored()
+    with_result = voted.where(has_result).join(scored_results(decided, stats, codes), "stored_by", "left")
+    refused = rq.rejected(requests).select("request_id", "status", F.lit(False).alias("voted"))
     return (
-        answers.select(*columns, F.coalesce("voted", F.lit(False)).alias("voted"))
-        .unionByName(refused.withColumn("voted", F.lit(False)), allowMissingColumns=True)
+        with_result.unionByName(voted.where(~has_result), allowMissingColumns=True)
+        .unionByName(refused, allowMissingColumns=True)
+        .select("request_id", "status", "game", "platform", "source", "stored_by", *RESULT_FIELDS, "voted")
     )

@@ -24,9 +24,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests_from_events(events: DataFrame) -> DataFrame:
     """Five games draw half of the requests; the platform follows the event type."""
-    e = F.col("event_id")
-    k = F.get_json_object("props", "$.k").cast("int")
-    user = F.col("user_id") % 5
+    e, k, user = F.col("event_id"), F.col("k"), F.col("user")
     game = F.when(e % 97 == 0, F.lit("")).otherwise(
         F.concat(
             F.when(e % 3 == 0, "GAME ").otherwise("Game "),
@@ -39,27 +37,38 @@ def requests_from_events(events: DataFrame) -> DataFrame:
         .when(F.col("event_type") == "signup", "psplus")
         .when(F.col("event_type") == "purchase", "humble")
     )
+    ip = F.when(
+        user == 0,
+        F.when(e % 4 == 1, F.lit("")).when(e % 4 == 2, "::1, 172.16.0.1").when(e % 4 == 3, "localhost:3000"),
+    ).otherwise(F.concat(F.when(e % 10 == 0, " ").otherwise(""), F.lit("10.0.0."), user.cast("string"), F.lit(", 172.16.0.1")))
     # every second request carries its fields in the body, half of these an empty query text
     in_query = e % 4 < 2
     empty = F.when(e % 4 == 2, F.lit(""))
-    return events.select(
-        e.alias("request_id"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.when(in_query, game).otherwise(empty).alias("query_game"),
-        F.when(in_query, platform).otherwise(empty).alias("query_platform"),
-        F.when(~in_query, game).alias("body_game_name"),
-        F.when(~in_query, platform).alias("body_platform"),
-        F.when(
-            user == 0,
-            F.when(e % 4 == 1, F.lit("")).when(e % 4 == 2, "::1, 172.16.0.1").when(e % 4 == 3, "localhost:3000"),
+    # in steps, so that each text is parsed or built once
+    return (
+        events.select(
+            "event_id",
+            "ts",
+            "event_type",
+            (F.col("user_id") % 5).alias("user"),
+            # props is {"k": number}
+            F.rtrim(F.substring_index("props", ":", -1), F.lit("}")).cast("int").alias("k"),
+        )
+        .withColumns({"game": game, "platform": platform})
+        .select(
+            e.alias("request_id"),
+            F.col("ts").cast("timestamp").alias("ts"),
+            F.when(in_query, F.col("game")).otherwise(empty).alias("query_game"),
+            F.when(in_query, F.col("platform")).otherwise(empty).alias("query_platform"),
+            F.when(~in_query, F.col("game")).alias("body_game_name"),
+            F.when(~in_query, F.col("platform")).alias("body_platform"),
+            ip.alias("forwarded_for"),
+            F.lit("127.0.0.1").alias("remote_addr"),
+            F.concat(F.lit("Brand#"), (1 + k % 25).cast("string")).alias("publisher"),
+            F.when(k % 4 != 0, 50.0 + k % 50).alias("metacritic_score"),
+            F.when(k % 10 != 0, F.date_add(F.lit("2023-01-01").cast("date"), k)).alias("release_date"),
+            F.when(e % 7 == 0, "fail").when(e % 11 == 0, "soft_error").otherwise("ok").alias("outcome"),
         )
-        .otherwise(F.concat(F.when(e % 10 == 0, " ").otherwise(""), F.lit("10.0.0."), user.cast("string"), F.lit(", 172.16.0.1")))
-        .alias("forwarded_for"),
-        F.lit("127.0.0.1").alias("remote_addr"),
-        F.concat(F.lit("Brand#"), (1 + k % 25).cast("string")).alias("publisher"),
-        F.when(k % 4 != 0, 50.0 + k % 50).alias("metacritic_score"),
-        F.when(k % 10 != 0, F.date_add(F.lit("2023-01-01").cast("date"), k)).alias("release_date"),
-        F.when(e % 7 == 0, "fail").when(e % 11 == 0, "soft_error").otherwise("ok").alias("outcome"),
     )
 
 
