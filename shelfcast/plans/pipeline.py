@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from shelfcast.operators import requests as rq
 from shelfcast.operators.catalogue import release_month, release_year
-from shelfcast.operators.demand import ERROR, HIT, MISS, with_outcome_source, with_votes
+from shelfcast.operators.demand import ERROR, HIT, MISS, accepted_votes, with_outcome_source, with_votes
 from shelfcast.operators.keyed_scan import HOT_ROWS
+from shelfcast.operators.leaderboard import vote_counts
 from shelfcast.operators.scoring import FAILED, RESULT_FIELDS, estimates, feature_rows, publisher_features
 from shelfcast.session import new_path
+from shelfcast.sources.readers import read_leaderboard
 from shelfcast.sources.sinks import write_snapshot
 
 # Answer codes.
@@ -36,6 +38,13 @@ def answered(requests: DataFrame, stats: DataFrame, codes: DataFrame, hot_rows:
     return requests.sparkSession.read.schema(decided.schema).parquet(path)
 
 
+def counted_board(requests: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """The counter table of all accepted votes, written once; boards read it more than once."""
+    counts = vote_counts(accepted_votes(requests, hot_rows=hot_rows))
+    path = write_snapshot(counts, new_path(requests.sparkSession, "board"))
+    return read_leaderboard(requests.sparkSession, path)
+
+
 def stored() -> Column:
     """A successful miss: it was scored and its result kept."""
     return (F.col("source") == MISS) & (F.col("outcome") == "ok")

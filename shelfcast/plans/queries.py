@@ -59,7 +59,7 @@ def vote_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaderboard.vote_counts(demand.accepted_votes(vote_events(spark, sf_dir)))
+    return pipeline.counted_board(vote_events(spark, sf_dir))
 
 
 def request_time() -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,4 +71,6 @@ def parse_catalogue(records: DataFrame, body: str | Column) -> DataFrame:
 
 
 def platform_dimension(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(schemas.PLATFORM_ROWS, schemas.PLATFORMS)
+    """Four rows as a local relation, so that the planner knows how small it is."""
+    columns = dict(zip(schemas.PLATFORMS.names, zip(*schemas.PLATFORM_ROWS)))
+    return spark.createDataFrame(pa.table({name: list(values) for name, values in columns.items()}), schemas.PLATFORMS)
