@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 
 from shelfcast.operators.publishers import waits
 from shelfcast.operators.scoring import FEATURES, KNOWN
+from shelfcast.session import new_path
+from shelfcast.sources.sinks import write_snapshot
 
 
 def training_rows(appearances: DataFrame, enriched: DataFrame) -> DataFrame:
@@ -21,18 +25,35 @@ def training_rows(appearances: DataFrame, enriched: DataFrame) -> DataFrame:
     )
 
 
-def fit_model(features: DataFrame, seed: int = 42, rounds: int = 20, depth: int = 4) -> PipelineModel:
+def fit_model(features: DataFrame, seed: int = 42, rounds: int = 10, depth: int = 4) -> PipelineModel:
     """Boosted trees on the ten features; ``features`` also holds ``wait_days``.
 
-    Publisher codes come in as a column, so no label list passes through the driver.
+    Publisher codes come in as a column, so no label list passes through the
+    driver. The training rows are written once: fitting reads them repeatedly.
     """
     usable = features.where(F.col("path") == KNOWN).select(
         *[F.col(c).cast("double").alias(c) for c in FEATURES], "wait_days"
     )
+    spark = features.sparkSession
+    training = spark.read.schema(usable.schema).parquet(write_snapshot(usable, new_path(spark, "training")))
     trees = GBTRegressor(
         featuresCol="features", labelCol="wait_days", predictionCol="predicted_days", maxIter=rounds, maxDepth=depth, seed=seed
     )
-    return Pipeline(stages=[_assembler(), trees]).fit(usable)
+    return Pipeline(stages=[_assembler(), trees]).fit(training)
+
+
+def fit_models(features: dict[str, DataFrame], **how: int) -> dict[str, PipelineModel]:
+    """One model per service; the services are a fixed handful."""
+    return {platform: fit_model(rows, **how) for platform, rows in features.items()}
+
+
+def predict_platform_days(models: dict[str, PipelineModel], features: dict[str, DataFrame]) -> DataFrame:
+    """The predictions of every service's model, with its ``platform``."""
+    scored = [
+        predict_days(models[platform], rows).withColumn("platform", F.lit(platform))
+        for platform, rows in features.items()
+    ]
+    return reduce(DataFrame.unionByName, scored)
 
 
 def predict_days(model: PipelineModel, features: DataFrame) -> DataFrame:

@@ -116,7 +116,8 @@ def as_json(rows: DataFrame, column: str = "result") -> DataFrame:
     return rows.withColumn(column, F.to_json(F.struct(*result_columns())))
 
 
-def with_source(json_text: Column, schema: str, source: Column) -> Column:
-    """A stored JSON result with its ``source`` field set."""
-    parsed = F.from_json(json_text, schema)
-    return F.to_json(parsed.withField("source", source))
+def with_source(json_text: Column, source: Column) -> Column:
+    """A stored JSON result with its ``source`` field set; all other fields stay as they are."""
+    fields = F.map_filter(F.from_json(json_text, "map<string,variant>"), lambda name, _: name != "source")
+    value = F.parse_json(F.concat(F.lit('"'), source, F.lit('"')))
+    return F.to_json(F.map_concat(fields, F.create_map(F.lit("source"), value)))

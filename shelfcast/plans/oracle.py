@@ -477,7 +477,7 @@ def statements() -> dict[str, str]:
         ),
         "leaderboard_merge": with_parts(BOARD, "named"),
         "stream_leaderboard": with_parts(BOARD, "named"),
-        "cache_upsert_latest": with_parts(
+        **dict.fromkeys(("cache_upsert_latest", "stream_cache_upsert"), with_parts(
             """
             SELECT key, data, epoch_us(ts) AS created_us
             FROM (SELECT 'predict:' || game_key || ':' || platform AS key, ts,
@@ -486,7 +486,7 @@ def statements() -> dict[str, str]:
                   FROM named WHERE outcome = 'ok') WHERE n = 1
             """,
             "named",
-        ),
+        )),
         "cache_expire": with_parts(
             """
             SELECT key, data, epoch_us(created_at) AS created_us FROM cache

@@ -162,18 +162,18 @@ def leaderboard_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- snapshots --------------------------------------------------------------
 
 
+def _stored_rows(requests: DataFrame) -> DataFrame:
+    return requests.where(F.col("outcome") == "ok").select(
+        rq.result_key(F.col("game"), F.col("platform")).alias("key"),
+        F.to_json(F.struct("request_id")).alias("data"),
+        F.col("ts").alias("created_at"),
+    )
+
+
 @query
 def cache_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of the first half of the requests, overwritten by those of the second."""
-    rows = (
-        named_requests(spark, sf_dir)
-        .where(F.col("outcome") == "ok")
-        .select(
-            rq.result_key(F.col("game"), F.col("platform")).alias("key"),
-            F.to_json(F.struct("request_id")).alias("data"),
-            F.col("ts").alias("created_at"),
-        )
-    )
+    rows = _stored_rows(named_requests(spark, sf_dir))
     later = F.col("created_at") >= F.lit(derived.BATCH_FROM).cast("timestamp")
     merged = snapshots.upsert(snapshots.latest_per_key(rows.where(~later)), rows.where(later))
     return merged.select("key", "data", micros("created_at", "created_us"))
@@ -199,7 +199,7 @@ def cache_lookup_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     stored = derived.cache(spark, sf_dir).where(F.col("key").startswith(rq.RESULT_PREFIX + ":"))
     found = snapshots.lookup(asked, "result_key", stored, request_time(), demand.RESULT_TTL_US)
-    answer = scoring.with_source(F.col("data"), "request_id bigint, source string", F.lit(demand.HIT))
+    answer = scoring.with_source(F.col("data"), F.lit(demand.HIT))
     return found.select(
         "request_id", "result_key", "fresh", F.when(F.col("fresh"), answer).alias("response")
     )
@@ -378,13 +378,13 @@ def estimate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def estimate_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fitted and scored by the model; one per service would be fitted the same way."""
+    """Fitted and scored by a model of the first service; the statistics are of that service."""
     features, stats = _features(spark, sf_dir)
-    enriched = cat.enrich(derived.catalogue(spark, sf_dir))
     waited = model.training_rows(
-        derived.appearances(spark, sf_dir).where(F.col("platform") == "epic"), enriched
-    ).select("game_id", "wait_days")
-    fitted = model.fit_model(features.join(waited, "game_id"))
+        derived.appearances(spark, sf_dir).where(F.col("platform") == "epic"),
+        cat.enrich(derived.catalogue(spark, sf_dir)),
+    )
+    fitted = model.fit_model(features.join(waited.select("game_id", "wait_days"), "game_id"))
     scored = model.predict_days(fitted, features)
     return scoring.estimates(scored, stats, F.col("predicted_days")).select(
         "game_id", "path", six("predicted_days"), six("predicted_years"), "years_whole", "months_whole",
@@ -449,6 +449,12 @@ def stream_cache_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of a stream of named requests, snapshot by snapshot."""
+    """Counts of a stream of named requests, batch by batch."""
     requests = rq.accepted(_request_stream(spark, sf_dir))
     return live.run_to_board(requests.select("game", "platform"))
+
+
+@query
+def stream_cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = rq.accepted(_request_stream(spark, sf_dir))
+    return live.run_to_cache(_stored_rows(requests)).select("key", "data", micros("created_at", "created_us"))

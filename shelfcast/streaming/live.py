@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from shelfcast.operators.demand import ERROR, HIT, MISS, COOLDOWN_US, RESULT_TTL_US
-from shelfcast.operators.leaderboard import merge_counts, vote_counts
+from shelfcast.operators.demand import COOLDOWN_US, ERROR, HIT, MISS, RESULT_TTL_US
+from shelfcast.operators.leaderboard import vote_counts
 from shelfcast.operators.requests import accepted
+from shelfcast.operators.snapshots import latest_per_key
 from shelfcast.session import new_path
 
 WATERMARK = "0 seconds"
@@ -127,40 +128,54 @@ def run_to_files(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-class BoardSnapshots:
-    """A leaderboard grown by micro-batches, one snapshot folder per batch.
+class Deltas:
+    """What each micro-batch of a stream comes to, one folder per batch.
 
-    A batch that is run again reads the snapshot before it and writes its own
-    again, so every vote counts once.
+    A batch writes only its own, already reduced rows, so a trigger costs as
+    much as its batch, and a batch that is run again replaces what it wrote.
+    Readers combine the batches; a batch job can fold them into a snapshot.
     """
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, prepare: Callable[[DataFrame], DataFrame]):
         self.folder = folder
-        self.last: int | None = None
+        self.prepare = prepare
 
-    def path(self, batch_id: int) -> str:
-        return f"{self.folder}/batch={batch_id}"
+    def add(self, rows: DataFrame, batch_id: int) -> None:
+        self.prepare(rows).write.mode("overwrite").parquet(f"{self.folder}/batch={batch_id}")
 
-    def add(self, votes: DataFrame, batch_id: int) -> None:
-        spark = votes.sparkSession
-        counts = vote_counts(votes)
-        if batch_id > 0:
-            counts = merge_counts(spark.read.schema(counts.schema).parquet(self.path(batch_id - 1)), counts)
-        counts.write.mode("overwrite").parquet(self.path(batch_id))
-        self.last = batch_id
+    def read(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
+        return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(self.folder)
 
 
-def run_to_board(votes: DataFrame, name: str = "board") -> DataFrame:
-    """The board after all votes that are there now."""
-    spark = votes.sparkSession
-    snapshots = BoardSnapshots(new_path(spark, name))
+def run_to_deltas(stream: DataFrame, name: str, prepare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run a stream over what is there now; its reduced batches, told apart by ``batch``."""
+    spark = stream.sparkSession
+    deltas = Deltas(new_path(spark, name), prepare)
     query = (
-        votes.writeStream.foreachBatch(snapshots.add)
+        stream.writeStream.foreachBatch(deltas.add)
         .option("checkpointLocation", new_path(spark, f"{name}-log"))
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    if snapshots.last is None:
-        return spark.createDataFrame([], "game string, platform string, score bigint")
-    return spark.read.parquet(snapshots.path(snapshots.last))
+    return deltas.read(spark, prepare(stream).schema)
+
+
+def board_of(deltas: DataFrame) -> DataFrame:
+    return deltas.groupBy("game", "platform").agg(F.sum("score").alias("score"))
+
+
+def cache_of(deltas: DataFrame) -> DataFrame:
+    """The newest row per key of the newest batch that has the key."""
+    newest = F.max(F.struct("batch", "created_at", "data"))
+    return deltas.groupBy("key").agg(newest.alias("newest")).select("key", "newest.data", "newest.created_at")
+
+
+def run_to_board(votes: DataFrame) -> DataFrame:
+    """The board after all votes that are there now."""
+    return board_of(run_to_deltas(votes, "board", vote_counts))
+
+
+def run_to_cache(rows: DataFrame) -> DataFrame:
+    """The keyed snapshot after all rows that are there now."""
+    return cache_of(run_to_deltas(rows, "cache", latest_per_key))

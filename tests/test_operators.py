@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfcast.operators import catalogue as cat
-from shelfcast.operators import demand, history, leaderboard, publishers, scoring, snapshots, tiers, titles
+from shelfcast.operators import demand, history, leaderboard, model, publishers, scoring, snapshots, tiers, titles
 from shelfcast.operators import requests as rq
 from shelfcast.plans import pipeline
 from shelfcast.sources.readers import platform_dimension
@@ -325,9 +325,30 @@ def test_json_result_and_source(spark):
     assert text == (
         '{"predicted_years":2.5,"years_whole":2,"months_whole":6,"lower_bound_years":2.1,"upper_bound_years":2.9,"sentence":"s"}'
     )
-    stored = spark.createDataFrame([('{"a":1,"source":"old"}',), ('{"a":2}',)], "data string")
-    found = stored.select(scoring.with_source(F.col("data"), "a int, source string", F.lit("cache_hit")).alias("x"))
-    assert [r.x for r in found.collect()] == ['{"a":1,"source":"cache_hit"}', '{"a":2,"source":"cache_hit"}']
+    stored = spark.createDataFrame([('{"a":{"b":[1,2.5,null]},"source":"old"}',), ('{"a":2}',), (None,)], "data string")
+    found = stored.select(scoring.with_source(F.col("data"), F.lit("cache_hit")).alias("x"))
+    assert [r.x for r in found.collect()] == [
+        '{"a":{"b":[1,2.5,null]},"source":"cache_hit"}', '{"a":2,"source":"cache_hit"}', None
+    ]
+
+
+def test_models_per_platform(spark):
+    stats = spark.createDataFrame([(1, "A", 730.0, 1, 70.0), (2, "B", 365.0, 2, 60.0)], STATS)
+    codes = spark.createDataFrame([("A", 0), ("B", 1)], "label string, code bigint")
+    items = spark.range(60).select(
+        F.when(F.col("id") % 3 == 0, "A").when(F.col("id") % 3 == 1, "B").otherwise("Z").alias("publisher"),
+        (50.0 + F.col("id") % 40).alias("metacritic_score"),
+        (2000 + F.col("id") % 20).cast("int").alias("release_year"),
+        F.lit(5).alias("release_month"),
+        (F.col("id") * 10.0).alias("wait_days"),
+    )
+    features = scoring.feature_rows(items, stats, codes)
+    of = {"epic": features, "humble": features.withColumn("wait_days", F.col("wait_days") + 5000)}
+    rows = model.predict_platform_days(model.fit_models(of, rounds=2, depth=2), of).collect()
+    assert len(rows) == 120
+    assert all((r.predicted_days is None) == (r.path == "unknown") for r in rows)
+    best = {p: max(r.predicted_days for r in rows if r.platform == p and r.path == "known") for p in of}
+    assert best["epic"] < 1000 < 5000 < best["humble"]
 
 
 def test_tiers(spark):

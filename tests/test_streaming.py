@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from shelfcast.operators import demand, leaderboard
+from shelfcast.operators import demand, leaderboard, snapshots
 from shelfcast.operators import requests as rq
 from shelfcast.session import new_path
 from shelfcast.sources import derived, readers, schemas
@@ -48,18 +48,30 @@ def test_outcome_source(spark, landed, stream):
     assert {tuple(r) for r in found.select(columns).collect()} == {tuple(r) for r in want.select(columns).collect()}
 
 
-def test_board_grows_by_snapshots(spark, landed, stream):
-    board = live.run_to_board(rq.accepted(stream).select("game", "platform"))
+def test_board_adds_up_batches(spark, landed, stream):
+    deltas = live.run_to_deltas(rq.accepted(stream).select("game", "platform"), "board", leaderboard.vote_counts)
+    assert deltas.select("batch").distinct().count() == FILES
     want = leaderboard.vote_counts(rq.accepted(readers.read_requests(spark, landed)))
+    board = live.board_of(deltas)
     assert {tuple(r) for r in board.collect()} == {tuple(r) for r in want.select(board.columns).collect()}
 
 
+def test_cache_keeps_the_newest(spark, landed, stream):
+    def rows(df):
+        key = rq.result_key(F.col("game"), F.col("platform"))
+        return rq.accepted(df).select(key.alias("key"), F.to_json(F.struct("request_id")).alias("data"), F.col("ts").alias("created_at"))
+
+    found = live.run_to_cache(rows(stream))
+    want = snapshots.latest_per_key(rows(readers.read_requests(spark, landed)))
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in want.collect()}
+
+
 def test_a_batch_run_again_counts_once(spark):
-    snapshots = live.BoardSnapshots(new_path(spark, "again"))
+    deltas = live.Deltas(new_path(spark, "again"), leaderboard.vote_counts)
     one = spark.createDataFrame([("a", "epic"), ("a", "epic")], "game string, platform string")
     two = spark.createDataFrame([("a", "epic"), ("b", "any")], "game string, platform string")
-    snapshots.add(one, 0)
-    snapshots.add(two, 1)
-    snapshots.add(two, 1)
-    found = spark.read.parquet(snapshots.path(1)).collect()
-    assert {(r.game, r.platform, r.score) for r in found} == {("a", "epic", 3), ("b", "any", 1)}
+    deltas.add(one, 0)
+    deltas.add(two, 1)
+    deltas.add(two, 1)
+    board = live.board_of(deltas.read(spark, leaderboard.vote_counts(one).schema))
+    assert {(r.game, r.platform, r.score) for r in board.collect()} == {("a", "epic", 3), ("b", "any", 1)}
