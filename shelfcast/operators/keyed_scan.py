@@ -169,7 +169,13 @@ def _read_cells(hot_events: DataFrame, period_us: int, bands: int) -> DataFrame:
 
 
 def _find_openers(placed: DataFrame, period_us: int) -> DataFrame:
-    rows = placed.select("hot_id", "band", "slice", "at_us", "id", F.lit(False).alias("entered"))
+    # events at the same time count once, which folds copies before they are moved;
+    # both passes below read this one shuffle
+    rows = (
+        placed.groupBy("hot_id", "band", "slice", "at_us")
+        .agg(F.min("id").alias("id"))
+        .withColumn("entered", F.lit(False))
+    )
 
     def in_band_order(df: DataFrame) -> DataFrame:
         return df.repartition("hot_id", "band").sortWithinPartitions(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.session import working_folder
+from shelfcast.session import new_path
+from shelfcast.sources.sinks import write_snapshot
 
 
 def waits(appearances: DataFrame, enriched: DataFrame) -> DataFrame:
@@ -48,11 +49,11 @@ def fallback_mean(stats: DataFrame) -> Column:
 def label_codes(labels: DataFrame, label: str = "label") -> DataFrame:
     """0, 1, 2, ... for the distinct labels in sorted order.
 
-    The labels are range-partitioned and sorted, and written once, because a
-    later read must see the same ranges; then only the row counts of the
+    The labels are range-partitioned and sorted, and written once, because both
+    uses below must see the same ranges; then only the row counts of the
     partitions are added up.
     """
-    working_folder(labels.sparkSession)
+    spark = labels.sparkSession
     placed = (
         labels.select(label)
         .where(F.col(label).isNotNull())
@@ -61,9 +62,10 @@ def label_codes(labels: DataFrame, label: str = "label") -> DataFrame:
         .sortWithinPartitions(label)
         # partition number in the upper bits, row number in the lower 33
         .withColumn("place", F.monotonically_increasing_id())
-        .withColumns({"part": F.shiftright("place", 33), "row": F.col("place").bitwiseAND((1 << 33) - 1)})
-        .checkpoint()
+        .select(label, F.shiftright("place", 33).alias("part"), F.col("place").bitwiseAND((1 << 33) - 1).alias("row"))
     )
+    path = write_snapshot(placed, new_path(spark, "labels"))
+    placed = spark.read.schema(placed.schema).parquet(path)
     parts = placed.groupBy("part").agg(F.count("*").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
