@@ -131,6 +131,31 @@ def tiered_estimates(
     )
 
 
+# The fields of a result, in display order.
+RESULT_FIELDS = [
+    "category",
+    "reasoning",
+    "confidence",
+    "last_appearance_date",
+    "theoretical_wait_time",
+    "projected_arrival",
+    "predicted_total_days",
+    "publisher_avg_wait_days",
+    "metacritic_score_used",
+    "predicted_months",
+    "publisher_game_count",
+    "tier",
+    "sample_size",
+    "publisher_consistency",
+    "recently_appeared",
+]
+
+
+def as_json(rows: DataFrame, column: str = "result") -> DataFrame:
+    """Result fields as JSON text; fields without a value are left out."""
+    return rows.withColumn(column, F.to_json(F.struct(*RESULT_FIELDS)))
+
+
 def reasoning() -> Column:
     """One line on how the estimate came about."""
     return (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from shelfcast.operators.catalogue import release_month, release_year
 from shelfcast.operators.demand import ERROR, HIT, MISS, accepted_votes, with_outcome_source, with_votes
 from shelfcast.operators.keyed_scan import HOT_ROWS
 from shelfcast.operators.leaderboard import vote_counts
+from shelfcast.operators.model import predict_days
 from shelfcast.operators.scoring import FAILED, RESULT_FIELDS, estimates, feature_rows, publisher_features
 from shelfcast.session import new_path
 from shelfcast.sources.readers import read_leaderboard
@@ -57,8 +59,13 @@ def with_vote_flag(answered_requests: DataFrame, hot_rows: int | None = HOT_ROWS
     return with_votes(answered_requests.where(asks), hot_rows=hot_rows).unionByName(others)
 
 
-def scored_results(answered_requests: DataFrame, stats: DataFrame, codes: DataFrame) -> DataFrame:
-    """The estimate of every request that was passed on and succeeded, by request id."""
+def scored_results(
+    answered_requests: DataFrame, stats: DataFrame, codes: DataFrame, model: PipelineModel | None = None
+) -> DataFrame:
+    """The estimate of every request that was passed on and succeeded, by request id.
+
+    Without a model the publisher's mean wait takes the place of its prediction.
+    """
     items = answered_requests.where(stored()).select(
         F.col("request_id").alias("stored_by"),
         F.col("game").alias("name"),
@@ -68,11 +75,19 @@ def scored_results(answered_requests: DataFrame, stats: DataFrame, codes: DataFr
         release_month(F.col("release_date")).alias("release_month"),
     )
     features = feature_rows(items, stats, codes)
-    return estimates(features, stats, F.col("avg_days_to_epic")).select("stored_by", *RESULT_FIELDS)
+    if model is None:
+        features = features.withColumn("predicted_days", F.col("avg_days_to_epic"))
+    else:
+        features = predict_days(model, features)
+    return estimates(features, stats, F.col("predicted_days")).select("stored_by", *RESULT_FIELDS)
 
 
 def responses(
-    requests: DataFrame, stats: DataFrame, codes: DataFrame, hot_rows: int | None = HOT_ROWS
+    requests: DataFrame,
+    stats: DataFrame,
+    codes: DataFrame,
+    hot_rows: int | None = HOT_ROWS,
+    model: PipelineModel | None = None,
 ) -> DataFrame:
     """One answer per request: status, source, the result and whether it counted as a vote."""
     decided = answered(requests, stats, codes, hot_rows)
@@ -86,7 +101,7 @@ def responses(
 
     # only answers with a stored result are joined, so missing ones form no hot key
     has_result = (F.col("source") == HIT) | stored()
-    with_result = voted.where(has_result).join(scored_results(decided, stats, codes), "stored_by", "left")
+    with_result = voted.where(has_result).join(scored_results(decided, stats, codes, model), "stored_by", "left")
     refused = rq.rejected(requests).select("request_id", "status", F.lit(False).alias("voted"))
     return (
         with_result.unionByName(voted.where(~has_result), allowMissingColumns=True)

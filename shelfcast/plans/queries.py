@@ -197,12 +197,14 @@ def cache_lookup_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = named_requests(spark, sf_dir).select(
         "request_id", rq.result_key(F.col("game"), F.col("platform")).alias("result_key")
     )
-    stored = derived.cache(spark, sf_dir).where(F.col("key").startswith(rq.RESULT_PREFIX + ":"))
-    found = snapshots.lookup(asked, "result_key", stored, request_time(), demand.RESULT_TTL_US)
-    answer = scoring.with_source(F.col("data"), F.lit(demand.HIT))
-    return found.select(
-        "request_id", "result_key", "fresh", F.when(F.col("fresh"), answer).alias("response")
+    # the answer is made once per stored result, not once per request
+    stored = (
+        derived.cache(spark, sf_dir)
+        .where(F.col("key").startswith(rq.RESULT_PREFIX + ":"))
+        .withColumn("data", scoring.with_source(F.col("data"), F.lit(demand.HIT)))
     )
+    found = snapshots.lookup(asked, "result_key", stored, request_time(), demand.RESULT_TTL_US)
+    return found.select("request_id", "result_key", "fresh", F.when(F.col("fresh"), F.col("data")).alias("response"))
 
 
 @query
@@ -428,7 +430,7 @@ def request_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = derived.table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 100).parquet(sf_dir)
     return derived.requests_from_events(events)
 
 

@@ -22,10 +22,9 @@ def read_requests(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     return read_table(spark, path, schemas.REQUESTS, fmt)
 
 
-def stream_requests(spark: SparkSession, path: str, fmt: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schemas.REQUESTS)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+def stream_requests(spark: SparkSession, path: str, fmt: str = "parquet", files_per_trigger: int = 100) -> DataFrame:
+    """The files of a trigger bound what any one key can bring to its task."""
+    reader = spark.readStream.schema(schemas.REQUESTS).option("maxFilesPerTrigger", files_per_trigger)
     return reader.format(fmt).load(path)
 
 

@@ -1,5 +1,6 @@
 """Operators on small literal tables."""
 
+import json
 import random
 from collections import Counter
 from datetime import date, datetime
@@ -385,6 +386,11 @@ def test_tiers(spark):
     assert (found[3, "gamepass"].tier[0], found[3, "gamepass"].category) == ("C", "Within 12-24 months")
     unknown = found[4, "epic"]
     assert (unknown.tier[0], unknown.category, unknown.confidence, unknown.publisher_game_count) == ("B", "Unknown", 0, 0)
+    text = json.loads(tiers.as_json(rows).where("game_id = 4").first().result)
+    assert set(text) == {
+        "category", "reasoning", "confidence", "metacritic_score_used", "publisher_game_count", "tier", "sample_size",
+        "recently_appeared",
+    }
     # overdue: nothing is left to wait, and nothing is shown
     overdue = found[5, "humble"]
     assert (overdue.tier[0], overdue.predicted_months, overdue.predicted_months_text) == ("B", 0.0, None)
