@@ -446,6 +446,7 @@ def statements() -> dict[str, str]:
         "votes_accepted": votes,
         "votes_accepted_in_cells": votes,
         "stream_votes": votes,
+        "stream_votes_in_cells": votes,
         "cache_outcome": sources,
         "cache_outcome_in_cells": sources,
         "stream_cache_outcome": sources,

@@ -52,13 +52,6 @@ def stored() -> Column:
     return (F.col("source") == MISS) & (F.col("outcome") == "ok")
 
 
-def with_vote_flag(answered_requests: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Hits and successful misses ask for a vote; soft errors and failures do not."""
-    asks = (F.col("source") == HIT) | stored()
-    others = answered_requests.where(~asks).withColumn("voted", F.lit(False))
-    return with_votes(answered_requests.where(asks), hot_rows=hot_rows).unionByName(others)
-
-
 def scored_results(
     answered_requests: DataFrame, stats: DataFrame, codes: DataFrame, model: PipelineModel | None = None
 ) -> DataFrame:
@@ -90,21 +83,21 @@ def responses(
     model: PipelineModel | None = None,
 ) -> DataFrame:
     """One answer per request: status, source, the result and whether it counted as a vote."""
-    decided = answered(requests, stats, codes, hot_rows)
+    columns = ["request_id", "status", "game", "platform", "source", "stored_by"]
     status = F.when(F.col("source") == ERROR, STATUS_ERROR).otherwise(STATUS_OK)
-    voted = with_vote_flag(
-        decided.select(
-            "request_id", "ts", "client_ip", "game", "game_key", "platform", "is_local", "outcome", "source", "stored_by"
-        ),
-        hot_rows,
-    ).select("request_id", status.alias("status"), "game", "platform", "source", "outcome", "stored_by", "voted")
-
-    # only answers with a stored result are joined, so missing ones form no hot key
+    decided = answered(requests, stats, codes, hot_rows).withColumn("status", status)
+
+    # hits and successful misses have a result and ask for a vote; soft errors and
+    # failures have neither, so they skip the join instead of forming a hot null key
     has_result = (F.col("source") == HIT) | stored()
-    with_result = voted.where(has_result).join(scored_results(decided, stats, codes, model), "stored_by", "left")
+    voted = with_votes(
+        decided.where(has_result).select(*columns, "ts", "client_ip", "game_key", "is_local"), hot_rows=hot_rows
+    ).select(*columns, "voted")
+    with_result = voted.join(scored_results(decided, stats, codes, model), "stored_by", "left")
+    without = decided.where(~has_result).select(*columns, F.lit(False).alias("voted"))
     refused = rq.rejected(requests).select("request_id", "status", F.lit(False).alias("voted"))
     return (
-        with_result.unionByName(voted.where(~has_result), allowMissingColumns=True)
+        with_result.unionByName(without, allowMissingColumns=True)
         .unionByName(refused, allowMissingColumns=True)
-        .select("request_id", "status", "game", "platform", "source", "stored_by", *RESULT_FIELDS, "voted")
+        .select(*columns, *RESULT_FIELDS, "voted")
     )

@@ -443,6 +443,19 @@ def stream_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remote.unionByName(local)
 
 
+@query
+def stream_votes_in_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same votes, micro-batch by micro-batch through the way for very large keys."""
+    requests = _request_stream(spark, sf_dir)
+    keys = ["client_ip", "game_key", "platform"]
+    judged = live.run_openers_by_batch(
+        live.vote_events(requests), keys, demand.COOLDOWN_US, hot_rows=CELL_ROWS // 5, bands=CELL_BANDS
+    )
+    columns = ["request_id", "client_ip", "game", "platform"]
+    remote = judged.where(F.col("opener_id") == F.col("request_id")).select(*columns)
+    return remote.unionByName(live.run_to_files(live.live_local_votes(requests).select(*columns), "local-votes"))
+
+
 @query
 def stream_cache_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = live.live_outcome_source(_request_stream(spark, sf_dir))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from shelfcast.operators.demand import COOLDOWN_US, ERROR, HIT, MISS, RESULT_TTL_US
+from shelfcast.operators.keyed_scan import BANDS, HOT_ROWS, period_openers
 from shelfcast.operators.leaderboard import vote_counts
 from shelfcast.operators.requests import accepted
 from shelfcast.operators.snapshots import latest_per_key
@@ -84,14 +85,87 @@ def live_openers(events: DataFrame, keys: list[str], period_us: int, watermark:
     )
 
 
-def live_votes(requests: DataFrame, period_us: int = COOLDOWN_US, watermark: str = WATERMARK) -> DataFrame:
-    """Accepted votes of a request stream, local traffic apart."""
-    remote = accepted(requests).where(~F.col("is_local"))
-    events = remote.select(
+class OpenersByBatch:
+    """The period rule of a stream through the batch operator, for very large keys.
+
+    Keyed state hands one key's rows of a trigger to one task. Here every
+    micro-batch runs ``period_openers``, which cuts large keys, on its rows and
+    the openers carried over. A batch writes its judged rows, the openers that
+    are still open and the latest time seen to folders of its own, and reads
+    only those of the batch before, so running it again changes nothing. Rows
+    older than the latest time seen before the batch are late and left out.
+    """
+
+    def __init__(self, folder: str, keys: list[str], period_us: int, hot_rows: int | None = HOT_ROWS, bands: int = BANDS):
+        self.folder = folder
+        self.keys = keys
+        self.period_us = period_us
+        self.hot_rows = hot_rows
+        self.bands = bands
+
+    def _path(self, kind: str, batch_id: int) -> str:
+        return f"{self.folder}/{kind}/batch={batch_id}"
+
+    def add(self, rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        events = rows.withColumn("carried", F.lit(False))
+        seen = None
+        if batch_id > 0:
+            seen = spark.read.parquet(self._path("seen", batch_id - 1)).first()["at_us"]
+            carried = spark.read.parquet(self._path("open", batch_id - 1))
+            if seen is not None:
+                events = events.where(F.col("at_us") >= seen)
+            events = events.unionByName(carried, allowMissingColumns=True)
+        judged = period_openers(events, self.keys, self.period_us, self.hot_rows, self.bands)
+        judged.write.mode("overwrite").parquet(self._path("judged", batch_id))
+
+        judged = spark.read.schema(judged.schema).parquet(self._path("judged", batch_id))
+        latest = F.greatest(F.max("at_us"), F.lit(seen).cast("bigint"))
+        judged.where("NOT carried").agg(latest.alias("at_us")).write.mode("overwrite").parquet(self._path("seen", batch_id))
+        now = spark.read.parquet(self._path("seen", batch_id)).first()["at_us"]
+        if now is None:
+            now = 0
+        # an opener covers itself, so the last one of a key is always among its rows
+        openers = judged.where(F.col("opener_us") > now - self.period_us).groupBy(*self.keys)
+        openers.agg(F.max(F.struct("opener_us", "opener_id")).alias("last")).select(
+            *self.keys,
+            F.col("last.opener_us").alias("at_us"),
+            F.col("last.opener_id").alias("id"),
+            F.lit(True).alias("eligible"),
+            F.lit(True).alias("carried"),
+        ).write.mode("overwrite").parquet(self._path("open", batch_id))
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.folder}/judged").where("NOT carried").drop("carried", "batch", "opener_us")
+
+
+def run_openers_by_batch(
+    events: DataFrame, keys: list[str], period_us: int, hot_rows: int | None = HOT_ROWS, bands: int = BANDS
+) -> DataFrame:
+    """As ``live_openers``, run over what is there now; large keys are cut."""
+    spark = events.sparkSession
+    judge = OpenersByBatch(new_path(spark, "openers"), keys, period_us, hot_rows, bands)
+    query = (
+        events.writeStream.foreachBatch(judge.add)
+        .option("checkpointLocation", new_path(spark, "openers-log"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return judge.read(spark)
+
+
+def vote_events(requests: DataFrame) -> DataFrame:
+    """Remote requests of a stream, ready for the period rule."""
+    return accepted(requests).where(~F.col("is_local")).select(
         "request_id", "ts", "game", "game_key", "platform", "client_ip",
         F.unix_micros("ts").alias("at_us"), F.col("request_id").alias("id"), F.lit(True).alias("eligible"),
     )
-    return live_openers(events, ["client_ip", "game_key", "platform"], period_us, watermark).where(
+
+
+def live_votes(requests: DataFrame, period_us: int = COOLDOWN_US, watermark: str = WATERMARK) -> DataFrame:
+    """Accepted votes of a request stream, local traffic apart."""
+    return live_openers(vote_events(requests), ["client_ip", "game_key", "platform"], period_us, watermark).where(
         F.col("opener_id") == F.col("request_id")
     )
 

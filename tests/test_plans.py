@@ -12,7 +12,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-SLOW = {"estimate_model", "stream_votes", "stream_cache_outcome", "stream_leaderboard", "stream_cache_upsert"}
+SLOW = {"estimate_model", "stream_votes", "stream_votes_in_cells", "stream_cache_outcome", "stream_leaderboard", "stream_cache_upsert"}
 
 
 @pytest.mark.parametrize("name", sorted(set(contract.queries()) - SLOW))

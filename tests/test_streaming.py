@@ -41,6 +41,34 @@ def test_votes(spark, landed, stream):
     assert local.count() == rq.accepted(readers.read_requests(spark, landed)).where("is_local").count()
 
 
+@pytest.mark.parametrize("hot_rows", [None, 10])
+def test_outcome_source_by_batch(spark, landed, stream, hot_rows):
+    """Keys of a few batches, carried from one to the next, in cells and whole."""
+    named = rq.accepted(stream).select(
+        "request_id", "ts", "game_key", "platform", "outcome",
+        F.unix_micros("ts").alias("at_us"), F.col("request_id").alias("id"), (F.col("outcome") == "ok").alias("eligible"),
+    )
+    period = 5 * demand.RESULT_TTL_US
+    found = live.run_openers_by_batch(named, ["game_key", "platform"], period, hot_rows=hot_rows, bands=8)
+    want = demand.with_outcome_source(rq.accepted(readers.read_requests(spark, landed)), period)
+    got = {(r.request_id, r.opener_id) for r in found.collect()}
+    assert got == {(r.request_id, r.stored_by) for r in want.collect()}
+
+
+def test_late_rows_and_repeated_batches(spark):
+    judge = live.OpenersByBatch(new_path(spark, "late"), ["k"], 10, hot_rows=None)
+    schema = "k string, at_us bigint, id bigint, eligible boolean"
+    judge.add(spark.createDataFrame([("a", 100, 1, True), ("b", 103, 2, True)], schema), 0)
+    second = spark.createDataFrame([("a", 102, 3, True), ("a", 109, 4, True), ("a", 110, 5, True), ("b", 112, 6, True)], schema)
+    judge.add(second, 1)
+    judge.add(second, 1)
+    judge.add(spark.createDataFrame([], schema), 2)
+    judge.add(spark.createDataFrame([("a", 119, 7, True), ("b", 123, 8, True)], schema), 3)
+    found = {r.id: r.opener_id for r in judge.read(spark).collect()}
+    # 3 came after 103 had been seen
+    assert found == {1: 1, 2: 2, 4: 1, 5: 5, 6: 2, 7: 5, 8: 8}
+
+
 def test_outcome_source(spark, landed, stream):
     found = live.run_to_files(live.live_outcome_source(stream), "source")
     want = demand.with_outcome_source(rq.accepted(readers.read_requests(spark, landed)))
