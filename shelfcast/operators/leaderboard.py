@@ -42,7 +42,7 @@ def global_board(board: DataFrame, size: int = BOARD_SIZE) -> DataFrame:
         .groupBy("game")
         .agg(F.map_from_entries(entries).alias("breakdown"))
     )
-    return maps.join(F.broadcast(top), "game").select("rank", "game", "score", "breakdown")
+    return maps.join(F.broadcast(top), "game").select("rank", "game", "score", "breakdown").orderBy("rank")
 
 
 def platform_board(board: DataFrame, platform: str, size: int = BOARD_SIZE) -> DataFrame:
