@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import exact_dedup, line_dedup, mixing, sharding
+from shelfcast.llm import exact_dedup, html_text, line_dedup, mixing, packing, sharding, token_shards, vector_search
 from shelfcast.session import new_path
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,33 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs, mixing.tempered_weights(docs), rows=False).select(
         "doc_id", F.col("mixed_source").alias("source"), "block", "slot", "position"
     )
+
+
+@query
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as token shards in training order, and the records read back from there."""
+    out = new_path(spark, "token-shards")
+    token_shards.write_shards(table(spark, sf_dir, "documents"), out, seed=20_240_607)
+    per_shard, stride = token_shards.PER_SHARD, F.octet_length("ids")
+    return token_shards.read_shards(spark, out).select(
+        "slot", "shard", ((F.col("slot") % per_shard) * stride).alias("byte_offset"), stride.cast("long").alias("stride_bytes"),
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("record_crc32"),
+    )
+
+
+@query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 ids."""
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.page_texts(table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows to every twentieth."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return vector_search.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
