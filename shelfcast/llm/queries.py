@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import exact_dedup, html_text, line_dedup, mixing, packing, sharding, token_shards, vector_search
+from shelfcast.llm import (
+    exact_dedup,
+    html_text,
+    language_model,
+    line_dedup,
+    mixing,
+    ngram_join,
+    packing,
+    sharding,
+    token_shards,
+    vector_search,
+)
 from shelfcast.session import new_path
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +130,22 @@ def op7_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows to every twentieth."""
     vectors = table(spark, sf_dir, "embeddings")
     return vector_search.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that people judged good."""
+    return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of all documents under a model of all that were judged good."""
+    found = language_model.perplexities(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
+    return found.select(
+        "doc_id", "lang", "n_bytes", F.exp("log_perplexity").alias("perplexity"), "step", "limit", "trusted", "kept"
+    )
+
+
+@query
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
