@@ -67,9 +67,13 @@ def enrich(records: DataFrame) -> DataFrame:
     )
 
 
+# Fixed value: one character that is not white space, the Unicode blanks and line ends included.
+VISIBLE = r"[^\s\x0B\x1c-\x1f\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+
+
 def manual_records(entries: DataFrame) -> DataFrame:
     """Typed-in items as catalogue rows; both fields must have text."""
-    return entries.where((F.trim("name") != "") & (F.trim("publisher") != "")).select(
+    return entries.where(F.col("name").rlike(VISIBLE) & F.col("publisher").rlike(VISIBLE)).select(
         "name",
         "publisher",
         F.lit(DEFAULT_SCORE).alias("metacritic"),

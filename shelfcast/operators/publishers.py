@@ -18,9 +18,14 @@ def waits(appearances: DataFrame, enriched: DataFrame) -> DataFrame:
 
 
 def publisher_statistics(appearances: DataFrame, enriched: DataFrame, by: list[str]) -> DataFrame:
-    """Count, mean wait, mean score and the spread of the waits, per publisher (and platform)."""
+    """Number of games, mean wait, mean score and the spread of the waits, per publisher (and platform).
+
+    A game counts once on a platform, with its first appearance there, however often it returns.
+    """
     return (
         waits(appearances, enriched)
+        .groupBy("game_id", "platform", "publisher")
+        .agg(F.min("wait_days").alias("wait_days"), F.min("metacritic").alias("metacritic"))
         .groupBy(*by)
         .agg(
             F.count("*").alias("games_count"),
@@ -28,8 +33,8 @@ def publisher_statistics(appearances: DataFrame, enriched: DataFrame, by: list[s
             F.avg("metacritic").alias("avg_score"),
             F.stddev_samp("wait_days").alias("spread"),
         )
-        # no spread from a single wait
-        .withColumn("consistency", F.when(F.col("avg_wait_days") != 0, F.col("spread") / F.col("avg_wait_days")))
+        # no spread from a single wait; a mean below 0, listed before release, has the spread of one above
+        .withColumn("consistency", F.when(F.col("avg_wait_days") != 0, F.col("spread") / F.abs("avg_wait_days")))
         .drop("spread")
     )
 

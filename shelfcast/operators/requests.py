@@ -49,11 +49,17 @@ def with_keys(requests: DataFrame) -> DataFrame:
     )
 
 
+def complete(requests: DataFrame) -> Column:
+    """A request names a game and, where times are recorded, has one; both rules need it."""
+    named = F.col("game").isNotNull()
+    return named & F.col("ts").isNotNull() if "ts" in requests.columns else named
+
+
 def accepted(requests: DataFrame) -> DataFrame:
-    """Requests that name a game."""
-    return with_keys(requests).where(F.col("game").isNotNull())
+    """Requests that name a game and have a time."""
+    return with_keys(requests).where(complete(requests))
 
 
 def rejected(requests: DataFrame) -> DataFrame:
-    """Requests without a game, with the status they are answered with."""
-    return with_keys(requests).where(F.col("game").isNull()).withColumn("status", F.lit(STATUS_MISSING_GAME))
+    """Requests without a game or a time, with the status they are answered with."""
+    return with_keys(requests).where(~complete(requests)).withColumn("status", F.lit(STATUS_MISSING_GAME))

@@ -47,13 +47,14 @@ def is_expired(as_of: Column, retention: str = RETENTION) -> Column:
 
 
 def surviving(snapshot: DataFrame, as_of: Column, retention: str = RETENTION) -> DataFrame:
-    """A plain comparison on the column, so that it reaches the scan.
+    """What is not older than the retention; a row without a time stays.
 
-    On a snapshot laid out by ``created_on`` only the surviving days are read.
+    Plain comparisons on the column, so that they reach the scan. On a snapshot laid out by
+    ``created_on`` only the surviving days are read.
     """
-    kept = snapshot.where(F.col("created_at") >= as_of - F.expr(retention))
+    kept = snapshot.where((F.col("created_at") >= as_of - F.expr(retention)) | F.col("created_at").isNull())
     if "created_on" in snapshot.columns:
-        kept = kept.where(F.col("created_on") >= F.to_date(as_of - F.expr(retention)))
+        kept = kept.where((F.col("created_on") >= F.to_date(as_of - F.expr(retention))) | F.col("created_on").isNull())
     return kept
 
 

@@ -21,6 +21,8 @@ NO_REPEAT_LABEL = "Very Unlikely"
 UNKNOWN_LABEL = "Unknown"
 NO_REPEAT_PLATFORM = "humble"
 NO_WARNING_PLATFORM = "epic"
+# the only service whose owner's items are promised within a span
+FIRST_PARTY_PLATFORM = "gamepass"
 RECENT_DAYS = 365
 
 
@@ -70,7 +72,7 @@ def tiered_estimates(
     tier = (
         F.when(no_repeat, TIER_NO_REPEAT)
         .when(seen >= 2, TIER_HISTORY)
-        .when(F.col("owned"), TIER_FIRST_PARTY)
+        .when(F.col("owned") & (F.col("platform") == FIRST_PARTY_PLATFORM), TIER_FIRST_PARTY)
         .otherwise(TIER_MODEL)
     )
     # an item without a release date starts waiting now
@@ -107,7 +109,7 @@ def tiered_estimates(
         "tier",
         "category",
         category_band(F.col("category")).alias("category_band"),
-        reasoning().alias("reasoning"),
+        reasoning(by_model=predicted_days is not None).alias("reasoning"),
         "confidence",
         confidence_band(F.col("confidence")).alias("confidence_band"),
         confidence_word(F.col("confidence")).alias("confidence_word"),
@@ -156,12 +158,13 @@ def as_json(rows: DataFrame, column: str = "result") -> DataFrame:
     return rows.withColumn(column, F.to_json(F.struct(*RESULT_FIELDS)))
 
 
-def reasoning() -> Column:
+def reasoning(by_model: bool) -> Column:
     """One line on how the estimate came about."""
+    expected = "The model expects %d days from release." if by_model else "The publisher's items wait %d days on average."
     return (
         F.when(F.col("tier") == TIER_NO_REPEAT, F.concat(F.lit("Seen on "), F.col("last_on").cast("string"), F.lit("; items do not return here.")))
         .when(F.col("tier") == TIER_HISTORY, F.format_string("Seen %d times, on average every %d days.", "sample_size", rounded_days(F.col("mean_gap_days"))))
         .when(F.col("tier") == TIER_FIRST_PARTY, F.lit("Published by the owner of the service."))
         .when(F.col("total_days").isNull(), F.lit("No history of the publisher on this service."))
-        .otherwise(F.format_string("The model expects %d days from release.", rounded_days(F.col("total_days"))))
+        .otherwise(F.format_string(expected, rounded_days(F.col("total_days"))))
     )

@@ -11,7 +11,7 @@ PARTS: dict[str, tuple[list[str], str]] = {
     "requests": (
         [],
         """
-        SELECT event_id AS request_id, ts,
+        SELECT event_id AS request_id, CASE WHEN event_id % 89 <> 0 THEN ts END AS ts,
                CASE WHEN event_id % 97 = 0 THEN ''
                     ELSE (CASE WHEN event_id % 3 = 0 THEN 'GAME ' ELSE 'Game ' END)
                          || CAST(CASE WHEN event_id % 2 = 0 THEN k % 5 ELSE k END AS VARCHAR) END AS raw_game,
@@ -37,7 +37,7 @@ PARTS: dict[str, tuple[list[str], str]] = {
         FROM (SELECT *, raw_game AS game, coalesce(nullif(raw_platform, ''), 'any') AS platform,
                      coalesce(nullif(split_part(forwarded_for, ',', 1), ''), remote_addr) AS client_ip
               FROM requests)
-        WHERE game <> ''
+        WHERE game <> '' AND ts IS NOT NULL
         """,
     ),
     # -- one vote per client, game, platform and hour
@@ -106,6 +106,7 @@ PARTS: dict[str, tuple[list[str], str]] = {
         SELECT key, data,
                CASE key WHEN 'predict:game 1:gamepass' THEN TIMESTAMP '2024-01-30 00:00:00'
                         WHEN 'rate_limit:10.0.0.1:game 1:gamepass' THEN TIMESTAMP '2024-01-30 23:00:00'
+                        WHEN 'predict:game 2:epic' THEN NULL
                         ELSE created_at END - to_hours(h) AS created_at
         FROM (SELECT key, data, created_at, row_number() OVER (PARTITION BY key ORDER BY created_at DESC, data DESC) AS n
               FROM (SELECT 'predict:' || game_key || ':' || platform AS key,
@@ -128,22 +129,22 @@ PARTS: dict[str, tuple[list[str], str]] = {
     "raw_items": (
         [],
         """
-        SELECT p_partkey AS game_id, p_name || ' #' || CAST(p_partkey AS VARCHAR) AS name,
-               CASE WHEN p_partkey % 13 = 0 THEN 'Unknown' WHEN p_partkey % 29 = 0 THEN NULL ELSE p_brand END AS publisher,
-               CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 0.0::DOUBLE ELSE (50.0 + p_size)::DOUBLE END AS score,
-               CASE WHEN p_partkey % 2 = 0 THEN p_size::DOUBLE / 10.0::DOUBLE END AS rating,
-               (p_partkey * 37) % 2000 AS reviews_count,
-               CASE WHEN p_partkey % 17 <> 0 THEN DATE '1994-01-01' + CAST((p_partkey * 37) % 365 AS INTEGER) END AS released,
-               CASE p_partkey % 4
-                   WHEN 1 THEN 'https://media.rawg.io/media/crop/600/400/games/' || CAST(p_partkey AS VARCHAR) || '.jpg'
-                   WHEN 2 THEN 'https://media.rawg.io/media/crop/600/400/games/' || CAST(p_partkey AS VARCHAR) || '.jpg'
-                   WHEN 3 THEN 'https://images.example.org/' || CAST(p_partkey AS VARCHAR) || '.jpg'
+        SELECT item_id AS game_id, p_name || ' #' || CAST(item_id AS VARCHAR) AS name,
+               CASE WHEN item_id % 13 = 0 THEN 'Unknown' WHEN item_id % 29 = 0 THEN NULL ELSE p_brand END AS publisher,
+               CASE item_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 0.0::DOUBLE ELSE (50.0 + p_size)::DOUBLE END AS score,
+               CASE WHEN item_id % 2 = 0 THEN p_size::DOUBLE / 10.0::DOUBLE END AS rating,
+               (item_id * 37) % 2000 AS reviews_count,
+               CASE WHEN item_id % 17 <> 0 THEN DATE '1994-01-01' + CAST((item_id * 37) % 365 AS INTEGER) END AS released,
+               CASE item_id % 4
+                   WHEN 1 THEN 'https://media.rawg.io/media/crop/600/400/games/' || CAST(item_id AS VARCHAR) || '.jpg'
+                   WHEN 2 THEN 'https://media.rawg.io/media/crop/600/400/games/' || CAST(item_id AS VARCHAR) || '.jpg'
+                   WHEN 3 THEN 'https://images.example.org/' || CAST(item_id AS VARCHAR) || '.jpg'
                    ELSE '' END AS image,
-               CASE WHEN p_partkey % 6 > 1
-                    THEN CASE p_partkey % 4 WHEN 0 THEN 'epic' WHEN 1 THEN 'epic,gamepass'
+               CASE WHEN item_id % 6 > 1
+                    THEN CASE item_id % 4 WHEN 0 THEN 'epic' WHEN 1 THEN 'epic,gamepass'
                                             WHEN 2 THEN 'epic,gamepass,psplus' ELSE 'epic,gamepass,psplus,humble' END
                END AS platforms
-        FROM part
+        FROM (SELECT *, p_partkey * 8 + edition AS item_id FROM part CROSS JOIN range(1, 8) e(edition))
         """,
     ),
     "items": (
@@ -161,24 +162,24 @@ PARTS: dict[str, tuple[list[str], str]] = {
     "seen": (
         [],
         """
-        SELECT DISTINCT l_partkey AS game_id,
+        SELECT DISTINCT l_partkey * 8 + l_linenumber AS game_id,
                CASE l_suppkey % 4 WHEN 0 THEN 'epic' WHEN 1 THEN 'gamepass' WHEN 2 THEN 'psplus' ELSE 'humble' END AS platform,
                CAST(l_shipdate AS DATE) AS appeared_on
-        FROM lineitem WHERE l_quantity <= 4
+        FROM lineitem
         """,
     ),
     "waited": (
         ["items", "seen"],
         """
-        SELECT s.game_id, s.platform, i.publisher, i.metacritic, date_diff('day', i.released, s.appeared_on) AS days
-        FROM seen s JOIN items i USING (game_id) WHERE i.publisher IS NOT NULL AND i.released IS NOT NULL
+        SELECT s.game_id, s.platform, i.publisher, i.metacritic, min(date_diff('day', i.released, s.appeared_on)) AS days
+        FROM seen s JOIN items i USING (game_id) WHERE i.publisher IS NOT NULL AND i.released IS NOT NULL GROUP BY ALL
         """,
     ),
     "platform_stats": (
         ["waited"],
         """
         SELECT publisher, platform, count(*) AS games_count, avg(days) AS avg_wait_days, avg(metacritic) AS avg_score,
-               CASE WHEN avg(days) <> 0 THEN stddev_samp(days) / avg(days) END AS consistency
+               CASE WHEN avg(days) <> 0 THEN stddev_samp(days) / abs(avg(days)) END AS consistency
         FROM waited GROUP BY publisher, platform
         """,
     ),
@@ -323,8 +324,7 @@ PARTS: dict[str, tuple[list[str], str]] = {
                s.avg_wait_days AS wait, s.games_count, s.consistency AS cv,
                CASE WHEN o.platform = 'humble' AND h.occurrences >= 1 THEN 'D. Humble Choice Rules'
                     WHEN h.occurrences >= 2 THEN 'A. Historical Lookup'
-                    WHEN (o.publisher = 'Brand#1' AND o.platform = 'gamepass')
-                      OR (o.publisher = 'Brand#2' AND o.platform = 'psplus') THEN 'C. First-Party Check'
+                    WHEN o.publisher = 'Brand#1' AND o.platform = 'gamepass' THEN 'C. First-Party Check'
                     ELSE 'B. Model' END AS tier,
                date_diff('day', DATE '2001-12-01', h.last_on) + h.mean_gap AS repeat_days,
                date_diff('day', DATE '2001-12-01', coalesce(o.released, DATE '2001-12-01')) + s.avg_wait_days AS model_days
@@ -434,7 +434,7 @@ def statements() -> dict[str, str]:
             "named",
         ),
         "requests_rejected": with_parts(
-            "SELECT request_id, CAST(400 AS INTEGER) AS status FROM requests WHERE raw_game = ''", "requests"
+            "SELECT request_id, CAST(400 AS INTEGER) AS status FROM requests WHERE raw_game = '' OR ts IS NULL", "requests"
         ),
         "requests_on_platforms": with_parts(
             f"""
@@ -459,6 +459,7 @@ def statements() -> dict[str, str]:
                   FROM board GROUP BY game) WHERE rank <= 10
             """,
             "board",
+            votes_from="voters",
         ),
         "leaderboard_platform": with_parts(
             """
@@ -467,6 +468,7 @@ def statements() -> dict[str, str]:
             WHERE rank <= 10
             """,
             "board",
+            votes_from="voters",
         ),
         "leaderboard_all_platforms": with_parts(
             f"""
@@ -475,9 +477,10 @@ def statements() -> dict[str, str]:
             WHERE rank <= 10 AND platform <> 'any'
             """,
             "board",
+            votes_from="voters",
         ),
         "leaderboard_merge": with_parts(BOARD, "named"),
-        "stream_leaderboard": with_parts(BOARD, "named"),
+        "stream_leaderboard": with_parts("SELECT game, platform, score FROM board", "board"),
         **dict.fromkeys(("cache_upsert_latest", "stream_cache_upsert"), with_parts(
             """
             SELECT key, data, epoch_us(ts) AS created_us
@@ -491,7 +494,7 @@ def statements() -> dict[str, str]:
         "cache_expire": with_parts(
             """
             SELECT key, data, epoch_us(created_at) AS created_us FROM cache
-            WHERE NOT created_at < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 24 HOUR
+            WHERE coalesce(NOT created_at < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 24 HOUR, true)
             """,
             "cache",
         ),
@@ -622,7 +625,7 @@ SELECT game_id, platform, tier, category,
                  WHEN 'A. Historical Lookup' THEN 'Seen ' || n || ' times, on average every '
                       || CAST(floor(mean_gap + 0.5) AS BIGINT) || ' days.'
                  WHEN 'C. First-Party Check' THEN 'Published by the owner of the service.'
-                 ELSE coalesce('The model expects ' || wait_text || ' days from release.',
+                 ELSE coalesce('The publisher''s items wait ' || wait_text || ' days on average.',
                                'No history of the publisher on this service.') END AS reasoning,
        confidence,
        CASE WHEN confidence >= 80 THEN 'bg-green-500' WHEN confidence >= 60 THEN 'bg-blue-500'
@@ -658,5 +661,5 @@ SELECT s.request_id, CAST(CASE s.source WHEN 'error' THEN 500 ELSE 200 END AS IN
        e.sentence, s.request_id IN (SELECT request_id FROM votes) AS voted
 FROM sourced s LEFT JOIN estimates e ON s.stored_by = e.row_id AND (s.source = 'cache_hit' OR s.stored_by = s.request_id)
 UNION ALL
-SELECT request_id, 400, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, false FROM requests WHERE raw_game = ''
+SELECT request_id, 400, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, false FROM requests WHERE raw_game = '' OR ts IS NULL
 """

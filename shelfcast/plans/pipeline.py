@@ -40,6 +40,14 @@ def answered(requests: DataFrame, stats: DataFrame, codes: DataFrame, hot_rows:
     return requests.sparkSession.read.schema(decided.schema).parquet(path)
 
 
+def voting(named: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Requests that were answered with a result and so ask for a vote: hits and stored misses."""
+    decided = with_outcome_source(
+        named.select("request_id", "ts", "game", "game_key", "platform", "client_ip", "is_local", "outcome"), hot_rows=hot_rows
+    )
+    return decided.where((F.col("source") == HIT) | stored()).drop("outcome", "source", "stored_by")
+
+
 def counted_board(requests: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """The counter table of all accepted votes, written once; boards read it more than once."""
     counts = vote_counts(accepted_votes(requests, hot_rows=hot_rows))

@@ -59,7 +59,8 @@ def vote_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.counted_board(vote_events(spark, sf_dir))
+    """Votes of answered requests: hits, and misses whose result was stored."""
+    return pipeline.counted_board(pipeline.voting(named_requests(spark, sf_dir)))
 
 
 def request_time() -> Column:
@@ -240,8 +241,7 @@ def manual_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _search_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    found = derived.catalogue(spark, sf_dir).select(F.col("id").alias("game_id"), "name")
-    return derived.title_queries(spark, sf_dir), found
+    return derived.title_queries(spark, sf_dir), derived.titles(spark, sf_dir)
 
 
 @query
@@ -430,7 +430,8 @@ def request_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = derived.table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 100).parquet(sf_dir)
+    # the pattern takes a single file as well as a folder of part files
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(f"{sf_dir}/events.parquet*")
     return derived.requests_from_events(events)
 
 
@@ -464,9 +465,10 @@ def stream_cache_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of a stream of named requests, batch by batch."""
-    requests = rq.accepted(_request_stream(spark, sf_dir))
-    return live.run_to_board(requests.select("game", "platform"))
+    """Counts of a stream's accepted votes, batch by batch."""
+    requests = _request_stream(spark, sf_dir)
+    columns = ["game", "platform"]
+    return live.run_to_board(live.live_votes(requests).select(*columns).union(live.live_local_votes(requests).select(*columns)))
 
 
 @query

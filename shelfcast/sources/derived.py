@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 AS_OF = "2024-01-31 00:00:00"  # for requests and the cache
 HISTORY_AS_OF = "2001-12-01"  # for appearances
+NO_TIME_KEY = "predict:game 2:epic"  # a stored row without a time
 BATCH_FROM = "2024-01-16 00:00:00"  # later requests form the batch of a merge
 
 
@@ -57,7 +58,7 @@ def requests_from_events(events: DataFrame) -> DataFrame:
         .withColumns({"game": game, "platform": platform})
         .select(
             e.alias("request_id"),
-            F.col("ts").cast("timestamp").alias("ts"),
+            F.when(e % 89 != 0, F.col("ts").cast("timestamp")).alias("ts"),
             F.when(in_query, F.col("game")).otherwise(empty).alias("query_game"),
             F.when(in_query, F.col("platform")).otherwise(empty).alias("query_platform"),
             F.when(~in_query, F.col("game")).alias("body_game_name"),
@@ -72,10 +73,19 @@ def requests_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+EDITIONS = 7  # as many as an order has lines, so that a line names a part and an edition
+
+
+def item_id(part: str, edition: str) -> Column:
+    return F.col(part) * 8 + F.col(edition)
+
+
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.col("p_partkey")
+    """Every part in seven editions, some of which never appear anywhere."""
+    p = F.col("item_id")
     all_platforms = F.array(*[F.lit(x) for x in ("epic", "gamepass", "psplus", "humble")])
-    return table(spark, sf_dir, "part").select(
+    editions = table(spark, sf_dir, "part").withColumn("edition", F.explode(F.sequence(F.lit(1), F.lit(EDITIONS))))
+    return editions.withColumn("item_id", item_id("p_partkey", "edition")).select(
         p.alias("id"),
         F.concat("p_name", F.lit(" #"), p.cast("string")).alias("name"),
         F.when(p % 13 == 0, F.array().cast("array<struct<name:string>>"))
@@ -100,9 +110,8 @@ def appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = F.col("l_suppkey") % 4
     return (
         table(spark, sf_dir, "lineitem")
-        .where(F.col("l_quantity") <= 4)
         .select(
-            F.col("l_partkey").alias("game_id"),
+            item_id("l_partkey", "l_linenumber").alias("game_id"),
             F.when(supplier == 0, "epic").when(supplier == 1, "gamepass").when(supplier == 2, "psplus").otherwise("humble").alias("platform"),
             F.col("l_shipdate").cast("date").alias("appeared_on"),
         )
@@ -161,7 +170,7 @@ def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     doubled = F.col("key").isin("predict:game 0:epic", "rate_limit:10.0.0.1:game 0:epic")
     return (
         latest_per_key(results.unionByName(votes))
-        .withColumn("created_at", F.coalesce(age_at_limit, F.col("created_at")))
+        .withColumn("created_at", F.when(F.col("key") != NO_TIME_KEY, F.coalesce(age_at_limit, F.col("created_at"))))
         .withColumn("hours", F.explode(F.when(doubled, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
         .withColumn("created_at", F.col("created_at") - F.make_dt_interval(hours=F.col("hours")))
         .drop("hours")
@@ -172,6 +181,12 @@ def _request_json() -> Column:
     return F.to_json(F.struct("request_id"))
 
 
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The titles that are searched: one per part."""
+    p = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(p.alias("game_id"), F.concat("p_name", F.lit(" #"), p.cast("string")).alias("name"))
+
+
 def title_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What users type: item names in other case and spacing, one word more or less, blanks."""
     p = F.col("p_partkey")
@@ -191,8 +206,8 @@ def manual_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed-in items; some without a name or a publisher."""
     s = F.col("s_suppkey")
     return table(spark, sf_dir, "supplier").select(
-        F.when(s % 7 == 0, F.lit("  ")).otherwise(F.concat(F.lit("Title "), s.cast("string"))).alias("name"),
-        F.when(s % 5 == 0, F.lit("")).otherwise(F.col("s_name")).alias("publisher"),
+        F.when(s % 7 == 0, F.lit(" \t\u3000")).otherwise(F.concat(F.lit("Title "), s.cast("string"))).alias("name"),
+        F.when(s % 10 == 0, F.lit("\n\u00a0")).when(s % 5 == 0, F.lit("")).otherwise(F.col("s_name")).alias("publisher"),
     )
 
 

@@ -17,12 +17,18 @@ from shelfcast.operators.requests import accepted
 from shelfcast.operators.snapshots import latest_per_key
 from shelfcast.session import new_path
 
-WATERMARK = "0 seconds"
+# how long a key's opener is kept after its last change, by the clock; many times any period
+STATE_MS = 7 * 24 * 3600 * 1000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class OpenPeriod(StatefulProcessor):
-    """Keeps one opener per key; a timer forgets it when its period has passed."""
+    """Keeps one opener per key; it is forgotten some days after its last change.
+
+    Rows are judged in the order they arrive, and by time within a trigger. A row that comes late, with a
+    time before the open period began, is answered by that period. So every row is judged and none waits
+    for or falls behind a watermark.
+    """
 
     def __init__(self, period_us: int, payload: list[str]):
         self.period_us = period_us
@@ -31,7 +37,7 @@ class OpenPeriod(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = T.StructType([T.StructField("at_us", T.LongType()), T.StructField("id", T.LongType())])
         self.handle = handle
-        self.state = handle.getValueState("opener", schema)
+        self.state = handle.getValueState("opener", schema, STATE_MS)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         opener = tuple(self.state.get()) if self.state.exists() else None
@@ -47,40 +53,24 @@ class OpenPeriod(StatefulProcessor):
             ids.append(opener and opener[1])
         if opener and opener != before:
             self.state.update(opener)
-            if before:
-                self.handle.deleteTimer(self._expiry(before))
-            self.handle.registerTimer(self._expiry(opener))
         out = frame[self.payload].copy()
         out["opener_id"] = pd.array(ids, dtype="Int64")
         yield out
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        return iter([])
-
     def close(self) -> None:
         pass
 
-    def _expiry(self, opener: tuple) -> int:
-        """Milliseconds, rounded up: a period never ends early."""
-        return -(-(opener[0] + self.period_us) // 1000)
 
-
-def live_openers(events: DataFrame, keys: list[str], period_us: int, watermark: str = WATERMARK) -> DataFrame:
-    """Streaming ``period_openers``: event time is ``ts``, the other columns are the same.
-
-    Rows behind the watermark are dropped by Spark and counted in its progress
-    metrics; they are not judged again.
-    """
+def live_openers(events: DataFrame, keys: list[str], period_us: int) -> DataFrame:
+    """Streaming ``period_openers``, with the same columns."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     payload = [c for c in events.columns if c not in ("at_us", "id", "eligible")]
     fields = [f for f in events.schema.fields if f.name in payload]
     schema = T.StructType([*fields, T.StructField("opener_id", T.LongType())])
     return (
-        events.withWatermark("ts", watermark)
-        .groupBy(*keys)
+        events.groupBy(*keys)
         .transformWithStateInPandas(
-            OpenPeriod(period_us, payload), schema, outputMode="append", timeMode="eventTime"
+            OpenPeriod(period_us, payload), schema, outputMode="append", timeMode="processingTime"
         )
     )
 
@@ -92,8 +82,8 @@ class OpenersByBatch:
     micro-batch runs ``period_openers``, which cuts large keys, on its rows and
     the openers carried over. A batch writes its judged rows, the openers that
     are still open and the latest time seen to folders of its own, and reads
-    only those of the batch before, so running it again changes nothing. Rows
-    older than the latest time seen before the batch are late and left out.
+    only those of the batch before, so running it again changes nothing. A row
+    older than the latest time seen before its batch is judged as if it came at that time.
     """
 
     def __init__(self, folder: str, keys: list[str], period_us: int, hot_rows: int | None = HOT_ROWS, bands: int = BANDS):
@@ -114,7 +104,7 @@ class OpenersByBatch:
             seen = spark.read.parquet(self._path("seen", batch_id - 1)).first()["at_us"]
             carried = spark.read.parquet(self._path("open", batch_id - 1))
             if seen is not None:
-                events = events.where(F.col("at_us") >= seen)
+                events = events.withColumn("at_us", F.greatest("at_us", F.lit(seen).cast("bigint")))
             events = events.unionByName(carried, allowMissingColumns=True)
         judged = period_openers(events, self.keys, self.period_us, self.hot_rows, self.bands)
         judged.write.mode("overwrite").parquet(self._path("judged", batch_id))
@@ -163,9 +153,9 @@ def vote_events(requests: DataFrame) -> DataFrame:
     )
 
 
-def live_votes(requests: DataFrame, period_us: int = COOLDOWN_US, watermark: str = WATERMARK) -> DataFrame:
+def live_votes(requests: DataFrame, period_us: int = COOLDOWN_US) -> DataFrame:
     """Accepted votes of a request stream, local traffic apart."""
-    return live_openers(vote_events(requests), ["client_ip", "game_key", "platform"], period_us, watermark).where(
+    return live_openers(vote_events(requests), ["client_ip", "game_key", "platform"], period_us).where(
         F.col("opener_id") == F.col("request_id")
     )
 
@@ -175,13 +165,13 @@ def live_local_votes(requests: DataFrame) -> DataFrame:
     return accepted(requests).where("is_local")
 
 
-def live_outcome_source(requests: DataFrame, period_us: int = RESULT_TTL_US, watermark: str = WATERMARK) -> DataFrame:
+def live_outcome_source(requests: DataFrame, period_us: int = RESULT_TTL_US) -> DataFrame:
     """``source`` and ``stored_by`` of a request stream."""
     events = accepted(requests).select(
         "request_id", "ts", "game_key", "platform", "outcome",
         F.unix_micros("ts").alias("at_us"), F.col("request_id").alias("id"), (F.col("outcome") == "ok").alias("eligible"),
     )
-    judged = live_openers(events, ["game_key", "platform"], period_us, watermark)
+    judged = live_openers(events, ["game_key", "platform"], period_us)
     source = F.when(F.col("opener_id") != F.col("request_id"), HIT).when(F.col("outcome") == "fail", ERROR).otherwise(MISS)
     return judged.withColumn("source", source).withColumnRenamed("opener_id", "stored_by")
 

@@ -12,6 +12,7 @@ from shelfcast.operators import catalogue as cat
 from shelfcast.operators import demand, history, leaderboard, model, publishers, scoring, snapshots, tiers, titles
 from shelfcast.operators import requests as rq
 from shelfcast.plans import pipeline
+from shelfcast.sources import derived
 from shelfcast.sources.readers import platform_dimension
 
 REQUEST = (
@@ -35,9 +36,9 @@ def requests(spark, *rows):
 
 def test_query_text_comes_before_body(spark):
     rows = [
-        (1, None, "", None, "Body", "psplus", None, None, None, None, None, None),
-        (2, None, "Query", "", "Body", "", None, None, None, None, None, None),
-        (3, None, None, "epic", "", None, None, None, None, None, None, None),
+        (1, datetime(2024, 1, 1), "", None, "Body", "psplus", None, None, None, None, None, None),
+        (2, datetime(2024, 1, 1), "Query", "", "Body", "", None, None, None, None, None, None),
+        (3, datetime(2024, 1, 1), None, "epic", "", None, None, None, None, None, None, None),
     ]
     df = requests(spark, *rows)
     named = {r.request_id: (r.game, r.platform, r.game_key) for r in rq.accepted(df).collect()}
@@ -427,3 +428,43 @@ def test_request_flow(spark):
         }
         assert rows[2].sentence == rows[1].sentence and "'P'" in rows[1].sentence
         assert rows[7].lower_bound_years == 0.0
+
+
+def test_a_game_counts_once_however_often_it_returns(spark):
+    days = [("2024-01-11",), ("2024-02-01",), ("2024-05-01",)]
+    seen = spark.createDataFrame([(1, "epic", d) for (d,) in days], "game_id bigint, platform string, day string").select(
+        "game_id", "platform", F.col("day").cast("date").alias("appeared_on")
+    )
+    items = spark.createDataFrame([(1, "A", "2024-01-01", 80.0)], "game_id bigint, publisher string, day string, metacritic double")
+    row = publishers.publisher_statistics(seen, items.withColumn("released", F.col("day").cast("date")), ["publisher"]).first()
+    assert (row.games_count, row.avg_wait_days) == (1, 10.0)
+
+
+def test_spread_is_never_negative(spark):
+    seen = spark.createDataFrame([(i, "epic", d) for i, d in ((1, "2023-12-01"), (2, "2023-11-01"))], "game_id bigint, platform string, day string")
+    seen = seen.select("game_id", "platform", F.col("day").cast("date").alias("appeared_on"))
+    items = spark.createDataFrame([(i, "A", "2024-01-01", 80.0) for i in (1, 2)], "game_id bigint, publisher string, day string, metacritic double")
+    row = publishers.publisher_statistics(seen, items.withColumn("released", F.col("day").cast("date")), ["publisher"]).first()
+    assert row.avg_wait_days < 0 < row.consistency
+
+
+def test_retention_keeps_rows_without_a_time(spark):
+    rows = spark.createDataFrame([("a", "2024-01-01"), ("b", None), ("c", "2024-01-09")], "key string, at string").select(
+        "key", F.lit("{}").alias("data"), F.col("at").cast("timestamp").alias("created_at")
+    )
+    kept, summary = snapshots.expire(rows, F.lit("2024-01-10").cast("timestamp"))
+    assert sorted(r.key for r in kept.collect()) == ["b", "c"] and summary.first().deleted == 1
+
+
+def test_blanks_of_any_kind_are_no_text(spark):
+    blanks = ["\t", "\n\r", "\u00a0\u3000", "\u2028", "\ufeff ", ""]
+    rows = [(b, "P") for b in blanks] + [("N", b) for b in blanks] + [(" N\t", "\u00a0P")]
+    found = cat.manual_records(spark.createDataFrame(rows, "name string, publisher string")).collect()
+    assert [r.name for r in found] == [" N\t"]
+
+
+def test_requests_without_a_time_are_refused(spark, sf_dir):
+    requests = derived.requests(spark, sf_dir)
+    named, refused = rq.accepted(requests), rq.rejected(requests)
+    assert named.where("ts is null").count() == 0 and refused.where("ts is null").count() > 0
+    assert named.count() + refused.count() == requests.count()

@@ -3,9 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as contract
 from shelfcast.operators import demand, titles
 from shelfcast.operators.keyed_scan import period_openers
+from shelfcast.plans.queries import REGISTRY
 
 
 def plan(df):
@@ -15,9 +15,9 @@ def plan(df):
 SLOW = {"estimate_model", "stream_votes", "stream_votes_in_cells", "stream_cache_outcome", "stream_leaderboard", "stream_cache_upsert"}
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(REGISTRY) - SLOW))
 def test_no_cross_products(spark, sf_dir, name):
-    text = plan(contract.queries()[name](spark, sf_dir))
+    text = plan(REGISTRY[name](spark, sf_dir))
     assert "CartesianProduct" not in text
     assert "BroadcastNestedLoopJoin" not in text
     assert "BatchEvalPython" not in text  # no row-at-a-time functions
