@@ -21,7 +21,7 @@ NO_REPEAT_LABEL = "Very Unlikely"
 UNKNOWN_LABEL = "Unknown"
 NO_REPEAT_PLATFORM = "humble"
 NO_WARNING_PLATFORM = "epic"
-# the only service whose owner's items are promised within a span
+# the only service whose owner's items are promised within a span; elsewhere they are timed like others
 FIRST_PARTY_PLATFORM = "gamepass"
 RECENT_DAYS = 365
 
@@ -72,9 +72,10 @@ def tiered_estimates(
     tier = (
         F.when(no_repeat, TIER_NO_REPEAT)
         .when(seen >= 2, TIER_HISTORY)
-        .when(F.col("owned") & (F.col("platform") == FIRST_PARTY_PLATFORM), TIER_FIRST_PARTY)
+        .when(F.col("owned"), TIER_FIRST_PARTY)
         .otherwise(TIER_MODEL)
     )
+    promised = (F.col("tier") == TIER_FIRST_PARTY) & (F.col("platform") == FIRST_PARTY_PLATFORM)
     # an item without a release date starts waiting now
     start = F.coalesce(F.col("released"), as_of)
     repeat_days = not_negative(F.datediff("last_on", as_of) + F.col("mean_gap_days"))
@@ -87,7 +88,7 @@ def tiered_estimates(
         .withColumns(
             {
                 "remaining_days": F.when(F.col("tier") == TIER_HISTORY, repeat_days).when(
-                    F.col("tier") == TIER_MODEL, model_days
+                    F.col("tier").isin(TIER_MODEL, TIER_FIRST_PARTY) & ~promised, model_days
                 ),
                 "theoretical_wait_time": F.when(F.col("tier") == TIER_NO_REPEAT, repeat_days / DAYS_PER_MONTH),
             }
@@ -96,7 +97,7 @@ def tiered_estimates(
         .withColumn(
             "category",
             F.when(F.col("tier") == TIER_NO_REPEAT, NO_REPEAT_LABEL)
-            .when(F.col("tier") == TIER_FIRST_PARTY, FIRST_PARTY_LABEL)
+            .when(promised, FIRST_PARTY_LABEL)
             .otherwise(category(F.col("predicted_months"))),
         )
         .withColumn("confidence", F.coalesce(steadiness, F.lit(0)))

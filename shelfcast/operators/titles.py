@@ -4,11 +4,10 @@ A title is a candidate if it shares a word with the query. More shared distinct
 words come first, then fewer distinct words in the title, then the shorter
 title, then the lower id. Only the first of these depends on the query.
 
-A word is hot if joining on it would give more than ``hot_pairs`` pairs; such a
-word is never joined title by title. Titles that share another word with a
-query are found through that word. Titles that share hot words only are found
-through sets of hot words: the order among titles that hold a given set does
-not depend on the query, so the best five per set are all a query can need.
+A word is hot if joining on it would give more than ``hot_pairs`` pairs. Titles that share another word
+with a query are found through that word. Titles that share hot words only are found through their
+whole set of hot words: the order among titles with the same set does not depend on the query, so the
+best five of each set are all that any query can need, and only distinct sets meet.
 """
 
 from __future__ import annotations
@@ -16,9 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfcast.session import new_path
+from shelfcast.sources.sinks import write_snapshot
+
 PAGE_SIZE = 5
 HOT_PAIRS = 1_000_000
-MAX_HOT_WORDS = 1_000
 
 
 def words(text: Column) -> Column:
@@ -36,13 +37,13 @@ def title_candidates(
     listed = titles.select("game_id", "name", words("name").alias("title_words"))
 
     hot = hot_words(searches, listed, hot_pairs)
-    hot_list = F.array([F.lit(w) for w in hot]).cast("array<string>")
-    searches = searches.withColumn("hot", F.array_intersect("query_words", hot_list))
-    listed = listed.withColumn("hot", F.array_intersect("title_words", hot_list))
-
-    found = _through_rare_words(searches, listed)
-    if hot:
-        found = found.unionByName(_through_hot_sets(searches, listed, size))
+    if hot.take(1):
+        searches = _with_hot(searches, ["query_words"], "query_words", hot)
+        listed = _with_hot(listed, ["game_id", "name", "title_words"], "title_words", hot)
+        found = _through_rare_words(searches, listed).unionByName(_through_hot_sets(searches, listed, size))
+    else:
+        none = F.array().cast("array<string>")
+        found = _through_rare_words(searches.withColumn("hot", none), listed.withColumn("hot", none))
     best = Window.partitionBy("query_words").orderBy(
         F.desc("shared"), F.asc("n_words"), F.asc("n_chars"), F.asc("game_id")
     )
@@ -50,19 +51,23 @@ def title_candidates(
     return asked.join(ranked, "query_words").select("query_id", "rank", "game_id", "name", "shared")
 
 
-def hot_words(searches: DataFrame, listed: DataFrame, hot_pairs: int) -> list[str]:
-    """The words with the most pairs, at most ``MAX_HOT_WORDS``; a small list by that limit.
-
-    Counted when the search is set up. A word left out is joined like any other.
-    """
+def hot_words(searches: DataFrame, listed: DataFrame, hot_pairs: int) -> DataFrame:
+    """The words with more than ``hot_pairs`` pairs, written once; two sides read them."""
 
     def counts(rows: DataFrame, column: str, name: str) -> DataFrame:
         return rows.select(F.explode(column).alias("word")).groupBy("word").agg(F.count("*").alias(name))
 
     both = counts(searches, "query_words", "queries").join(counts(listed, "title_words", "titles"), "word")
-    pairs = both.select("word", (F.col("queries").cast("double") * F.col("titles")).alias("pairs"))
-    top = pairs.where(F.col("pairs") > hot_pairs).orderBy(F.desc("pairs"), "word").limit(MAX_HOT_WORDS)
-    return sorted(row["word"] for row in top.collect())
+    found = both.where(F.col("queries").cast("double") * F.col("titles") > hot_pairs).select("word")
+    spark = searches.sparkSession
+    return spark.read.schema(found.schema).parquet(write_snapshot(found, new_path(spark, "hot-words")))
+
+
+def _with_hot(rows: DataFrame, key: list[str], column: str, hot: DataFrame) -> DataFrame:
+    """Adds the row's hot words, sorted."""
+    hits = rows.select(*key, F.explode(column).alias("word")).join(hot, "word")
+    lists = hits.groupBy(*key).agg(F.array_sort(F.collect_set("word")).alias("hot"))
+    return rows.join(lists, key, "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<string>")))
 
 
 def _ranking_columns() -> list[Column]:
@@ -94,38 +99,28 @@ def _through_rare_words(searches: DataFrame, listed: DataFrame) -> DataFrame:
     )
 
 
-def subsets(items: Column, at_most: Column) -> Column:
-    """All non-empty subsets of a sorted array with no more than ``at_most`` members."""
-    none = F.array(F.array().cast("array<string>"))
-
-    def extend(sets: Column, item: Column) -> Column:
-        open_sets = F.filter(sets, lambda s: F.size(s) < at_most)
-        return F.concat(sets, F.transform(open_sets, lambda s: F.array_append(s, item)))
-
-    return F.filter(F.aggregate(items, none, extend), lambda s: F.size(s) > 0)
-
-
 def _through_hot_sets(searches: DataFrame, listed: DataFrame, size: int) -> DataFrame:
-    """The best titles per set of hot words, for every set that some query contains.
+    """The pairs that share hot words only, of the best titles of each set of hot words.
 
-    If a title shares just the hot words S with a query, the titles ahead of it
-    in the list of S share at least as much with that query. So a title that
-    belongs to the query's page is in the list of S, and is kept from that list.
+    Of the titles with the hot words S, those ahead in the order share at least as much with a query
+    as a title that shares nothing but hot words with it. So if such a title belongs to the query's
+    page, it is among the best of S.
     """
-    wanted = searches.where(F.size("hot") > 0)
-    largest = wanted.agg(F.max(F.size("hot"))).scalar()
-    holding = (
+    best = Window.partitionBy("hot").orderBy("n_words", "n_chars", "game_id")
+    # tasks cut to ``size`` titles per set before the shuffle
+    lists = (
         listed.where(F.size("hot") > 0)
-        .withColumn("largest", largest)
-        .select("title_words", *_ranking_columns(), F.explode(subsets(F.col("hot"), F.col("largest"))).alias("hot_set"))
+        .select("hot", "title_words", *_ranking_columns())
+        .withColumn("place", F.row_number().over(best))
+        .where(F.col("place") <= size)
     )
-    best = Window.partitionBy("hot_set").orderBy("n_words", "n_chars", "game_id")
-    # tasks cut to ``size`` titles per set before the shuffle
-    lists = holding.withColumn("place", F.row_number().over(best)).where(F.col("place") <= size)
-    by_query = wanted.select("query_words", F.explode(subsets(F.col("hot"), F.size("hot"))).alias("hot_set"))
-    shared = F.array_intersect("query_words", "title_words")
+    by_title = lists.withColumnRenamed("hot", "title_hot").withColumn("word", F.explode("title_hot"))
+    by_query = searches.select("query_words", "hot", F.explode("hot").alias("word"))
+    common = F.array_intersect("hot", "title_hot")
+    shared = F.size(F.array_intersect("query_words", "title_words"))
     return (
-        by_query.join(lists, "hot_set")
-        .where(F.col("hot_set") == shared)
-        .select("query_words", "game_id", "name", "n_words", "n_chars", F.size(shared).cast("bigint").alias("shared"))
+        by_query.join(by_title, "word")
+        # the smallest common hot word keeps the pair
+        .where((F.col("word") == F.array_min(common)) & (F.size(common) == shared))
+        .select("query_words", "game_id", "name", "n_words", "n_chars", shared.cast("bigint").alias("shared"))
     )

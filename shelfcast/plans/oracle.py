@@ -324,7 +324,8 @@ PARTS: dict[str, tuple[list[str], str]] = {
                s.avg_wait_days AS wait, s.games_count, s.consistency AS cv,
                CASE WHEN o.platform = 'humble' AND h.occurrences >= 1 THEN 'D. Humble Choice Rules'
                     WHEN h.occurrences >= 2 THEN 'A. Historical Lookup'
-                    WHEN o.publisher = 'Brand#1' AND o.platform = 'gamepass' THEN 'C. First-Party Check'
+                    WHEN (o.publisher = 'Brand#1' AND o.platform = 'gamepass')
+                      OR (o.publisher = 'Brand#2' AND o.platform = 'psplus') THEN 'C. First-Party Check'
                     ELSE 'B. Model' END AS tier,
                date_diff('day', DATE '2001-12-01', h.last_on) + h.mean_gap AS repeat_days,
                date_diff('day', DATE '2001-12-01', coalesce(o.released, DATE '2001-12-01')) + s.avg_wait_days AS model_days
@@ -341,7 +342,8 @@ PARTS: dict[str, tuple[list[str], str]] = {
                    AS theoretical,
                CAST(floor(wait + 0.5) AS BIGINT) AS wait_text,
                coalesce(CAST(floor(100 * (1 - least(cv, 1.0)) + 0.5) AS INTEGER), 0) AS confidence
-        FROM (SELECT *, CASE tier WHEN 'A. Historical Lookup' THEN repeat_days WHEN 'B. Model' THEN model_days END AS days
+        FROM (SELECT *, CASE WHEN tier = 'A. Historical Lookup' THEN repeat_days
+                             WHEN tier = 'B. Model' OR (tier = 'C. First-Party Check' AND platform <> 'gamepass') THEN model_days END AS days
               FROM tiers)
         """,
     ),
@@ -647,8 +649,8 @@ SELECT game_id, platform, tier, category,
        coalesce(date_diff('day', last_on, DATE '2001-12-01') <= 365, false) AND platform <> 'epic' AS recent_warning
 FROM (SELECT *,
              CASE tier WHEN 'D. Humble Choice Rules' THEN 'Very Unlikely'
-                       WHEN 'C. First-Party Check' THEN 'Within 12-24 months'
-                       ELSE CASE WHEN months <= 6 THEN 'Within 6 months' WHEN months <= 12 THEN '6-12 months'
+                       ELSE CASE WHEN tier = 'C. First-Party Check' AND platform = 'gamepass' THEN 'Within 12-24 months'
+                                 WHEN months <= 6 THEN 'Within 6 months' WHEN months <= 12 THEN '6-12 months'
                                  WHEN months <= 24 THEN 'More than 12 months'
                                  WHEN months IS NULL THEN 'Unknown' ELSE 'More than 24 months' END END AS category
       FROM tier_times)

@@ -46,3 +46,12 @@ def test_hot_words_are_not_joined_by_title(spark):
     assert df.count() == 250
     # tasks cut the lists of hot sets before they are shuffled
     assert plan(df).count("WindowGroupLimit") >= 3
+
+
+def test_many_common_words_do_not_blow_up(spark):
+    common = " ".join(f"w{i}" for i in range(30))
+    listed = spark.range(1000).select(F.col("id").alias("game_id"), F.concat(F.lit(common + " t"), F.col("id").cast("string")).alias("name"))
+    asked = spark.range(20).select(F.col("id").alias("query_id"), F.lit(common).alias("query"))
+    found = titles.title_candidates(asked, listed, hot_pairs=500).collect()
+    assert {r.query_id: r.shared for r in found} == dict.fromkeys(range(20), 30)
+    assert sorted(r.game_id for r in found if r.query_id == 0) == [0, 1, 2, 3, 4]
