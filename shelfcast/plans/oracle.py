@@ -427,7 +427,7 @@ def statements() -> dict[str, str]:
         FROM estimates
     """
 
-    return {
+    found = {
         "requests_normalised": with_parts(
             """
             SELECT request_id, game, platform, client_ip, is_local, 'predict:' || game_key || ':' || platform AS result_key,
@@ -614,6 +614,14 @@ def statements() -> dict[str, str]:
             PIPELINE, "votes", "estimates", votes_from="voters", cache_from="judged", estimated="scored_requests"
         ),
     }
+    # the same rows, by way of landed files
+    landed = {
+        "requests_from_json": "requests_normalised",
+        "stats_from_csv": "publisher_first_match",
+        "appearances_from_csv": "history_summary",
+        "catalogue_from_json": "catalogue_enriched",
+    }
+    return found | {name: found[same] for name, same in landed.items()}
 
 
 TIERED = f"""

@@ -17,7 +17,8 @@ from shelfcast.operators import catalogue as cat
 from shelfcast.operators import demand, history, leaderboard, model, publishers, scoring, snapshots, tiers, titles
 from shelfcast.operators import requests as rq
 from shelfcast.plans import pipeline
-from shelfcast.sources import derived
+from shelfcast.session import new_path
+from shelfcast.sources import derived, readers, schemas, sinks
 from shelfcast.sources.readers import platform_dimension
 from shelfcast.streaming import live
 
@@ -76,8 +77,12 @@ def history_day() -> Column:
 
 @query
 def requests_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _normalised(named_requests(spark, sf_dir))
+
+
+def _normalised(named: DataFrame) -> DataFrame:
     game, platform, ip = F.col("game"), F.col("platform"), F.col("client_ip")
-    return named_requests(spark, sf_dir).select(
+    return named.select(
         "request_id", "game", "platform", "client_ip", "is_local",
         rq.result_key(game, platform).alias("result_key"),
         rq.cooldown_key(ip, game, platform).alias("cooldown_key"),
@@ -96,6 +101,38 @@ def requests_on_platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# -- landed files, through the readers --------------------------------------
+
+
+@query
+def requests_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = derived.requests(spark, sf_dir).withColumn("platforms", F.array("body_platform"))
+    path = sinks.write_json(rows.select(*schemas.REQUESTS.names), new_path(spark, "requests-json"))
+    return _normalised(rq.accepted(readers.read_requests(spark, path, "json")))
+
+
+@query
+def stats_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statistics file in source order; the first row of a publisher counts."""
+    rows = derived.publisher_stats(spark, sf_dir).orderBy("ordinal").select(*schemas.PUBLISHER_STATS.names)
+    path = new_path(spark, "stats-csv")
+    rows.write.option("header", True).csv(path)
+    return _shown_statistics(publishers.first_match(readers.read_publisher_stats(spark, path), "primary_publisher"))
+
+
+@query
+def appearances_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "appearances-csv")
+    derived.appearances(spark, sf_dir).write.option("header", True).csv(path)
+    return _shown_history(history.history_summary(readers.read_appearances(spark, path)))
+
+
+@query
+def catalogue_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = sinks.write_json(derived.catalogue(spark, sf_dir), new_path(spark, "catalogue-json"))
+    return _shown_catalogue(cat.enrich(readers.read_catalogue(spark, path)))
+
+
 # -- votes and stored results -----------------------------------------------
 
 
@@ -225,7 +262,11 @@ def cooldown_lookup_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def catalogue_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cat.enrich(derived.catalogue(spark, sf_dir)).select(
+    return _shown_catalogue(cat.enrich(derived.catalogue(spark, sf_dir)))
+
+
+def _shown_catalogue(enriched: DataFrame) -> DataFrame:
+    return enriched.select(
         "game_id", "name", "publisher", "metacritic", "release_year", "release_month",
         F.array_join("platforms", ",").alias("platforms"), "image", "score_text", "released_text",
     )
@@ -270,7 +311,10 @@ def publisher_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def publisher_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = publishers.first_match(derived.publisher_stats(spark, sf_dir), "primary_publisher")
+    return _shown_statistics(publishers.first_match(derived.publisher_stats(spark, sf_dir), "primary_publisher"))
+
+
+def _shown_statistics(first: DataFrame) -> DataFrame:
     return first.select("primary_publisher", six("avg_days_to_epic"), "games_count", six("avg_metacritic"))
 
 
@@ -295,7 +339,11 @@ def appearance_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def history_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.history_summary(derived.appearances(spark, sf_dir)).select(
+    return _shown_history(history.history_summary(derived.appearances(spark, sf_dir)))
+
+
+def _shown_history(summary: DataFrame) -> DataFrame:
+    return summary.select(
         "game_id", "platform", "occurrences", F.col("last_on").cast("string").alias("last_on"), six("mean_gap_days")
     )
 
