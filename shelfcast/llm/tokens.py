@@ -1,9 +1,9 @@
 """Token ids of whole texts, for use inside tasks.
 
 A text's ids are those of its words, since the vocabulary drops white space and never joins across it. So
-Arrow splits and dictionary-encodes the words of a chunk, and only words that are new to the
-Python worker are tokenised. Words of printable Latin-1 characters are split by the tokenizer's own
-pattern and go straight to its merge model; any other word takes the tokenizer's full way.
+Arrow splits and dictionary-encodes the words of a chunk, and only its distinct words are tokenised. Words of
+printable Latin-1 characters are split by the tokenizer's own pattern, and pieces that are new to the Python worker
+go straight to its merge model; any other word takes the tokenizer's full way.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import json
 import os
 import sys
 import types
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,8 @@ END_ID = 2
 CHUNK_CHARS = 4_000_000
 MOST_CACHED = 300_000
 
-# printable Latin-1 without the no-break space: no normalisation changes these but lower case
-PLAIN = regex.compile(r"[\x21-\x7e\xa1-\xff]+")
+# printable Latin-1 without the no-break space, and line feeds: no normalisation changes these but lower case
+PLAIN = regex.compile(r"[\x21-\x7e\xa1-\xff\n]+")
 # fixed values: contractions, letters, single digits, runs of anything else
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BLANK = regex.compile(r"[ \t\n\x0b\x0c\r]")
@@ -44,7 +45,7 @@ def _byte_characters() -> dict[int, str]:
 
 
 class WordIds:
-    """Ids of texts, with a bounded cache of words."""
+    """Ids of texts, with a bounded cache of their pieces."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,39 +57,52 @@ class WordIds:
         self.special = [t["content"] for t in told["added_tokens"]]
         if told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] != PIECES:
             raise ValueError("the vocabulary does not split words as this module does")
-        self.pieces = regex.compile(PIECES)
+        self.pieces = regex.compile(PIECES + r"|\n")
         self.characters = _byte_characters()
-        self.words: dict[str, bytes] = {}
-
-    def _plain(self, word: str) -> bytes:
-        out = []
-        for piece in self.pieces.findall(word.lower()):
+        self.known: dict[str, bytes] = {"\n": b""}
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Cache the ids of pieces that are new."""
+        if len(self.known) > MOST_CACHED:
+            self.known = {"\n": b""}
+        tokenize = self.tokenizer.model.tokenize
+        for piece in set(pieces).difference(self.known):
             shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.characters)
-            out += [t.id for t in self.tokenizer.model.tokenize(shown)]
-        return np.array(out, dtype=np.uint32).tobytes()
-
-    def _ids_of(self, words: list[str]) -> list[bytes]:
-        if len(self.words) > MOST_CACHED:
-            self.words.clear()
-        for w in words:
-            if w not in self.words:
-                if PLAIN.fullmatch(w) and not any(s in w for s in self.special):
-                    self.words[w] = self._plain(w)
-                else:
-                    ids = self.tokenizer.encode(w, add_special_tokens=False).ids
-                    self.words[w] = np.array(ids, dtype=np.uint32).tobytes()
-        return [self.words[w] for w in words]
+            self.known[piece] = array("I", [t.id for t in tokenize(shown)]).tobytes()
+
+    def _plain(self, joined: str) -> tuple[bytes, np.ndarray]:
+        """Ids of words that are joined by line feeds and end with one, and how many each has."""
+        pieces = self.pieces.findall(joined.lower())
+        self._learn(pieces)
+        found = [self.known[p] for p in pieces]
+        until = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])
+        ends = np.flatnonzero(np.fromiter((p == "\n" for p in pieces), bool, len(pieces)))
+        return b"".join(found), np.diff(until[ends], prepend=0)
+
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after the other, and how many each has."""
+        joined = "\n".join(words) + "\n"
+        if PLAIN.fullmatch(joined) and not any(s in joined for s in self.special):
+            data, sizes = self._plain(joined)
+            return np.frombuffer(data, np.uint32), sizes
+        parts, sizes = [], np.zeros(len(words), np.int64)
+        for i, w in enumerate(words):
+            if PLAIN.fullmatch(w) and not any(s in w for s in self.special):
+                data = self._plain(w + "\n")[0]
+            else:
+                data = array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
+            parts.append(data)
+            sizes[i] = len(data) // 4
+        return np.frombuffer(b"".join(parts), np.uint32), sizes
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each has."""
         split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
         words, ends = split.flatten(), split.offsets.to_numpy()
         coded = words.dictionary_encode()
-        found = self._ids_of(coded.dictionary.to_pylist())
-        if not found:
+        if not len(words):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        store = np.frombuffer(b"".join(found), dtype=np.uint32)
-        sizes = np.fromiter((len(b) // 4 for b in found), np.int64, len(found))
+        store, sizes = self._ids_of(coded.dictionary.to_pylist())
         starts = np.cumsum(sizes) - sizes
         codes = coded.indices.to_numpy()
         lengths = sizes[codes]
