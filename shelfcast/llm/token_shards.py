@@ -99,13 +99,13 @@ def numbered(found: DataFrame) -> tuple[DataFrame, int]:
     rows = stored(
         found.select("*", F.spark_partition_id().alias("run"), F.monotonically_increasing_id().alias("at")), "sequences"
     )
-    # one row for each partition that wrote
+    # one row for each task that wrote, so small enough to send to all: the records themselves stay where they are
     runs = rows.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     starts = runs.select("run", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
     count = rows.count()
     number = (F.col("earlier") + F.col("at") - F.col("first")).alias("number")
-    return rows.join(starts, "run").select(number, "doc_id", "start", "n_tokens", "ids"), count
+    return rows.join(F.broadcast(starts), "run").select(number, "doc_id", "start", "n_tokens", "ids"), count
 
 
 def write_shards(
