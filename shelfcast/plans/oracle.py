@@ -614,8 +614,21 @@ def statements() -> dict[str, str]:
             PIPELINE, "votes", "estimates", votes_from="voters", cache_from="judged", estimated="scored_requests"
         ),
     }
-    # the same rows, by way of landed files
+    found["request_pipeline_board"] = with_parts(
+        "SELECT game, platform, score FROM board", "board", votes_from="voters", cache_from="judged"
+    )
+    found["request_pipeline_cache"] = with_parts(
+        """
+        SELECT c.game_key, c.platform, c.id, epoch_us(c.ts) AS at_us, round(e.years, 6) AS predicted_years, e.sentence
+        FROM (SELECT *, row_number() OVER (PARTITION BY game_key, platform ORDER BY ts DESC) AS n FROM store_chain) c
+             JOIN estimates e ON e.row_id = c.id
+        WHERE n = 1
+        """,
+        "store_chain", "estimates", cache_from="judged", estimated="scored_requests",
+    )
+    # the same rows, by way of landed files or batch by batch
     landed = {
+        "request_pipeline_batches": "request_pipeline",
         "requests_from_json": "requests_normalised",
         "stats_from_csv": "publisher_first_match",
         "appearances_from_csv": "history_summary",

@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.operators import requests as rq
 from shelfcast.operators.catalogue import release_month, release_year
-from shelfcast.operators.demand import ERROR, HIT, MISS, accepted_votes, with_outcome_source, with_votes
+from shelfcast.operators.demand import (
+    ERROR,
+    HIT,
+    MISS,
+    RESULT_KEYS,
+    VOTE_KEYS,
+    accepted_votes,
+    last_openers,
+    with_outcome_source,
+    with_votes,
+)
 from shelfcast.operators.keyed_scan import HOT_ROWS
-from shelfcast.operators.leaderboard import vote_counts
+from shelfcast.operators.leaderboard import merge_counts, vote_counts
 from shelfcast.operators.model import predict_days
 from shelfcast.operators.scoring import FAILED, RESULT_FIELDS, estimates, feature_rows, publisher_features
 from shelfcast.session import new_path
@@ -109,3 +121,65 @@ def responses(
         .unionByName(refused, allowMissingColumns=True)
         .select(*columns, *RESULT_FIELDS, "voted")
     )
+
+
+@dataclass
+class FlowState:
+    """What a batch of requests finds and leaves: stored results, running cooldowns and the board.
+
+    ``results`` has game_key, platform, at_us, id and the result's fields, ``cooldowns`` has client_ip, game_key,
+    platform, at_us and id, ``board`` has game, platform and score. Each is a written table with one row a key.
+    """
+
+    results: DataFrame
+    cooldowns: DataFrame
+    board: DataFrame
+
+
+def answer_batch(
+    requests: DataFrame,
+    stats: DataFrame,
+    codes: DataFrame,
+    state: FlowState | None = None,
+    hot_rows: int | None = HOT_ROWS,
+    model: PipelineModel | None = None,
+) -> tuple[DataFrame, FlowState]:
+    """The answers to a batch of requests, and the state after it; batches come in the order of time.
+
+    Several batches one after the other answer, count and store what one run over all of them does.
+    """
+    spark = requests.sparkSession
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        return spark.read.schema(df.schema).parquet(write_snapshot(df, new_path(spark, name)))
+
+    named = with_scoring_outcome(rq.accepted(requests), stats, codes)
+    before = state.results if state else None
+    decided = written(with_outcome_source(named, hot_rows=hot_rows, start=before, keep_opener=True), "answered")
+    results = scored_results(decided, stats, codes, model)
+    if state:
+        results = results.unionByName(before.select(F.col("id").alias("stored_by"), *RESULT_FIELDS))
+    results = written(results, "results")
+
+    asking = decided.where((F.col("source") == HIT) | stored()).drop("opener_id", "opener_us")
+    cooling = state.cooldowns if state else None
+    voted = written(with_votes(asking, hot_rows=hot_rows, start=cooling, keep_opener=True), "voted")
+    counts = vote_counts(voted.where("voted"))
+
+    latest = last_openers(decided, RESULT_KEYS, before)
+    after = FlowState(
+        written(latest.join(results, latest["id"] == results["stored_by"]).drop("stored_by"), "stored-results"),
+        written(last_openers(voted, VOTE_KEYS, cooling), "cooldowns"),
+        written(merge_counts(state.board, counts) if state else counts, "board"),
+    )
+    columns = ["request_id", "status", "game", "platform", "source", "stored_by"]
+    status = F.when(F.col("source") == ERROR, STATUS_ERROR).otherwise(STATUS_OK).alias("status")
+    with_result = voted.withColumn("status", status).select(*columns, "voted").join(results, "stored_by", "left")
+    without = decided.where(~((F.col("source") == HIT) | stored())).withColumn("status", status)
+    refused = rq.rejected(requests).select("request_id", "status", F.lit(False).alias("voted"))
+    answers = (
+        with_result.unionByName(without.select(*columns, F.lit(False).alias("voted")), allowMissingColumns=True)
+        .unionByName(refused, allowMissingColumns=True)
+        .select(*columns, *RESULT_FIELDS, "voted")
+    )
+    return answers, after

@@ -467,12 +467,46 @@ def request_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = derived.publisher_stats(spark, sf_dir)
     codes = publishers.label_codes(derived.publisher_labels(spark, sf_dir))
     answers = pipeline.responses(derived.requests(spark, sf_dir), stats, codes)
+    return _shown_answers(answers)
+
+
+def _shown_answers(answers: DataFrame) -> DataFrame:
     return answers.select(
         "request_id", "status", "game", "platform", "source", "stored_by", six("predicted_years"),
         "years_whole", "months_whole", "sentence", "voted",
     )
 
 
+def _two_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, pipeline.FlowState]:
+    """The requests of the first half, then those of the second on the state that the first left."""
+    stats = derived.publisher_stats(spark, sf_dir)
+    codes = publishers.label_codes(derived.publisher_labels(spark, sf_dir))
+    requests = derived.requests(spark, sf_dir)
+    later = F.coalesce(F.col("ts") >= F.lit(derived.BATCH_FROM).cast("timestamp"), F.lit(False))
+    first, state = pipeline.answer_batch(requests.where(~later), stats, codes)
+    second, state = pipeline.answer_batch(requests.where(later), stats, codes, state)
+    return first.unionByName(second), state
+
+
+@query
+def request_pipeline_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers, _ = _two_batches(spark, sf_dir)
+    return _shown_answers(answers)
+
+
+@query
+def request_pipeline_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, state = _two_batches(spark, sf_dir)
+    return state.board
+
+
+@query
+def request_pipeline_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored results after both batches."""
+    _, state = _two_batches(spark, sf_dir)
+    return state.results.select("game_key", "platform", "id", "at_us", six("predicted_years"), "sentence")
+
+
 # -- streams ----------------------------------------------------------------
 
 
