@@ -17,13 +17,11 @@ from shelfcast.operators.requests import accepted
 from shelfcast.operators.snapshots import latest_per_key
 from shelfcast.session import new_path
 
-# how long a key's opener is kept after its last change, by the clock; many times any period
-STATE_MS = 7 * 24 * 3600 * 1000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class OpenPeriod(StatefulProcessor):
-    """Keeps one opener per key; it is forgotten some days after its last change.
+    """Keeps one opener per key: two numbers, on disk, for every key ever seen.
 
     Rows are judged in the order they arrive, and by time within a trigger. A row that comes late, with a
     time before the open period began, is answered by that period. So every row is judged and none waits
@@ -37,7 +35,7 @@ class OpenPeriod(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = T.StructType([T.StructField("at_us", T.LongType()), T.StructField("id", T.LongType())])
         self.handle = handle
-        self.state = handle.getValueState("opener", schema, STATE_MS)
+        self.state = handle.getValueState("opener", schema)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         opener = tuple(self.state.get()) if self.state.exists() else None
@@ -70,7 +68,7 @@ def live_openers(events: DataFrame, keys: list[str], period_us: int) -> DataFram
     return (
         events.groupBy(*keys)
         .transformWithStateInPandas(
-            OpenPeriod(period_us, payload), schema, outputMode="append", timeMode="processingTime"
+            OpenPeriod(period_us, payload), schema, outputMode="append", timeMode="none"
         )
     )
 
