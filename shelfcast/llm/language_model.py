@@ -142,15 +142,19 @@ def requests(flagged: DataFrame, text: str, order: int, shards: int) -> DataFram
     return flagged.select(text, "trusted", "held_out").mapInArrow(ask, kind)
 
 
-def discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """The three discounts of an order, from how many n-grams occur once to four times."""
-    n = {r[0]: r[1] for r in counts.where("c <= 4").groupBy("c").count().collect()}
-    n1, n2, n3, n4 = (n.get(i, 0) for i in (1, 2, 3, 4))
-    if not (n1 and n2 and n3):
-        return DEFAULT_DISCOUNTS
-    y = n1 / (n1 + 2 * n2)
-    found = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
-    return tuple(d if 0 < d <= i else default for i, d, default in zip((1, 2, 3), found, DEFAULT_DISCOUNTS))
+def discounts(grams: DataFrame, models: list[str]) -> dict[str, tuple[float, float, float]]:
+    """Each model's three discounts of an order, from how many n-grams occur once to four times."""
+    times = [F.count_if(F.col(m) == i).alias(f"{m}_{i}") for m in models for i in (1, 2, 3, 4)]
+    told = grams.agg(*times).first()
+    out = {}
+    for m in models:
+        n1, n2, n3, n4 = (told[f"{m}_{i}"] for i in (1, 2, 3, 4))
+        out[m] = DEFAULT_DISCOUNTS
+        if n1 and n2 and n3:
+            y = n1 / (n1 + 2 * n2)
+            found = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
+            out[m] = tuple(d if 0 < d <= i else default for i, d, default in zip((1, 2, 3), found, DEFAULT_DISCOUNTS))
+    return out
 
 
 def suffix(order: int) -> Column:
@@ -158,29 +162,36 @@ def suffix(order: int) -> Column:
     return F.col("gram").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1))
 
 
-def probabilities(asked: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, p) for every n-gram asked for; ``asked`` has (gram, c) with c its count in trusted text.
+def probabilities(asked: DataFrame, models: list[str], order: int = ORDER) -> DataFrame:
+    """Every n-gram asked for with its probability under each model, in place of its counts.
 
-    p is that of the last byte after the others, interpolated over all orders down to the uniform distribution.
+    ``asked`` has a row for each n-gram and, under the name of each model, how often that model's text has it. The probability
+    is that of the last byte after the others, interpolated over all orders down to the uniform distribution.
     """
-    counts = {order: asked.where("c > 0")}
-    wanted = {order: asked.select("gram")}
+    grams = {order: asked}
     for k in range(order, 1, -1):
-        counts[k - 1] = stored(counts[k].groupBy(suffix(k).alias("gram")).agg(F.count(F.lit(1)).alias("c")), "continuations")
-        wanted[k - 1] = stored(wanted[k].select(suffix(k).alias("gram")).distinct(), "asked")
+        # in how many longer n-grams it occurs; the row is there even if in none
+        seen = [F.count_if(F.col(m) > 0).alias(m) for m in models]
+        grams[k - 1] = stored(grams[k].groupBy(suffix(k).alias("gram")).agg(*seen), "continuations")
     below = None
     for k in range(1, order + 1):
-        d1, d2, d3 = discounts(counts[k])
         context = F.shiftright("gram", 8).alias("context")
-        taken = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        contexts = counts[k].groupBy(context).agg(F.sum("c").alias("total"), F.sum(taken).alias("given"))
-        low = F.lit(1 / 256) if below is None else F.col("low")
-        rows = wanted[k].select("gram", context, suffix(k).alias("tail"))
-        rows = rows.join(counts[k], "gram", "left").join(contexts, "context", "left")
+        taken = {
+            m: F.when(F.col(m) == 1, d[0]).when(F.col(m) == 2, d[1]).when(F.col(m) > 2, d[2]).otherwise(0.0)
+            for m, d in discounts(grams[k], models).items()
+        }
+        sums = [F.sum(m).alias(f"{m}_total") for m in models] + [F.sum(taken[m]).alias(f"{m}_given") for m in models]
+        contexts = grams[k].groupBy(context).agg(*sums)
+        rows = grams[k].select("gram", *models, context, suffix(k).alias("tail")).join(contexts, "context")
         if below is not None:
-            rows = rows.join(below.select(F.col("gram").alias("tail"), F.col("p").alias("low")), "tail")
-        own = F.coalesce((F.col("c") - taken) / F.col("total"), F.lit(0.0))
-        below = stored(rows.select("gram", (own + F.coalesce(F.col("given") / F.col("total"), F.lit(1.0)) * low).alias("p")), "probabilities")
+            rows = rows.join(below.select(F.col("gram").alias("tail"), *[F.col(m).alias(f"{m}_low") for m in models]), "tail")
+
+        def interpolated(m: str, first: bool) -> Column:
+            low, total = F.lit(1 / 256) if first else F.col(f"{m}_low"), F.col(f"{m}_total")
+            # a context that was never seen leaves it to the lower order
+            return F.when(total > 0, (F.col(m) - taken[m] + F.col(f"{m}_given") * low) / total).otherwise(low).alias(m)
+
+        below = stored(rows.select("gram", *[interpolated(m, below is None) for m in models]), "probabilities")
     return below
 
 
@@ -196,17 +207,17 @@ def answers(asked: DataFrame, found: DataFrame, shards: int) -> DataFrame:
         keys = table["gram"].to_numpy()
         at = [np.searchsorted(keys, np.asarray(g, dtype=np.int64)) for g in requested["grams"]]
         out = requested[["block", "checksum", "shard"]].copy()
-        for name in ("p", "p_half"):
+        for name in ("whole", "half"):
             logs = np.log(table[name].to_numpy()).astype(np.float32)
             out[name] = [logs[i].tobytes() for i in at]
         return out
 
-    by_shard = found.select("gram", "p", "p_half", shard("gram").alias("shard")).groupBy("shard")
+    by_shard = found.select("gram", "whole", "half", shard("gram").alias("shard")).groupBy("shard")
     return (
         asked.select("block", "checksum", "shard", "grams")
         .groupBy("shard")
         .cogroup(by_shard)
-        .applyInPandas(reply, "block long, checksum long, shard int, p binary, p_half binary")
+        .applyInPandas(reply, "block long, checksum long, shard int, whole binary, half binary")
     )
 
 
@@ -239,7 +250,7 @@ def scored(flagged: DataFrame, replies: DataFrame, text: str, order: int, shards
         shard, place = shard_of(keys, shards), np.cumsum(new) - 1
         held_out = rows.column("held_out").to_numpy()
         out = rows.select(keep).append_column("n_bytes", pa.array(grams.sizes, pa.int64()))
-        for name, model, known in (("log_perplexity", "p", grams.sizes > 0), ("unseen", "p_half", held_out & (grams.sizes > 0))):
+        for name, model, known in (("log_perplexity", "whole", grams.sizes > 0), ("unseen", "half", held_out & (grams.sizes > 0))):
             mean = np.zeros(len(grams.sizes))
             if known.any():
                 logs = np.zeros(len(keys))
@@ -338,12 +349,9 @@ def _model(flagged: DataFrame, order: int, shards: int) -> DataFrame:
     """Stored answers for every block of ``flagged``."""
     asked = stored(requests(flagged, "text", order, shards), "requests")
     listed = asked.select(F.explode(F.arrays_zip("grams", "counts", "half")).alias("x"))
-    sums = [F.sum("x.counts").alias("all"), F.sum("x.half").alias("half")]
+    sums = [F.sum("x.counts").alias("whole"), F.sum("x.half").alias("half")]
     table = stored(listed.groupBy(F.col("x.grams").alias("gram")).agg(*sums), "gram-counts")
-    whole = probabilities(table.select("gram", F.col("all").alias("c")), order)
-    half = probabilities(table.select("gram", F.col("half").alias("c")), order)
-    both = whole.join(half.withColumnRenamed("p", "p_half"), "gram")
-    return stored(answers(asked, both, shards), "answers")
+    return stored(answers(asked, probabilities(table, ["whole", "half"], order), shards), "answers")
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:

@@ -94,10 +94,15 @@ def phases(blocks: dict[str, int], weights: dict[str, float], quantum: int = QUA
 def tempered_weights(docs: DataFrame, source: str = "source", power: float = 0.5, most: int = MOST_NAMED) -> dict[str, float]:
     """Targets between the sources' own sizes (power 1) and equal shares (power 0), for the largest sources.
 
-    Reads at most ``most`` rows; the others share the target of one more source.
+    Reads at most ``most`` rows; the others are one more source, as large as all of them.
     """
-    largest = docs.groupBy(source_of(source).alias("source")).count().orderBy(F.desc("count"), "source").limit(most).collect()
-    return {r["source"]: r["count"] ** power for r in largest}
+    sizes = docs.groupBy(source_of(source).alias("source")).count()
+    largest = sizes.orderBy(F.desc("count"), "source").limit(most).collect()
+    weights = {r["source"]: r["count"] ** power for r in largest}
+    if len(largest) == most:
+        rest = sizes.agg(F.sum("count")).first()[0] - sum(r["count"] for r in largest)
+        weights |= {OTHERS: rest**power} if rest else {}
+    return weights
 
 
 def source_of(source: str = "source") -> Column:
@@ -141,11 +146,11 @@ def mixed(
 ) -> DataFrame:
     """Every document with its source's block, the block's slot, and its gapless position in the mix.
 
-    With ``rows`` the whole documents come along, as a struct.     ``weights`` are the targets of named sources, ``others`` that of all the rest together.
+    With ``rows`` the whole documents come along, as a struct.     ``weights`` are the targets of named sources, ``others`` that of all the rest together, unless it is among them.
     """
-    if len(weights) > MOST_NAMED:
+    if len(weights.keys() - {OTHERS}) > MOST_NAMED:
         raise ValueError(f"at most {MOST_NAMED} sources can have weights of their own")
-    targets = {**weights, OTHERS: others}
+    targets = {OTHERS: others, **weights}
     numbered, counts = _numbered(docs, weights, key, text, source, buckets, rows)
     plan = phases({s: -(-n // block_rows) for s, n in sorted(counts.items())}, targets, quantum)
     # a source's last block may be short: positions after it move up

@@ -253,8 +253,8 @@ def test_probabilities_of_a_context_add_up(spark):
         seen.update(int.from_bytes(d[i : i + 3], "big") for i in range(len(d) - 2))
     context = int.from_bytes(b"ab", "big") << 8
     asked = spark.createDataFrame([(g, seen.get(g, 0)) for g in {*seen, *(context + b for b in range(256))}], "gram long, c long")
-    got = language_model.probabilities(asked, 3).where(F.shiftright("gram", 8) == context >> 8)
-    assert got.agg(F.sum("p")).first()[0] == pytest.approx(1)
+    got = language_model.probabilities(asked, ["c"], 3).where(F.shiftright("gram", 8) == context >> 8)
+    assert got.agg(F.sum("c")).first()[0] == pytest.approx(1)
 
 
 def test_ngram_join(spark, docs, no_docs):
@@ -397,3 +397,5 @@ def test_mixing(docs, no_docs):
     laid = mixing.interleaved(docs, mixing.tempered_weights(docs), block_rows=4)
     assert laid.columns == docs.columns and laid.count() == len(documents())
     assert mixing.mixed(no_docs, {}).count() == 0 and mixing.tempered_weights(no_docs) == {}
+    two = mixing.tempered_weights(docs, power=1.0, most=2)
+    assert len(two) == 3 and sum(two.values()) == len(documents()) and mixing.mixed(docs, two).count() == len(documents())
