@@ -123,6 +123,8 @@ def test_retention_reads_only_surviving_days(spark, stored):
     as_of = F.lit("2024-01-09 12:00:00").cast("timestamp")
     kept = snapshots.surviving(spark.read.parquet(stored[1]), as_of)
     text = plan(kept)
-    assert "PartitionFilters: [isnotnull(created_on" in text and "2024-01-08" in text
-    assert "PushedFilters: [IsNotNull(created_at), GreaterThanOrEqual(created_at," in text
+    # days and times reach the scan; rows without a time stay
+    scanned = text.split("PartitionFilters: [")[1].split("]")[0]
+    assert "created_on" in scanned and "2024-01-08" in scanned and "isnull(created_on" in scanned
+    assert "PushedFilters: [Or(GreaterThanOrEqual(created_at," in text
     assert sorted(r.key for r in kept.collect()) == ["8", "9"]
