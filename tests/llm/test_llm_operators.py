@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -399,3 +400,38 @@ def test_mixing(docs, no_docs):
     assert mixing.mixed(no_docs, {}).count() == 0 and mixing.tempered_weights(no_docs) == {}
     two = mixing.tempered_weights(docs, power=1.0, most=2)
     assert len(two) == 3 and sum(two.values()) == len(documents()) and mixing.mixed(docs, two).count() == len(documents())
+
+
+def test_every_source_is_within_a_block_of_its_exact_target_however_long():
+    # (blocks, weights): two targets that no period of 1,024 holds, one with a very rare source
+    for blocks, weights in (({"a": 210_000, "b": 90_000}, {"a": 0.7, "b": 0.3}), ({"a": 199_900, "b": 100}, {"a": 0.9995, "b": 0.0005})):
+        exact = {s: Fraction(w) for s, w in weights.items()}
+        total, taken, most = sum(exact.values()), dict.fromkeys(blocks, 0), Fraction(0)
+        # until the first source has all its target
+        until = int(min(blocks[s] / (exact[s] / total) for s in blocks))
+        for t, (s, i) in enumerate(mixing.scheduled(blocks, exact), 1):
+            assert i == taken[s]
+            taken[s] += 1
+            if t <= until and t % 7 == 0:
+                most = max(most, *(abs(taken[x] - t * exact[x] / total) for x in blocks))
+        assert taken == blocks and most < 1
+
+
+def test_every_source_follows_its_target_when_others_have_run_out():
+    rng = random.Random(8)
+    for n in (1, 2, 30, 300):
+        blocks = {f"s{k}": rng.choice([1, 2, 5, 40]) for k in range(n)}
+        weights = {s: Fraction(rng.randint(1, 9)) for s in blocks}
+        target, taken = {s: Fraction(0) for s in blocks}, dict.fromkeys(blocks, 0)
+        for s, _ in mixing.scheduled(blocks, weights):
+            time = Fraction(1)
+            while time > 0 and (left := [x for x in blocks if target[x] < blocks[x]]):
+                rate = sum(weights[x] for x in left)
+                step = min(time, *((blocks[x] - target[x]) * rate / weights[x] for x in left))
+                for x in left:
+                    target[x] += step * weights[x] / rate
+                time -= step
+            taken[s] += 1
+            assert all(abs(taken[x] - target[x]) < 1 for x in blocks)
+            if n == 300 and sum(taken.values()) > 60:
+                break
