@@ -31,7 +31,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mix: by file, then by row."""
-    return mixing.interleaved(docs, mixing.tempered_weights(docs))
+    return mixing.interleaved(docs)
 
 
 def file_order(docs: DataFrame) -> list[Column]:

@@ -97,9 +97,7 @@ FROM plain
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed, with targets halfway between the sources' sizes and equal shares."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mixed(docs, mixing.tempered_weights(docs), rows=False).select(
-        "doc_id", F.col("mixed_source").alias("source"), "block", "slot", "position"
-    )
+    return mixing.mixed(docs, rows=False).select("doc_id", "source", "block", "slot", "position")
 
 
 @query

@@ -435,3 +435,17 @@ def test_every_source_follows_its_target_when_others_have_run_out():
             assert all(abs(taken[x] - target[x]) < 1 for x in blocks)
             if n == 300 and sum(taken.values()) > 60:
                 break
+
+
+def test_mixing_gives_each_of_many_sources_its_own_blocks_and_target(spark):
+    rows = [(i, "t", None if i % 301 == 300 else f"d{i % 301}") for i in range(301 * 3)] + [(10_000 + i, "t", "d0") for i in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for weights in (None, {"d0": 1.0, "d1": 2.0}):
+        got = mixing.mixed(table, weights, block_rows=2, buckets=4, rows=False).toPandas().sort_values("position")
+        assert got.position.tolist() == list(range(len(rows)))
+        found = {i: None if pd.isna(s) else s for i, s in zip(got.doc_id, got.source)}
+        assert found == {i: s for i, _, s in rows}
+        # a slot holds one block of one source, and each source has its blocks in order
+        assert got.source.fillna("-").groupby(got.slot).nunique().max() == 1
+        for s, mine in got.groupby(got.source.fillna("-")):
+            assert mine.block.tolist() == sorted(mine.block) and mine.block.nunique() == -(-len(mine) // 2)
