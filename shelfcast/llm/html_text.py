@@ -34,7 +34,7 @@ UNSEEN = frozenset(
 )
 # fixed values: what an opening tag ends if it is still open
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-# fixed values: regions that are not the article, by tag, by role, and by a word of the class or id
+# fixed values: regions that are not the article, by tag, by role, and by what the class or id names
 OUTSIDE_TAGS = frozenset("aside dialog footer form menu nav".split())
 OUTSIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 OUTSIDE_NAMES = frozenset(
@@ -45,10 +45,28 @@ OUTSIDE_NAMES = frozenset(
     "subscribe subscription tagcloud tags toolbar topbar warning widget widgets".split()
 )
 HEADER_NAMES = frozenset(["header", "head", "top"])
+# parts of a page that hold what is not its article even where that is marked as an article
+HARD_NAMES = frozenset(
+    "ad ads adsense advert advertisement advertising adverts aside breadcrumb breadcrumbs comment commentlist comments disqus footer "
+    "menu nav navbar navigation pager pagination promo promoted promotion recommended related replies reply respond sidebar "
+    "sponsor sponsored tagcloud widget widgets".split()
+)
 INSIDE_TAGS = frozenset(["article", "main"])
 INSIDE_NAMES = frozenset("article articlebody entry main post story".split())
-# class names that speak about the page, not about the element
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# class names that speak about the page, not about the element, at the start and inside
 ABOUT_PAGE = ("has-", "with-", "no-", "is-", "not-", "without-")
+ABOUT_REST = frozenset("and has no not with without".split())
+# what may follow the noun that names an element: "comment-list" names comments, "top-story" a story, "related-work" work
+AFTER_NOUN = frozenset(
+    "area articles bar block body bottom box button buttons center col column container content danger fixed group holder icon icons info inner "
+    "item items left link links list main news outer panel posts primary results right row secondary section slot stories success text "
+    "this unit wrap wrapper".split()
+)
+AFTER_INSIDE = frozenset("area body container content inner text wrap wrapper".split())
+# whole class names of a page's frame; beside them a name with a side or state speaks about the page
+FRAMES = frozenset("body container content layout page row site wrap wrapper".split())
+SIDES = frozenset("active enabled fixed left open right".split())
 # fixed values: frequent words of four languages
 STOP_WORDS = {
     "de": "aber als am an auch auf aus bei bin bis da das dass dem den der des die durch ein eine einem einen einer er es für hat "
@@ -72,15 +90,27 @@ SHORT_CHARS, LONG_CHARS = 70, 200
 LOW_STOPS, HIGH_STOPS = 0.30, 0.32
 MOST_LINKS, MOST_LINKS_INSIDE = 0.2, 0.5
 
-UNKNOWN, INSIDE, OUTSIDE = 0, 1, 2
+# what is SOFT is outside, but an article in it is inside
+UNKNOWN, INSIDE, OUTSIDE, SOFT = 0, 1, 2, 3
 GOOD, BAD, SHORT, NEAR = "good", "bad", "short", "near"
 
 
-def _names(attrs: dict[str, str | None]) -> set[str]:
+def _names(value: str | None, after: frozenset[str] = AFTER_NOUN) -> set[str]:
+    """The nouns that the names in ``value`` end with, and the names as one word."""
+    tokens = (value or "").split()
+    framed = any(t.lower() in FRAMES for t in tokens)
     out: set[str] = set()
-    for value in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
-        if not value.lower().startswith(ABOUT_PAGE):
-            out.update(w.lower() for w in NAME_WORD.findall(value))
+    for token in tokens:
+        if token.lower().startswith(ABOUT_PAGE):
+            continue
+        words = [w.lower() for w in NAME_WORD.findall(token) if len(w) > 1]
+        if framed and len(words) > 1 and words[-1] in SIDES:
+            continue
+        words = words[: next((i for i, w in enumerate(words) if i and w in ABOUT_REST), len(words))]
+        out.add("".join(words))
+        while len(words) > 1 and words[-1] in after:
+            words.pop()
+        out.update(words[-1:])
     return out
 
 
@@ -92,17 +122,25 @@ def _region(tag: str, attrs: dict[str, str | None], around: int) -> int:
         return OUTSIDE
     if regex.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or "", regex.I):
         return OUTSIDE
-    role, names = (attrs.get("role") or "").lower(), _names(attrs)
+    role, classes = (attrs.get("role") or "").lower(), attrs.get("class")
+    marked = tag in INSIDE_TAGS or role in ("article", "main") or "articlebody" in (attrs.get("itemprop") or "").lower()
+    # a heading's id repeats its text, and so does that of a section of an article
+    id_ = None if tag in HEADINGS or (tag == "section" and around == INSIDE) else attrs.get("id")
+    names = _names(classes) | _names(id_)
+    if tag == "form":
+        # a form around the whole page, as some servers write it
+        return around if "runat" in attrs and around == UNKNOWN else OUTSIDE if around == INSIDE else SOFT
     if tag in OUTSIDE_TAGS or role in OUTSIDE_ROLES:
         return OUTSIDE
-    if tag not in INSIDE_TAGS | {"a", "b", "em", "i", "strong"} and names & OUTSIDE_NAMES:
-        return OUTSIDE
+    if not marked and tag not in {"a", "b", "em", "i", "strong"} and names & OUTSIDE_NAMES:
+        return OUTSIDE if names & HARD_NAMES else SOFT
     if tag == "article" and names & {"comment", "reply", "ad", "advert", "promo", "sponsored", "related"}:
         return OUTSIDE
-    # the head of an article holds its title; the head of a page does not
-    if around != INSIDE and (tag == "header" or names & HEADER_NAMES):
-        return OUTSIDE
-    if tag in INSIDE_TAGS or role in ("article", "main") or "articlebody" in (attrs.get("itemprop") or "").lower() or names & INSIDE_NAMES:
+    # the head of an article holds its title; the head of a page does not, and an id "top" or "head" is a place to go to
+    if around != INSIDE and not marked and (tag == "header" or _names(classes) & HEADER_NAMES or "header" in names):
+        return SOFT
+    inside = (_names(classes, AFTER_INSIDE) | _names(id_, AFTER_INSIDE)) & INSIDE_NAMES
+    if marked or (around != SOFT and inside) or inside & {"article", "articlebody"}:
         return INSIDE
     return around
 
@@ -123,8 +161,9 @@ class Blocks(HTMLParser):
     def end_block(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            heading = any(tag in ("h1", "h2", "h3", "h4", "h5", "h6") for tag, _ in self.open)
-            self.found.append((text, self.links, self.region(), heading))
+            heading = any(tag in HEADINGS for tag, _ in self.open)
+            region = OUTSIDE if self.region() == SOFT else self.region()
+            self.found.append((text, self.links, region, heading))
         self.text, self.links, self.in_link, self.breaks = [], 0, False, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:

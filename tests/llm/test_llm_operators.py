@@ -449,3 +449,20 @@ def test_mixing_gives_each_of_many_sources_its_own_blocks_and_target(spark):
         assert got.source.fillna("-").groupby(got.slot).nunique().max() == 1
         for s, mine in got.groupby(got.source.fillna("-")):
             assert mine.block.tolist() == sorted(mine.block) and mine.block.nunique() == -(-len(mine) // 2)
+
+
+def test_html_text_keeps_articles_in_wrappers_and_sections_with_generated_ids():
+    article = "<article><p>The text of it.</p></article>"
+    for opening, closing in (
+        ('<div id="top">', "</div>"), ('<div class="content-with-sidebar">', "</div>"), ('<div class="container sidebar-right">', "</div>"),
+        ('<div class="top-story">', "</div>"), ("<form runat=server>", "</form>"), ('<form action="/">', "</form>"), ("<header>", "</header>"),
+    ):
+        assert html_text.main_text(f"<html><body>{opening}{article}{closing}</body></html>") == "The text of it.", opening
+    parts = "".join(
+        f"<section id={i!r}><h2 id={i!r}>About {i}</h2><p>Words on {i}.</p></section>"
+        for i in ("related-work", "search-algorithms", "share-price", "legal-form", "comments")
+    )
+    assert len(html_text.main_text(f"<article>{parts}</article>").split("\n")) == 10
+    for name in ("comment-list", "ad-container", "related-posts", "sidebar", "nav-wrapper", "site-footer"):
+        assert html_text.main_text(f"<div class={name!r}><article>Other words.</article></div>{article}") == "The text of it.", name
+        assert html_text.main_text(f"<article><div class={name!r}>Other words.</div><p>The text of it.</p></article>") == "The text of it.", name
