@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block-level tags. The first pass decides blocks by the region they stand in
 (menu, footer, advert, ... by tag, role, class or id; article or main part), by the share of their characters that
-are links, by length, and by the share of stop words of the page's language. What is left undecided, short blocks and
+are links, by length, and by the share of stop words of the language that the page's own text shows; where it shows none of
+those listed, length and links decide. Where the marked article has the bulk of the good text, nothing else is taken. What is left undecided, short blocks and
 middling ones, takes in the second pass the label that its nearest decided neighbours of the same region share; where
 they differ or there are none, a block of an article stays and another one stays only if its stop words spoke for it.
 
@@ -67,6 +68,8 @@ AFTER_INSIDE = frozenset("area body container content inner text wrap wrapper".s
 # whole class names of a page's frame; beside them a name with a side or state speaks about the page
 FRAMES = frozenset("body container content layout page row site wrap wrapper".split())
 SIDES = frozenset("active enabled fixed left open right".split())
+# elements whose class or id can mark an article
+CONTAINERS = frozenset("article body center dd details div fieldset li main section table tbody td tr ul ol".split())
 # fixed values: frequent words of four languages
 STOP_WORDS = {
     "de": "aber als am an auch auf aus bei bin bis da das dass dem den der des die durch ein eine einem einen einer er es für hat "
@@ -81,13 +84,16 @@ STOP_WORDS = {
     "mes mon ne nos notre nous on ou où par pas plus pour qu que qui sa sans se ses son sont sur ta te tu un une vous y",
 }
 STOP_SETS = {lang: frozenset(words.split()) for lang, words in STOP_WORDS.items()}
-ANY_LANGUAGE = frozenset().union(*STOP_SETS.values())
 
 WORD = regex.compile(r"\p{L}+")
+# scripts that write a word in one or two characters
+DENSE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
 NAME_WORD = regex.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 SHORT_CHARS, LONG_CHARS = 70, 200
 LOW_STOPS, HIGH_STOPS = 0.30, 0.32
+# share of stop words from which on a page is taken to be of their language
+SHOWN_STOPS = 0.25
 MOST_LINKS, MOST_LINKS_INSIDE = 0.2, 0.5
 
 # what is SOFT is outside, but an article in it is inside
@@ -139,7 +145,7 @@ def _region(tag: str, attrs: dict[str, str | None], around: int) -> int:
     # the head of an article holds its title; the head of a page does not, and an id "top" or "head" is a place to go to
     if around != INSIDE and not marked and (tag == "header" or _names(classes) & HEADER_NAMES or "header" in names):
         return SOFT
-    inside = (_names(classes, AFTER_INSIDE) | _names(id_, AFTER_INSIDE)) & INSIDE_NAMES
+    inside = (_names(classes, AFTER_INSIDE) | _names(id_, AFTER_INSIDE)) & INSIDE_NAMES if tag in CONTAINERS else set()
     if marked or (around != SOFT and inside) or inside & {"article", "articlebody"}:
         return INSIDE
     return around
@@ -153,7 +159,7 @@ class Blocks(HTMLParser):
         self.found: list[tuple[str, int, int, bool]] = []
         self.open: list[tuple[str, int]] = []
         self.text: list[str] = []
-        self.links, self.in_link, self.unseen, self.breaks, self.lang = 0, False, 0, 0, ""
+        self.links, self.in_link, self.unseen, self.breaks = 0, False, 0, 0
 
     def region(self) -> int:
         return self.open[-1][1] if self.open else UNKNOWN
@@ -174,8 +180,6 @@ class Blocks(HTMLParser):
         if self.unseen:
             return
         told = dict(attrs)
-        if tag == "html":
-            self.lang = (told.get("lang") or "")[:2].lower()
         if tag == "br":
             self.breaks += 1
             if self.breaks > 1:
@@ -241,18 +245,43 @@ class Blocks(HTMLParser):
             self.links += len("".join(data.split()))
 
 
-def _first_label(text: str, links: int, region: int, heading: bool, stops: frozenset[str]) -> str:
+def _dense(text: str, links: int) -> float:
+    """Share of a block's characters that are in links."""
+    return links / max(1, len(text.replace(" ", "")))
+
+
+def _length(text: str) -> int:
+    """Characters, as many as the text would have in letters."""
+    return len(text) + 2 * len(DENSE.findall(text))
+
+
+def _stop_words(blocks: list[tuple[str, int, int, bool]]) -> frozenset[str] | None:
+    """Those of the language of the page's long blocks; None if it is none of the listed."""
+    words = [
+        w.lower()
+        for text, links, region, _ in blocks
+        if region != OUTSIDE and _length(text) >= SHORT_CHARS and _dense(text, links) <= MOST_LINKS
+        for w in WORD.findall(text)
+    ]
+    found = {lang: sum(w in stops for w in words) for lang, stops in STOP_SETS.items()}
+    best = max(found, key=found.__getitem__)
+    return STOP_SETS[best] if found[best] >= max(1, SHOWN_STOPS * len(words)) else None
+
+
+def _first_label(text: str, links: int, region: int, heading: bool, stops: frozenset[str] | None) -> str:
     if region == OUTSIDE:
         return BAD
-    dense = links / max(1, len(text.replace(" ", "")))
+    dense = _dense(text, links)
     if region == INSIDE:
         if dense > MOST_LINKS_INSIDE:
             return SHORT if len(text) < SHORT_CHARS else BAD
         return SHORT if len(text) < SHORT_CHARS and links else GOOD
     if dense > MOST_LINKS or "©" in text:
         return BAD
-    if len(text) < SHORT_CHARS:
+    if _length(text) < SHORT_CHARS:
         return BAD if links else SHORT
+    if stops is None:
+        return GOOD if _length(text) > LONG_CHARS else NEAR
     words = [w.lower() for w in WORD.findall(text)]
     share = sum(w in stops for w in words) / max(1, len(words))
     if share >= HIGH_STOPS:
@@ -268,11 +297,13 @@ def main_text(html: str | None) -> str:
     page.feed(html)
     page.close()
     page.end_block()
-    stops = STOP_SETS.get(page.lang, ANY_LANGUAGE)
     blocks = page.found
+    around = [b for b in blocks if b[2] == UNKNOWN]
+    stops = _stop_words(blocks) if around else None
     first = [_first_label(*b, stops) for b in blocks]
-    # where a page marks its article, what stands around it is not asked
-    if any(region == INSIDE for _, _, region, _ in blocks):
+    # where the marked article has the bulk of the good text, what stands around it is not asked
+    good = {r: sum(_length(b[0]) for b, x in zip(blocks, first) if b[2] == r and x in (GOOD, NEAR)) for r in (INSIDE, UNKNOWN)}
+    if good[INSIDE] and good[INSIDE] >= good[UNKNOWN]:
         first = [BAD if b[2] == UNKNOWN else label for b, label in zip(blocks, first)]
     before: list[str | None] = []
     after: list[str | None] = []

@@ -466,3 +466,20 @@ def test_html_text_keeps_articles_in_wrappers_and_sections_with_generated_ids():
     for name in ("comment-list", "ad-container", "related-posts", "sidebar", "nav-wrapper", "site-footer"):
         assert html_text.main_text(f"<div class={name!r}><article>Other words.</article></div>{article}") == "The text of it.", name
         assert html_text.main_text(f"<article><div class={name!r}>Other words.</div><p>The text of it.</p></article>") == "The text of it.", name
+
+
+def test_html_text_without_a_marked_article_keeps_the_body():
+    body = "The text of the page is about what there is to say of the things that are in it, and it goes on for as long as it has to, with all of the words that a text has in it, so that it is long, and so that it can be told from what is not one."
+    for mark in ('<h1 class="entry-title">Title</h1>', '<p class="story-lead">Lead.</p>', '<a class="post-link" href="/">Teaser</a>', '<div class="post">A teaser.</div>'):
+        got = html_text.main_text(f"<html lang='en'><body>{mark}<div id='content'><p>{body}</p><p>{body}</p></div></body></html>")
+        assert got.split("\n").count(body) == 2, mark
+    # German under a wrong lang, and languages without stop words
+    texts = {
+        "en": "Als der Zug am Abend in die Stadt kam, war es schon dunkel, und auf dem Platz vor der Kirche standen noch einige Leute, die sich über das Wetter unterhielten und nicht nach Hause gehen wollten, weil es an diesem Tag so warm war wie lange nicht mehr.",
+        "it": "Quando il treno arrivò in città era già buio, e sulla piazza davanti alla chiesa c'erano ancora alcune persone che parlavano del tempo e non volevano tornare a casa, perché quel giorno faceva caldo come non succedeva da molto, e nessuno aveva fretta.",
+        "pl": "Kiedy pociąg przyjechał wieczorem do miasta, było już ciemno, a na placu przed kościołem stało jeszcze kilka osób, które rozmawiały o pogodzie i nie chciały wracać do domu, bo tego dnia było tak ciepło jak dawno nie było w tej okolicy.",
+        "zh": "火车晚上到达城市的时候天已经黑了，教堂前面的广场上还站着几个人，他们谈论着天气，不想回家，因为这一天像很久以前那样温暖，没有人着急，大家都想在外面再待一会儿，听听远处传来的钟声和孩子们的笑声。",
+    }
+    for lang, text in texts.items():
+        page = f"<html lang='{lang}'><body><div><a href='/'>Home</a> <a href='/b'>About us and more</a></div><div><p>{text}</p><p>{text}</p></div></body></html>"
+        assert html_text.main_text(page).split("\n") == [text, text], lang
