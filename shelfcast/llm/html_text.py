@@ -31,8 +31,11 @@ BLOCKS = frozenset(
 # fixed values: elements without content, and elements whose content is never text of the page
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset(
-    "applet audio button canvas datalist iframe math noframes noscript object script select style svg template textarea title video".split()
+    "annotation annotation-xml applet audio button canvas datalist iframe noframes noscript object script select style svg template textarea "
+    "title video".split()
 )
+# of these, what can hold no paragraphs: a new one ends it
+NO_PARAGRAPHS = frozenset(["button", "select"])
 # fixed values: what an opening tag ends if it is still open
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 # fixed values: regions that are not the article, by tag, by role, and by what the class or id names
@@ -177,10 +180,8 @@ class Blocks(HTMLParser):
             self.unseen += 1
             self.open.append((tag, self.region()))
             return
-        if self.unseen:
-            return
         told = dict(attrs)
-        if tag == "br":
+        if tag == "br" and not self.unseen:
             self.breaks += 1
             if self.breaks > 1:
                 self.end_block()
@@ -188,12 +189,16 @@ class Blocks(HTMLParser):
                 self.text.append(" ")
             return
         if tag in BLOCKS:
-            self.end_block()
-            self._close({"p"}, until=BLOCKS - {"p"})
+            if not self.unseen:
+                self.end_block()
+            self._close({"p"}, until=(BLOCKS - {"p"}) | (UNSEEN - NO_PARAGRAPHS if tag == "p" else UNSEEN))
             if tag in ENDS:
-                self._close(ENDS[tag], until=frozenset(["ul", "ol", "dl", "table", "select"]))
+                self._close(ENDS[tag], until=frozenset(["ul", "ol", "dl", "table", "select"]) | (UNSEEN - NO_PARAGRAPHS))
         if tag in VOID:
             return
+        if self.unseen:
+            self.open.append((tag, self.region()))
+            return
         region = _region(tag, told, self.region())
         if region != self.region() and tag not in BLOCKS:
             self.end_block()
@@ -201,39 +206,41 @@ class Blocks(HTMLParser):
             self.in_link = "href" in told
         self.open.append((tag, region))
 
+    def _end(self, k: int) -> None:
+        """Close the element at place ``k`` with all inside it, unseen ones too."""
+        self.unseen -= sum(t in UNSEEN for t, _ in self.open[k:])
+        del self.open[k:]
+
     def _close(self, tags: set[str], until: frozenset[str]) -> None:
         """Close the innermost of ``tags`` with all inside it, not looking beyond an element of ``until``."""
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] in tags:
-                del self.open[k:]
+                if self.unseen and not any(t in UNSEEN for t, _ in self.open[:k]):
+                    self.end_block()
+                self._end(k)
                 return
             if self.open[k][0] in until:
                 return
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in UNSEEN:
-            for k in range(len(self.open) - 1, -1, -1):
-                if self.open[k][0] == tag:
-                    self.unseen -= sum(t in UNSEEN for t, _ in self.open[k:])
-                    del self.open[k:]
-                    break
-            return
-        if self.unseen:
-            return
-        if tag in BLOCKS:
-            self.end_block()
-        if tag == "a":
-            self.in_link = False
+        at = None
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
-                region = self.region()
-                if tag not in BLOCKS and (self.open[k - 1][1] if k else UNKNOWN) != region:
-                    self.end_block()
-                del self.open[k:]
-                return
+                at = k
+                break
             # an inline end tag does not close the block around it
-            if tag not in BLOCKS and self.open[k][0] in BLOCKS:
-                return
+            if tag not in BLOCKS | UNSEEN and self.open[k][0] in BLOCKS:
+                break
+        seen = not self.unseen or (at is not None and not any(t in UNSEEN for t, _ in self.open[: at + 1]))
+        if tag in BLOCKS and seen:
+            self.end_block()
+        if tag == "a" and seen:
+            self.in_link = False
+        if at is None:
+            return
+        if seen and tag not in BLOCKS and (self.open[at - 1][1] if at else UNKNOWN) != self.region():
+            self.end_block()
+        self._end(at)
 
     def handle_data(self, data: str) -> None:
         if self.unseen:

@@ -483,3 +483,13 @@ def test_html_text_without_a_marked_article_keeps_the_body():
     for lang, text in texts.items():
         page = f"<html lang='{lang}'><body><div><a href='/'>Home</a> <a href='/b'>About us and more</a></div><div><p>{text}</p><p>{text}</p></div></body></html>"
         assert html_text.main_text(page).split("\n") == [text, text], lang
+
+
+def test_html_text_ends_unclosed_unseen_elements_with_the_element_around():
+    article = "<article><p>The text of it.</p></article>"
+    for name in ("button", "select", "video", "audio", "object", "canvas", "noscript", "svg"):
+        assert html_text.main_text(f"<div><{name}>Menu</div>{article}") == "The text of it.", name
+        assert html_text.main_text(f"<article><p>Before.</p><p><{name}>Menu</p><p>After.</p></article>") == "Before.\nAfter.", name
+        assert html_text.main_text(f"<article><p>One <{name}><div>Menu</div></{name}>two.</p></article>") == "One two.", name
+    assert html_text.main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p></article>") == "Let x=2 hold."
+    assert html_text.main_text(f"<div><button>Menu<script>var a='</div>'</script></div>{article}") == "The text of it."
