@@ -13,7 +13,8 @@ So what is exchanged is each block's distinct n-grams instead of every occurrenc
 anywhere.
 
 A document that a model was trained on is no surprise to it. So a second model counts one half of the trusted
-documents only, and a language's threshold is a quantile of the other half's perplexity under that one. A few words say little, so
+documents only, and a language's threshold is a quantile of the other half's perplexity under that one. A language with too few
+for that quantile has its median plus what all languages' documents are above their own. A few words say little, so
 for the comparison every document is taken as if ``PRIOR_BYTES`` of average text came with it.
 
 The two readings of the documents must give the same blocks, so the input has to be a stored table; each block carries a
@@ -27,6 +28,7 @@ further columns are kept by ``good_documents`` only.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -45,7 +47,8 @@ ORDER = 5
 BLOCK_BYTES = 6_000_000
 # identifiers of trusted documents that may be sent to every executor: 16 bytes each
 BROADCAST_ROWS = 2_000_000
-# share of a language's trusted documents below the threshold, and how many it takes for one of its own
+# share of a language's trusted documents below the threshold, and how many it takes for a median of its own; a quantile
+# of its own takes 1 / (1 - QUANTILE), as with fewer one outlier would set it
 QUANTILE, LEAST_TRUSTED = 0.995, 50
 PRIOR_BYTES = 32
 # perplexities are compared by their logarithm in thousandths
@@ -288,16 +291,23 @@ def step_of(log_perplexity: str, mean: float) -> Column:
 
 
 def thresholds(scores: DataFrame, mean: float, quantile: float = QUANTILE, least: int = LEAST_TRUSTED) -> DataFrame:
-    """(language, limit): the quantile of held-out documents' steps, exact, from the counts of each step."""
+    """(language, limit): the quantile of held-out documents' steps, exact, from the counts of each step; never the largest.
+
+    Languages with too few documents for the quantile, but ``least`` at least, get their median plus the quantile of
+    how far such languages' documents are above their medians.
+    """
     seen = scores.where("unseen is not null").groupBy(language().alias("language"), step_of("unseen", mean).alias("step"))
     both = stored(seen.agg(F.count(F.lit(1)).alias("n")), "perplexity-steps")
-    every = both.groupBy("step").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("language"), "step", "n")
+    enough = round(1 / (1 - quantile)) if quantile < 1 else math.inf
+
+    def together(counts: DataFrame) -> DataFrame:
+        return counts.groupBy("step").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("language"), "step", "n")
 
-    def limits(counts: DataFrame) -> DataFrame:
+    def limits(counts: DataFrame, share: float) -> DataFrame:
         # a row per step of 1/1000, of which a language has some thousands
         listed = counts.groupBy("language").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("step", "n"))).alias("steps"))
         start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("limit"))
-        needed = F.ceil(F.col("total") * quantile)
+        needed = F.greatest(F.lit(1), F.least(F.ceil(F.col("total") * share), F.col("total") - 1))
 
         def walk(state: Column, x: Column) -> Column:
             now = state["seen"] + x["n"]
@@ -306,8 +316,13 @@ def thresholds(scores: DataFrame, mean: float, quantile: float = QUANTILE, least
 
         return listed.select("language", "total", F.aggregate("steps", start, walk)["limit"].alias("limit"))
 
-    own = limits(both).where(F.col("total") >= least)
-    return own.unionByName(limits(every)).select("language", "limit")
+    own = limits(both, quantile).where(F.col("total") >= enough)
+    medians = stored(limits(both, 0.5).where(F.col("total") >= least), "perplexity-medians")
+    above = both.join(medians.select("language", F.col("limit").alias("median")), "language")
+    excess = limits(together(above.select((F.col("step") - F.col("median")).alias("step"), "n")), quantile)
+    few = medians.where(F.col("total") < enough).crossJoin(excess.select(F.col("limit").alias("excess")))
+    few = few.select("language", "total", (F.col("limit") + F.col("excess")).alias("limit"))
+    return own.unionByName(few).unionByName(limits(together(both), quantile)).select("language", "limit")
 
 
 def language(column: str = "lang") -> Column:

@@ -493,3 +493,17 @@ def test_html_text_ends_unclosed_unseen_elements_with_the_element_around():
         assert html_text.main_text(f"<article><p>One <{name}><div>Menu</div></{name}>two.</p></article>") == "One two.", name
     assert html_text.main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p></article>") == "Let x=2 hold."
     assert html_text.main_text(f"<div><button>Menu<script>var a='</div>'</script></div>{article}") == "The text of it."
+
+
+def test_one_outlier_sets_no_limit(spark):
+    def rows(lang, n, level):
+        # perplexities spread over a tenth, and one far above
+        return [(lang, 10**6, level + (k % 97) / 1000) for k in range(n - 1)] + [(lang, 10**6, level + 5.0)]
+
+    kind = "lang string, n_bytes long, unseen double"
+    table = spark.createDataFrame(rows("en", 5000, 1.0) + rows("es", 163, 1.5) + rows("de", 199, 1.2) + rows("fr", 10, 1.1), kind)
+    limits = {r.language: r.limit for r in language_model.thresholds(table, 1.0).collect()}
+    assert set(limits) == {"en", "es", "de", None}
+    assert 1570 <= limits["es"] <= 1610 and 1270 <= limits["de"] <= 1310 and limits["en"] <= 1100 and limits[None] <= 1600
+    small = {r.language: r.limit for r in language_model.thresholds(spark.createDataFrame(rows("en", 40, 1.0), kind), 1.0).collect()}
+    assert set(small) == {None} and small[None] <= 1100
