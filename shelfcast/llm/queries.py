@@ -11,11 +11,14 @@ from shelfcast.llm import (
     exact_dedup,
     html_text,
     language_model,
+    lexical_search,
     line_dedup,
     mixing,
     ngram_join,
     packing,
     sharding,
+    source_audit,
+    token_counts,
     token_shards,
     vector_search,
 )
@@ -147,3 +150,88 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents in the byte-level vocabulary."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between all sources of a language, and the terms that each source overuses."""
+    return source_audit.divergence(table(spark, sf_dir, "documents"))
+
+
+SMALL_LETTERS = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE["op12_source_audit"] = rf"""
+WITH docs AS (
+    SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all({SMALL_LETTERS.format("text")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), groups AS (SELECT DISTINCT lang, source FROM docs
+), found AS (SELECT doc, lang, source, unnest(terms) AS term FROM docs
+), kept AS (SELECT lang, term, count(*) AS lang_n FROM found GROUP BY lang, term HAVING count(DISTINCT doc) >= 30
+), counts AS (SELECT lang, source, term, count(*) AS n FROM found GROUP BY lang, source, term
+), vocabulary AS (SELECT lang, count(*) AS v, sum(lang_n) AS total FROM kept GROUP BY lang
+), every AS (
+    SELECT g.lang, g.source, k.term, k.lang_n, coalesce(c.n, 0) AS n
+    FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)
+), shares AS (
+    SELECT lang, source, term, n,
+           1 + (1000000000 * (n + 5)) // (CAST(sum(n) OVER (PARTITION BY lang, source) AS BIGINT) + 5 * v) AS p,
+           1 + (1000000000 * (lang_n + 5)) // (CAST(total AS BIGINT) + 5 * v) AS q
+    FROM every JOIN vocabulary USING (lang)
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+    GROUP BY a.lang, a.source, b.source
+), listed AS (
+    SELECT g.lang, g.source, 'pair' AS part, h.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+    FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+    LEFT JOIN pairs p ON p.lang = g.lang AND p.source = g.source AND p.item = h.source
+    UNION ALL
+    SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM listed
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all documents for each benchmark item."""
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op11_lexical_search"] = rf"""
+WITH docs AS (
+    SELECT row_number() OVER () AS doc, doc_id,
+           regexp_extract_all({SMALL_LETTERS.format("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), sizes AS (SELECT doc, doc_id, len(terms) AS n FROM docs WHERE len(terms) > 0
+), corpus AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_words FROM sizes
+), found AS (SELECT doc, unnest(terms) AS term FROM docs
+), tf AS (SELECT doc, term, count(*) AS tf FROM found GROUP BY doc, term
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM tf, corpus GROUP BY term
+), items AS (
+    SELECT row_number() OVER () AS item, item_id,
+           unnest(regexp_extract_all({SMALL_LETTERS.format("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+), asked AS (SELECT item, item_id, term, count(*) AS times FROM items GROUP BY item, item_id, term
+), scored AS (
+    SELECT item, item_id, doc, doc_id,
+           CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_words)))) AS BIGINT) AS score
+    FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN sizes USING (doc), corpus
+    GROUP BY item, item_id, doc, doc_id
+), ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+    FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
