@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.llm.common import stored
-from shelfcast.llm.word_blocks import dictionary, spread_out, word_blocks
+from shelfcast.llm.word_blocks import dictionary, word_blocks, word_entries
 
 K = 20
 BATCH_ITEMS, BATCH_BYTES, MOST_PAIRS = 512, 1 << 20, 300_000
@@ -182,13 +182,11 @@ def best(values: np.ndarray, keys: np.ndarray, missing: np.ndarray, k: int) -> n
 
 def block_entries(row: dict, codes: np.ndarray, terms: np.ndarray, weights: np.ndarray, mean: Callable) -> dict:
     """The documents and values of each term of the graph in a block."""
-    every, freqs = spread_out(row["codes"], np.uint32), spread_out(row["freqs"], np.uint32)
+    who, every, tf = word_entries(row)
     to_term = np.full(max(codes.max(), every.max(initial=0)) + 1, -1, np.int64)
     to_term[codes] = terms
-    ends = spread_out(row["ends"], np.int64)
-    who = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
     found = np.flatnonzero(to_term[every] >= 0)
-    term, tf, who = to_term[every[found]], freqs[found].astype(np.int64), who[found]
+    term, tf, who = to_term[every[found]], tf[found], who[found]
     m = mean(np.array(row["n_words"], np.int64))[who]
     values = weights[term] * ((1_000_000_000 * tf) // (1000 * tf + 12 * m))
     order = np.argsort(term, kind="stable")
@@ -258,7 +256,7 @@ def ranked(
     hits = stored(dictionary(blocks).join(asked.select(F.col("term").alias("word")).distinct(), "word"), "hits")
     weight = F.floor(F.lit(1000.0) * F.log(F.lit(2.0 * n_docs + 2) / (2 * F.sum("docs") + 1).cast("double")))
     weights = hits.groupBy(F.col("word").alias("term")).agg(weight.cast("long").alias("weight"))
-    held = blocks.select("block", "keys", "n_words", "ends", "codes", "freqs")
+    held = blocks.select("block", "keys", "n_words", "sizes", "steps", "freqs")
     found = None
     # one pass over the blocks a batch; a graph's size is bounded by that of a batch
     for row in stored(graphs(asked, weights, batches), "graphs").toLocalIterator():

@@ -1,15 +1,16 @@
 """Token counts of documents, without their ids.
 
 A byte-level vocabulary never merges across pre-tokens, so a text has as many tokens as its pre-tokens have pieces.
-Texts are read once, into blocks (``word_blocks``) that hold per-document frequencies of pre-tokens. The dictionaries of
-all blocks together give the distinct pre-tokens; each of them is cut into pieces once, its number of pieces is
-joined back to the dictionaries, and every document sums frequency times pieces.
+Texts are read once, into blocks (``word_blocks``) that hold per-document frequencies of pre-tokens. The blocks'
+dictionaries are dealt by a hash of the pre-token into buckets, where each distinct pre-token is cut into pieces once; its
+number of pieces goes back to the blocks, and every document sums frequency times pieces.
 
 Pre-tokens are found by the tokenizer's own splitter, or, in texts of printable Latin-1 characters, tabs and line
 ends, by its published pattern over these characters, which is faster and the same there. A special string inside a text is one token.
 
-Bounds: a block has at most some 131,000 distinct pre-tokens, or those of one text; a pre-token that is in all documents is
-one row a block, and the join may split it. Nothing is sent to the driver or broadcast by request.
+Bounds: a block has some 262,000 distinct pre-tokens at most, or those of one text; a pre-token that is in all documents is one
+entry a block. There is a bucket for every ``BUCKET_WORDS`` entries of the dictionaries. A task holds one row of a bucket
+and the counts of at most ``MOST_KNOWN`` pre-tokens; beyond these it starts anew and some are cut again.
 
 Cases: a null or empty text has no bytes and no tokens; null identifiers and repeated rows are counted like others; an
 empty table gives an empty result; further columns are not read.
@@ -24,14 +25,16 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.llm.common import stored
-from shelfcast.llm.word_blocks import dictionary, spread_out, word_blocks
+from shelfcast.llm.word_blocks import spread_out, squeezed, word_blocks, word_entries
 
 LIMIT = 1024
+BUCKET_WORDS, MOST_KNOWN = 500_000, 1_000_000
 RESULT = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*")
 
@@ -89,37 +92,76 @@ def pre_tokens(path: str) -> Callable[[], Callable[[bytes], list[str]]]:
     return make
 
 
-def pieces(words: DataFrame, path: str) -> DataFrame:
-    """The number of pieces of each word."""
+def dealt(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Each block's dictionary in parts, by a hash of the word."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, words in zip(batch.column("block").to_pylist(), batch.column("words").to_pylist()):
+                if not words:
+                    continue
+                every = np.array([*words, None], dtype=object)[:-1]
+                bucket = (pd.util.hash_array(every) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                found, starts = np.unique(bucket[order], return_index=True)
+                parts = [order[a:b] for a, b in zip(starts, [*starts[1:], len(order)])]
+                lengths = np.fromiter(map(len, words), np.uint32, len(words))
+                columns = [
+                    pa.array([block] * len(found), pa.int64()),
+                    pa.array(found, pa.int64()),
+                    *(pa.array([squeezed(x) for x in each], pa.binary()) for each in ([p.astype(np.uint32) for p in parts], [lengths[p] for p in parts])),
+                    pa.array([squeezed(np.frombuffer(b"".join(every[p]), np.uint8)) for p in parts], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "bucket", "codes", "lengths", "words"])
+
+    return blocks.select("block", "words").mapInArrow(deal, "block long, bucket long, codes binary, lengths binary, words binary")
+
+
+def pieces(parts: DataFrame, path: str) -> DataFrame:
+    """The number of pieces of each word; a word is cut once, as all its rows are in one bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, special = loaded(path)
+        known: dict[bytes, int] = {}
+        at = None
         for batch in batches:
-            found = [w.decode() for w in batch.column("word").to_pylist()]
-            sizes = [1 if w in special else len(e.ids) for w, e in zip(found, tokenizer.encode_batch_fast(found, add_special_tokens=False))]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(sizes, pa.int64())], ["word", "pieces"])
-
-    return words.select("word").distinct().mapInArrow(count, "word binary, pieces long")
+            out = []
+            for row in batch.to_pylist():
+                if row["bucket"] != at or len(known) > MOST_KNOWN:
+                    known, at = {s.encode(): 1 for s in special}, row["bucket"]
+                until = np.concatenate([[0], np.cumsum(spread_out(row["lengths"], np.uint32).astype(np.int64))])
+                data = spread_out(row["words"], np.uint8).tobytes()
+                words = [data[a:b] for a, b in zip(until[:-1], until[1:])]
+                new = [w for w in words if w not in known]
+                found = tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+                known.update(zip(new, (len(e.ids) for e in found)))
+                out.append(squeezed(np.fromiter(map(known.__getitem__, words), np.uint32, len(words))))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("codes"), pa.array(out, pa.binary())], ["of_block", "codes", "pieces"])
+
+    return parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "of_block long, codes binary, pieces binary")
 
 
 def token_counts(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
     """Per document: doc_id, n_bytes, n_tokens, over_limit."""
     path = path or default_path()
     blocks = stored(word_blocks(docs, pre_tokens(path), key, text), "pre-tokens")
-    words = dictionary(blocks).select("block", "code", "word")
-    answers = words.join(pieces(words, path), "word").select(F.col("block").alias("of_block"), "code", "pieces")
+    words = blocks.agg(F.sum(F.size("words"))).first()[0] or 0
+    answers = pieces(dealt(blocks, max(1, -(-words // BUCKET_WORDS))), path)
 
     def summed(held: pa.Table, told: pa.Table) -> pa.Table:
+        codes = [spread_out(x, np.uint32) for x in told.column("codes").to_pylist()]
+        found = [spread_out(x, np.uint32) for x in told.column("pieces").to_pylist()]
+        sizes = np.zeros(sum(map(len, codes)), np.int64)
+        if codes:
+            sizes[np.concatenate(codes)] = np.concatenate(found)
         out = []
-        sizes = np.zeros(len(told), np.int64)
-        sizes[told.column("code").to_numpy()] = told.column("pieces").to_numpy()
         for row in held.to_pylist():
-            codes, freqs = spread_out(row["codes"], np.uint32), spread_out(row["freqs"], np.uint32)
-            until = np.concatenate([[0], np.cumsum(sizes[codes] * freqs.astype(np.int64))])
-            tokens = np.diff(until[np.concatenate([[0], spread_out(row["ends"], np.int64)])])
+            who, every, freqs = word_entries(row)
+            tokens = np.zeros(len(row["keys"]), np.int64)
+            np.add.at(tokens, who, sizes[every] * freqs)
             columns = [pa.array(row["keys"], pa.int64()), pa.array(row["n_bytes"], pa.int64()), pa.array(tokens), pa.array(tokens > limit)]
             out.append(pa.Table.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit"]))
         return pa.concat_tables(out)
 
-    held = blocks.select("block", "keys", "n_bytes", "ends", "codes", "freqs")
+    held = blocks.select("block", "keys", "n_bytes", "sizes", "steps", "freqs")
     return held.groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(summed, RESULT)

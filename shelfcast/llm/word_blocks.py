@@ -3,7 +3,9 @@
 A block is one row, written by the task that read its texts. What an operator wants to know about words it joins to
 the dictionaries, one row per block and distinct word, and never to the words of each document; so a word that is in every
 document is one row a block. A block ends at ``MOST_WORDS`` words, ``MOST_CHARS`` characters or ``MOST_DOCS``
-documents, or after the single document that goes beyond these; documents are never parted.
+documents, or after the single document that goes beyond these; documents are never parted. Codes are in order of how many documents
+of the block hold the word, then of its first document; each document's codes ascend and are kept as differences, which
+are small for common words and 1 for words of that document alone, and so take about a byte.
 """
 
 from __future__ import annotations
@@ -17,9 +19,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_WORDS, MOST_CHARS, MOST_DOCS = 1 << 17, 1 << 24, 8192
+MOST_WORDS, MOST_CHARS, MOST_DOCS = 1 << 18, 1 << 24, 8192
 SCHEMA = (
-    "block long, keys array<long>, n_bytes array<long>, n_words array<long>, ends binary, codes binary, freqs binary,"
+    "block long, keys array<long>, n_bytes array<long>, n_words array<long>, sizes binary, steps binary, freqs binary,"
     " words array<binary>, word_docs array<long>"
 )
 CODEC = "zstd"
@@ -63,18 +65,37 @@ class Block:
 
     def row(self, block: int) -> pa.RecordBatch:
         codes, freqs = np.concatenate(self.codes), np.concatenate(self.freqs)
-        ends = np.cumsum([len(c) for c in self.codes], dtype=np.int64)
+        sizes = np.array([len(c) for c in self.codes], dtype=np.int64)
+        word_docs = np.bincount(codes, minlength=len(self.code))
+        by_docs = np.argsort(-word_docs, kind="stable")
+        renamed = np.empty(len(by_docs), np.int64)
+        renamed[by_docs] = np.arange(len(by_docs))
+        codes = renamed[codes]
+        who = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(who * (len(by_docs) + 1) + codes)
+        codes, freqs = codes[order], freqs[order]
+        steps = np.diff(codes, prepend=0)
+        firsts = (np.cumsum(sizes) - sizes)[sizes > 0]
+        steps[firsts] = codes[firsts]
         words = [w if isinstance(w, bytes) else w.encode() for w in self.code]
         columns = [
             pa.array([block], pa.int64()),
             *(pa.array([x], pa.list_(pa.int64())) for x in (self.keys, self.n_bytes, self.n_words)),
-            *(pa.array([squeezed(x)], pa.binary()) for x in (ends, codes, freqs)),
-            pa.array([words], pa.list_(pa.binary())),
-            pa.array([np.bincount(codes, minlength=len(words))], pa.list_(pa.int64())),
+            *(pa.array([squeezed(x)], pa.binary()) for x in (sizes, steps.astype(np.uint32), freqs)),
+            pa.array([[words[i] for i in by_docs]], pa.list_(pa.binary())),
+            pa.array([word_docs[by_docs]], pa.list_(pa.int64())),
         ]
         return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCHEMA.split(", ")])
 
 
+def word_entries(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's entries: position of the document, code and frequency of the word."""
+    sizes = spread_out(row["sizes"], np.int64)
+    total = np.cumsum(spread_out(row["steps"], np.uint32).astype(np.int64))
+    before = np.concatenate([[0], total])[np.cumsum(sizes) - sizes]
+    return np.repeat(np.arange(len(sizes)), sizes), total - np.repeat(before, sizes), spread_out(row["freqs"], np.uint32).astype(np.int64)
+
+
 def word_blocks(docs: DataFrame, words_of: Callable[[], Callable[[bytes], Iterable[bytes | str]]], key: str, text: str) -> DataFrame:
     """The blocks of all documents; ``words_of`` is called once a task and gives what splits a text in UTF-8."""
     read = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
