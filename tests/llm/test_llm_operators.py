@@ -326,6 +326,40 @@ def test_vector_search(spark):
     assert len(few) == 4
 
 
+def test_scan_reads_few_components_of_far_vectors_and_loses_none():
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((100, 63)) * 2
+    vectors = centres[rng.integers(0, 100, 10_000)] + 0.3 * rng.standard_normal((10_000, 63))
+    vectors /= np.sqrt((vectors**2).sum(1))[:, None]
+    index = vector_search.fitted(vectors, len(vectors), float(np.sqrt((vectors**2).sum(1).max())), 20, 0.95, 1)
+    turned, asked = index.turned(vectors), index.turned(vectors[:200], query=True)
+    true = vector_search.squared_distances(asked, turned)
+    limits = np.sort(true, axis=1)[:, 40]
+    which, near, read = vector_search.scan(turned, asked, limits)
+    within = set(zip(*np.nonzero(true <= limits[:, None])))
+    assert len(within & set(zip(which, near))) >= 0.99 * len(within)
+    assert read < 0.3 * true.size * turned.shape[1]
+    # without a bound everything is read and returned
+    which, near, read = vector_search.scan(turned[:50], asked, np.full(200, np.inf))
+    assert len(which) == 200 * 50 and read == 200 * 50 * turned.shape[1]
+
+
+def test_vector_search_over_clusters_keeps_bounds_across_lists(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((40, 15)) * 3
+    vectors = centres[np.minimum(rng.integers(0, 60, 4000), 39)] + 0.5 * rng.standard_normal((4000, 15))
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = vector_search.nearest(table, F.col("vec_id") % 100 == 0, k=20).toPandas()
+    hits = 0
+    for i in range(0, 4000, 100):
+        scores = vectors @ vectors[i]
+        scores[i] = -np.inf
+        mine = got[got.query_id == i].sort_values("rank")
+        assert mine["rank"].tolist() == list(range(1, 21)) and np.allclose(scores[mine.vec_id], mine.score)
+        hits += len(set(np.argsort(-scores)[:20]) & set(mine.vec_id))
+    assert hits / 800 >= 0.9
+
+
 PAGE = """<!DOCTYPE html><html lang="en"><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">
 <header><h1>Site name</h1><a href="/">Home</a></header><nav><ul><li><a href="/a">One</a></li></ul></nav>
 <div class="cookie-notice">We use cookies and that is what the law says you should know about this site before you go on.</div>

@@ -157,6 +157,17 @@ def test_op10_mixing(spark, sf_dir, documents):
     assert got.groupby("slot").source.nunique().max() == 1
 
 
+def test_op13_token_counts(spark, sf_dir, documents):
+    from tokenizers import Tokenizer
+
+    from shelfcast.llm import token_counts
+
+    got = REGISTRY["op13_token_counts"](spark, sf_dir).toPandas()
+    encoded = Tokenizer.from_file(token_counts.default_path()).encode_batch(documents.text.tolist(), add_special_tokens=False)
+    want = {i: (len(t.encode()), len(e.ids), len(e.ids) > 1024) for i, t, e in zip(documents.doc_id, documents.text, encoded)}
+    assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in got.itertuples()} == want and len(got) == len(documents)
+
+
 def test_pipeline(spark, sf_dir, documents, true_ids):
     import corpus_pipeline
 
