@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.operators.keyed_scan import BANDS, HOT_ROWS, period_openers
+from shelfcast.operators.keyed_scan import HOT_ROWS, period_openers
 
 # How long a result is kept and how long a client must wait.
 HOUR_US = 3_600_000_000
@@ -19,7 +19,7 @@ VOTE_KEYS = ["client_ip", "game_key", "platform"]
 
 
 def _judged(
-    events: DataFrame, keys: list[str], period_us: int, hot_rows: int | None, bands: int, start: DataFrame | None
+    events: DataFrame, keys: list[str], period_us: int, hot_rows: int | None, bands: int | None, start: DataFrame | None
 ) -> DataFrame:
     """``period_openers`` of the events, with the openers of ``start`` (keys, at_us, id) before them."""
     if start is None:
@@ -41,7 +41,7 @@ def with_outcome_source(
     requests: DataFrame,
     period_us: int = RESULT_TTL_US,
     hot_rows: int | None = HOT_ROWS,
-    bands: int = BANDS,
+    bands: int | None = None,
     start: DataFrame | None = None,
     keep_opener: bool = False,
 ) -> DataFrame:
@@ -71,7 +71,7 @@ def with_votes(
     requests: DataFrame,
     period_us: int = COOLDOWN_US,
     hot_rows: int | None = HOT_ROWS,
-    bands: int = BANDS,
+    bands: int | None = None,
     start: DataFrame | None = None,
     keep_opener: bool = False,
 ) -> DataFrame:
@@ -91,7 +91,7 @@ def with_votes(
 
 
 def accepted_votes(
-    requests: DataFrame, period_us: int = COOLDOWN_US, hot_rows: int | None = HOT_ROWS, bands: int = BANDS
+    requests: DataFrame, period_us: int = COOLDOWN_US, hot_rows: int | None = HOT_ROWS, bands: int | None = None
 ) -> DataFrame:
     """The requests that count as a vote."""
     return with_votes(requests, period_us, hot_rows, bands).where("voted").drop("voted")

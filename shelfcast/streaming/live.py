@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from shelfcast.operators.demand import COOLDOWN_US, ERROR, HIT, MISS, RESULT_TTL_US
-from shelfcast.operators.keyed_scan import BANDS, HOT_ROWS, period_openers
+from shelfcast.operators.keyed_scan import HOT_ROWS, period_openers
 from shelfcast.operators.leaderboard import vote_counts
 from shelfcast.operators.requests import accepted
 from shelfcast.operators.snapshots import latest_per_key
@@ -84,7 +84,7 @@ class OpenersByBatch:
     older than the latest time seen before its batch is judged as if it came at that time.
     """
 
-    def __init__(self, folder: str, keys: list[str], period_us: int, hot_rows: int | None = HOT_ROWS, bands: int = BANDS):
+    def __init__(self, folder: str, keys: list[str], period_us: int, hot_rows: int | None = HOT_ROWS, bands: int | None = None):
         self.folder = folder
         self.keys = keys
         self.period_us = period_us
@@ -128,7 +128,7 @@ class OpenersByBatch:
 
 
 def run_openers_by_batch(
-    events: DataFrame, keys: list[str], period_us: int, hot_rows: int | None = HOT_ROWS, bands: int = BANDS
+    events: DataFrame, keys: list[str], period_us: int, hot_rows: int | None = HOT_ROWS, bands: int | None = None
 ) -> DataFrame:
     """As ``live_openers``, run over what is there now; large keys are cut."""
     spark = events.sparkSession

@@ -1,7 +1,9 @@
 """The period rule against a plain loop, by row, for both ways of reading a key."""
 
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -93,13 +95,47 @@ def test_payload_passes_through(spark):
     assert (rows[2].note, rows[2].score, rows[2].opener_id) == (None, 2.5, 1)
 
 
-def test_hot_list_is_bounded_and_the_rest_is_read_whole(spark, monkeypatch):
+@pytest.mark.parametrize("bands, chunk_cells, span", [(5, 200, 20_000), (3, 10, 3_000)])
+def test_many_chunks_are_joined_by_doubling(spark, bands, chunk_cells, span):
+    rows = events(7, 900, "aaaaab", span, 0.8)
+    assert by_spark(spark, rows, 97, hot_rows=1, bands=bands, chunk_cells=chunk_cells) == by_loop(rows, 97)
+
+
+def test_every_hot_key_is_cut_and_a_long_list_is_joined(spark, monkeypatch):
     rows = events(6, 1200, "aaabbc", 5_000, 0.9)
-    monkeypatch.setattr(keyed_scan, "MAX_HOT_KEYS", 1)
     hot = hot_keys(spark.createDataFrame(rows, SCHEMA), ["k"], 10)
-    assert [(r.k, r.hot_id) for r in hot.collect()] == [("a", 0)]
+    assert sorted((r.k, r.n) for r in hot.collect()) == sorted(Counter(r[0] for r in rows).items())
+    monkeypatch.setattr(keyed_scan, "BROADCAST_KEYS", 1)
     assert by_spark(spark, rows, 60, hot_rows=10, bands=8) == by_loop(rows, 60)
 
 
+def test_reach_is_that_of_a_walk():
+    rnd = random.Random(3)
+    for n in (1, 2, 9, 300):
+        following = np.array([rnd.randint(i + 1, n) for i in range(n)])
+        heads = np.array([rnd.random() < 0.1 for _ in range(n)])
+        want = heads.copy()
+        for i in range(n):
+            if want[i] and following[i] < n:
+                want[following[i]] = True
+        assert keyed_scan.reachable(following, heads).tolist() == want.tolist()
+
+
+def test_batches_of_far_times_and_keys_that_go_on():
+    """Rows of several keys cut anywhere into batches, with spans that do not fit into 64 bits together."""
+    rnd = random.Random(5)
+    rows = sorted((key, rnd.choice([-(10**18), 0, 4 * 10**18]) + rnd.randrange(400), i, rnd.random() < 0.7) for i, key in enumerate("abcdefg" * 60))
+    period, carried, got = 50, None, {}
+    at, ids, eligible = (np.array(c) for c in list(zip(*rows))[1:])
+    starts = np.array([i == 0 or rows[i][0] != rows[i - 1][0] for i in range(len(rows))])
+    for a in range(0, len(rows), 37):
+        for x, y in keyed_scan._safe_parts(starts[a : a + 37], at[a : a + 37], period):
+            part = slice(a + x, a + y)
+            us, by, covered = np.zeros(y - x, np.int64), np.zeros(y - x, np.int64), np.zeros(y - x, bool)
+            carried = keyed_scan._judge(starts[part], at[part], ids[part], eligible[part], period, carried, us, by, covered)
+            got |= {int(i): (int(u), int(o)) if c else None for i, u, o, c in zip(ids[part], us, by, covered)}
+    assert got == by_loop(rows, period)
+
+
 def test_no_hot_keys_no_extra_plan(spark):
     assert hot_keys(spark.createDataFrame([("a", 1, 1, True)], SCHEMA), ["k"], 100) is None
