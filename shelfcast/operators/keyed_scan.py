@@ -146,7 +146,7 @@ def _read_whole_keys(events: DataFrame, keys: list[str], period_us: int) -> Data
             opener_us, covered, by = np.zeros(len(at), np.int64), np.zeros(len(at), bool), np.zeros(len(at), np.int64)
             for a, b in _safe_parts(starts, at, period_us):
                 part = slice(a, b)
-                carried = _judge(
+                carried = judge_range(
                     starts[part], at[part], ids[part], eligible[part], period_us, carried, opener_us[part], by[part], covered[part]
                 )
             kept = [batch.column(f.name) for f in schema.fields[:-2]]
@@ -179,7 +179,7 @@ def _safe_parts(starts: np.ndarray, at: np.ndarray, period_us: int) -> Iterator[
             yield a, b
 
 
-def _judge(
+def judge_range(
     starts: np.ndarray,
     at: np.ndarray,
     ids: np.ndarray,

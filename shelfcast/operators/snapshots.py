@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfcast.session import new_path
+
 RETENTION = "INTERVAL 24 HOURS"
+# folders of a bucketed snapshot: about its size over 1 GB
+BUCKETS = 64
+ROW = "key string, data string, created_at timestamp"
 
 
 def latest_per_key(rows: DataFrame) -> DataFrame:
@@ -21,6 +26,48 @@ def upsert(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
     return both.groupBy("key").agg(newest.alias("newest")).select("key", "newest.data", "newest.created_at")
 
 
+class BucketedSnapshot:
+    """Keyed state in folders by a hash of the key; a batch rewrites the folders of its keys and no others.
+
+    The new content of the touched buckets is written aside first and only then put in their place, so a batch that
+    stopped half-way can be run again: it finds the old or the new rows of each bucket, and both lead to the same.
+    """
+
+    def __init__(self, path: str, buckets: int = BUCKETS):
+        self.path = path
+        self.buckets = buckets
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int").alias("bucket")
+
+    def start(self, spark: SparkSession) -> None:
+        """An empty snapshot, unless there is one."""
+        spark.createDataFrame([], ROW).write.mode("append").parquet(f"{self.path}/bucket=-1")
+
+    def _read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(f"{ROW}, bucket int").parquet(self.path)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return self._read(spark).drop("bucket")
+
+    def upsert(self, batch: DataFrame) -> None:
+        """Rows of the batch replace those of the snapshot; within the batch the newest stays."""
+        spark = batch.sparkSession
+        aside = new_path(spark, "upsert")
+        newest = latest_per_key(batch).withColumn("bucket", self.bucket())
+        newest.write.partitionBy("bucket").parquet(f"{aside}/batch")
+        newest = spark.read.schema(f"{ROW}, bucket int").parquet(f"{aside}/batch")
+        # as many numbers as there are buckets at most
+        touched = [r["bucket"] for r in newest.select("bucket").distinct().collect()]
+        if not touched:
+            return
+        of_touched = self._read(spark).where(F.col("bucket").isin(touched)).drop("bucket")
+        merged = upsert(of_touched, newest.drop("bucket")).withColumn("bucket", self.bucket())
+        merged.repartition("bucket").write.partitionBy("bucket").parquet(f"{aside}/merged")
+        ready = spark.read.schema(f"{ROW}, bucket int").parquet(f"{aside}/merged")
+        ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+
+
 def single_rows(snapshot: DataFrame) -> DataFrame:
     """Keys that occur exactly once; a doubled key reads as absent."""
     return (

@@ -481,8 +481,7 @@ def statements() -> dict[str, str]:
             "board",
             votes_from="voters",
         ),
-        "leaderboard_merge": with_parts(BOARD, "named"),
-        "stream_leaderboard": with_parts("SELECT game, platform, score FROM board", "board"),
+        "leaderboard_merge": with_parts("SELECT game, platform, score FROM board", "board", votes_from="voters"),
         **dict.fromkeys(("cache_upsert_latest", "stream_cache_upsert"), with_parts(
             """
             SELECT key, data, epoch_us(ts) AS created_us
@@ -629,6 +628,7 @@ def statements() -> dict[str, str]:
     # the same rows, by way of landed files or batch by batch
     landed = {
         "request_pipeline_batches": "request_pipeline",
+        "stream_leaderboard": "request_pipeline_board",
         "requests_from_json": "requests_normalised",
         "stats_from_csv": "publisher_first_match",
         "appearances_from_csv": "history_summary",

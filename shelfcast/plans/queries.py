@@ -189,12 +189,12 @@ def leaderboard_all_platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def leaderboard_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A board from the first half of the requests plus the counts of the second half."""
-    requests = named_requests(spark, sf_dir)
+    """A board from the votes of the first half of the requests plus the counts of the second half."""
+    votes = demand.accepted_votes(pipeline.voting(named_requests(spark, sf_dir)))
+    path = sinks.write_snapshot(votes.select("game", "platform", "ts"), new_path(spark, "votes"))
+    votes = spark.read.parquet(path)
     later = F.col("ts") >= F.lit(derived.BATCH_FROM).cast("timestamp")
-    return leaderboard.merge_counts(
-        leaderboard.vote_counts(requests.where(~later)), leaderboard.vote_counts(requests.where(later))
-    )
+    return leaderboard.merge_counts(leaderboard.vote_counts(votes.where(~later)), leaderboard.vote_counts(votes.where(later)))
 
 
 # -- snapshots --------------------------------------------------------------
@@ -213,8 +213,11 @@ def cache_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of the first half of the requests, overwritten by those of the second."""
     rows = _stored_rows(named_requests(spark, sf_dir))
     later = F.col("created_at") >= F.lit(derived.BATCH_FROM).cast("timestamp")
-    merged = snapshots.upsert(snapshots.latest_per_key(rows.where(~later)), rows.where(later))
-    return merged.select("key", "data", micros("created_at", "created_us"))
+    snapshot = snapshots.BucketedSnapshot(new_path(spark, "cache"))
+    snapshot.start(spark)
+    snapshot.upsert(rows.where(~later))
+    snapshot.upsert(rows.where(later))
+    return snapshot.read(spark).select("key", "data", micros("created_at", "created_us"))
 
 
 @query
@@ -513,7 +516,7 @@ def request_pipeline_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = derived.table(spark, sf_dir, "events").schema
     # the pattern takes a single file as well as a folder of part files
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(f"{sf_dir}/events.parquet*")
+    events = spark.readStream.schema(schema).option("maxBytesPerTrigger", "64g").parquet(f"{sf_dir}/events.parquet*")
     return derived.requests_from_events(events)
 
 
@@ -547,10 +550,10 @@ def stream_cache_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of a stream's accepted votes, batch by batch."""
-    requests = _request_stream(spark, sf_dir)
-    columns = ["game", "platform"]
-    return live.run_to_board(live.live_votes(requests).select(*columns).union(live.live_local_votes(requests).select(*columns)))
+    """A stream's board: what was answered with a result, then who may vote, then counts, batch by batch."""
+    stats = derived.publisher_stats(spark, sf_dir)
+    codes = publishers.label_codes(derived.publisher_labels(spark, sf_dir))
+    return live.run_requests_to_board(_request_stream(spark, sf_dir), stats, codes)
 
 
 @query

@@ -4,28 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from shelfcast.operators.demand import COOLDOWN_US, ERROR, HIT, MISS, RESULT_TTL_US
-from shelfcast.operators.keyed_scan import HOT_ROWS, period_openers
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.readwriter import DataStreamWriter
+
+from shelfcast.operators.demand import (
+    COOLDOWN_US,
+    ERROR,
+    HIT,
+    MISS,
+    RESULT_KEYS,
+    RESULT_TTL_US,
+    VOTE_KEYS,
+    last_openers,
+    with_outcome_source,
+    with_votes,
+)
+from shelfcast.operators.keyed_scan import HOT_ROWS, judge_range, period_openers
 from shelfcast.operators.leaderboard import vote_counts
 from shelfcast.operators.requests import accepted
-from shelfcast.operators.snapshots import latest_per_key
+from shelfcast.operators.snapshots import BUCKETS, BucketedSnapshot
+from shelfcast.plans.pipeline import stored, with_scoring_outcome
 from shelfcast.session import new_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class OpenPeriod(StatefulProcessor):
-    """Keeps one opener per key: two numbers, on disk, for every key ever seen.
+    """Keeps one opener per key, two numbers on disk, until the watermark has passed the end of its period.
 
-    Rows are judged in the order they arrive, and by time within a trigger. A row that comes late, with a
-    time before the open period began, is answered by that period. So every row is judged and none waits
-    for or falls behind a watermark.
+    Rows are judged by time within a trigger. A row that comes late is judged as if it came at the watermark, or is
+    answered by a period that began later and is still open. So every row is judged and none waits for or falls behind the
+    watermark, and only keys of the last period have state.
     """
 
     def __init__(self, period_us: int, payload: list[str]):
@@ -38,39 +52,59 @@ class OpenPeriod(StatefulProcessor):
         self.state = handle.getValueState("opener", schema)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        opener = tuple(self.state.get()) if self.state.exists() else None
-        before = opener
-        # one key's rows of one trigger; maxFilesPerTrigger bounds them
-        frame = pd.concat(rows).sort_values(["at_us", "id"])
-        ids = []
-        for at, row_id, eligible in zip(frame["at_us"].tolist(), frame["id"].tolist(), frame["eligible"].tolist()):
-            if opener and at - opener[0] >= self.period_us:
-                opener = None
-            if opener is None and eligible:
-                opener = (at, row_id)
-            ids.append(opener and opener[1])
+        before = tuple(self.state.get()) if self.state.exists() else None
+        # one key's rows of one trigger; the source's maxBytesPerTrigger bounds them
+        frames = list(rows)
+        at, ids, eligible = (np.concatenate([f[c].to_numpy() for f in frames]) for c in ("at_us", "id", "eligible"))
+        at = np.maximum(at.astype(np.int64), timerValues.getCurrentWatermarkInMs() * 1000)
+        order = np.lexsort((ids, at))
+        starts = np.zeros(len(at), bool)
+        starts[0] = before is None
+        opener_us, opener_id, covered = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+        opener = judge_range(
+            starts, at[order], ids[order].astype(np.int64), eligible[order].astype(bool), self.period_us, before, opener_us, opener_id, covered
+        )
         if opener and opener != before:
             self.state.update(opener)
-        out = frame[self.payload].copy()
-        out["opener_id"] = pd.array(ids, dtype="Int64")
-        yield out
+            self.handle.registerTimer(self._end_ms(opener[0]))
+        place = np.empty(len(at), np.int64)
+        place[order] = np.arange(len(at))
+        first = 0
+        for frame in frames:
+            mine = place[first : first + len(frame)]
+            first += len(frame)
+            out = frame[self.payload].copy()
+            out["opener_id"] = pd.array(opener_id[mine], dtype="Int64")
+            out.loc[~covered[mine], "opener_id"] = pd.NA
+            yield out
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # a later opener has a timer of its own
+        if self.state.exists() and self._end_ms(self.state.get()[0]) <= timerValues.getCurrentWatermarkInMs():
+            self.state.clear()
+        yield from ()
+
+    def _end_ms(self, at_us: int) -> int:
+        return -(-(at_us + self.period_us) // 1000)
 
     def close(self) -> None:
         pass
 
 
-def live_openers(events: DataFrame, keys: list[str], period_us: int) -> DataFrame:
-    """Streaming ``period_openers``, with the same columns."""
+def live_openers(events: DataFrame, keys: list[str], period_us: int, lateness: str = "0 seconds") -> DataFrame:
+    """Streaming ``period_openers``, with the same columns; ``events`` has its time in ``ts`` too.
+
+    The watermark only ends periods: as ``ts`` itself does not reach the stateful operator, no row is dropped for being late.
+    """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    payload = [c for c in events.columns if c not in ("at_us", "id", "eligible")]
-    fields = [f for f in events.schema.fields if f.name in payload]
+    judged = events.withWatermark("ts", lateness).drop("ts")
+    payload = [c for c in judged.columns if c not in ("id", "eligible")]
+    fields = [f for f in judged.schema.fields if f.name in payload]
     schema = T.StructType([*fields, T.StructField("opener_id", T.LongType())])
-    return (
-        events.groupBy(*keys)
-        .transformWithStateInPandas(
-            OpenPeriod(period_us, payload), schema, outputMode="append", timeMode="none"
-        )
+    found = judged.groupBy(*keys).transformWithStateInPandas(
+        OpenPeriod(period_us, payload), schema, outputMode="append", timeMode="EventTime"
     )
+    return found.withColumn("ts", F.timestamp_micros("at_us")).drop("at_us")
 
 
 class OpenersByBatch:
@@ -94,6 +128,12 @@ class OpenersByBatch:
     def _path(self, kind: str, batch_id: int) -> str:
         return f"{self.folder}/{kind}/batch={batch_id}"
 
+    def prepare(self, events: DataFrame) -> None:
+        """An empty first batch, so that there is a table to read before any row has come."""
+        longs = [T.StructField(c, T.LongType()) for c in ("opener_id", "opener_us")]
+        schema = T.StructType([*events.schema.fields, T.StructField("carried", T.BooleanType()), *longs])
+        events.sparkSession.createDataFrame([], schema).write.mode("overwrite").parquet(self._path("judged", -1))
+
     def add(self, rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
         events = rows.withColumn("carried", F.lit(False))
@@ -128,21 +168,29 @@ class OpenersByBatch:
 
 
 def run_openers_by_batch(
-    events: DataFrame, keys: list[str], period_us: int, hot_rows: int | None = HOT_ROWS, bands: int | None = None
+    events: DataFrame,
+    keys: list[str],
+    period_us: int,
+    hot_rows: int | None = HOT_ROWS,
+    bands: int | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
-    """As ``live_openers``, run over what is there now; large keys are cut."""
+    """As ``live_openers``, run over what is there now; large keys are cut. A run with the same folder goes on."""
     spark = events.sparkSession
-    judge = OpenersByBatch(new_path(spark, "openers"), keys, period_us, hot_rows, bands)
-    query = (
-        events.writeStream.foreachBatch(judge.add)
-        .option("checkpointLocation", new_path(spark, "openers-log"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    folder = folder or new_path(spark, "openers")
+    judge = OpenersByBatch(folder, keys, period_us, hot_rows, bands)
+    judge.prepare(events)
+    run_now(events.writeStream.foreachBatch(judge.add), folder)
     return judge.read(spark)
 
 
+def run_now(writer: DataStreamWriter, folder: str) -> StreamingQuery:
+    """Run a stream over what is there now; its log is kept in the folder, where the next run finds it."""
+    query = writer.option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
 def vote_events(requests: DataFrame) -> DataFrame:
     """Remote requests of a stream, ready for the period rule."""
     return accepted(requests).where(~F.col("is_local")).select(
@@ -174,70 +222,150 @@ def live_outcome_source(requests: DataFrame, period_us: int = RESULT_TTL_US) ->
     return judged.withColumn("source", source).withColumnRenamed("opener_id", "stored_by")
 
 
-def run_to_files(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over what is there now and read back what it wrote."""
+def run_to_files(stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Run a stream over what is there now and read back all that it wrote. A run with the same folder goes on."""
     spark = stream.sparkSession
-    out, log = new_path(spark, name), new_path(spark, f"{name}-log")
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", log)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    folder = folder or new_path(spark, name)
+    out = f"{folder}/rows"
+    run_now(stream.writeStream.format("parquet").option("path", out).outputMode("append"), folder)
     return spark.read.schema(stream.schema).parquet(out)
 
 
 class Deltas:
-    """What each micro-batch of a stream comes to, one folder per batch.
+    """What each micro-batch of a stream comes to, one folder per batch, folded from time to time.
 
-    A batch writes only its own, already reduced rows, so a trigger costs as
-    much as its batch, and a batch that is run again replaces what it wrote.
-    Readers combine the batches; a batch job can fold them into a snapshot.
+    A batch writes only its own, already reduced rows, so a trigger costs as much as its batch, and a batch that is
+    run again replaces what it wrote. ``fold`` adds the batches up to a snapshot and then writes, into the ledger, up to
+    which batch it counts; the ledger's last entry is what readers trust. A batch up to there is not read again, so that
+    running it again after a fold changes nothing, nor does a fold that was lost before its entry.
     """
 
-    def __init__(self, folder: str, prepare: Callable[[DataFrame], DataFrame]):
+    def __init__(self, folder: str, prepare: Callable[[DataFrame], DataFrame], combine: Callable[[DataFrame], DataFrame]):
         self.folder = folder
         self.prepare = prepare
+        self.combine = combine
 
     def add(self, rows: DataFrame, batch_id: int) -> None:
-        self.prepare(rows).write.mode("overwrite").parquet(f"{self.folder}/batch={batch_id}")
+        self.prepare(rows).write.mode("overwrite").parquet(f"{self.folder}/deltas/batch={batch_id}")
+
+    def start(self, spark: SparkSession, schema: T.StructType) -> None:
+        """Empty tables of the given columns, which readers find before any row has come."""
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.folder}/deltas/batch=-1")
+        spark.createDataFrame([], "upto long, at timestamp").write.mode("append").parquet(f"{self.folder}/ledger")
 
     def read(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
-        return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(self.folder)
+        """All rows that count, told apart by ``batch``: those of the snapshot, then the batches after it."""
+        full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+        upto = self.folded(spark)
+        rows = spark.read.schema(full).parquet(f"{self.folder}/deltas")
+        if upto is None:
+            return rows
+        snapshot = spark.read.schema(schema).parquet(f"{self.folder}/snapshots/upto={upto}")
+        return snapshot.withColumn("batch", F.lit(upto).cast("long")).unionByName(rows.where(F.col("batch") > upto))
+
+    def folded(self, spark: SparkSession) -> int | None:
+        """The last batch that the snapshot counts."""
+        return spark.read.schema("upto long, at timestamp").parquet(f"{self.folder}/ledger").agg(F.max("upto")).first()[0]
+
+    def fold(self, spark: SparkSession, schema: T.StructType) -> int | None:
+        """Count all batches that are there into a new snapshot; batches come one at a time, so none is half written."""
+        rows = self.read(spark, schema)
+        upto = rows.agg(F.max("batch")).first()[0]
+        if upto is None or upto < 0 or upto == self.folded(spark):
+            return self.folded(spark)
+        self.combine(rows).write.mode("overwrite").parquet(f"{self.folder}/snapshots/upto={upto}")
+        spark.range(1).select(F.lit(upto).cast("long").alias("upto"), F.current_timestamp().alias("at")).write.mode("append").parquet(
+            f"{self.folder}/ledger"
+        )
+        return upto
 
 
-def run_to_deltas(stream: DataFrame, name: str, prepare: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Run a stream over what is there now; its reduced batches, told apart by ``batch``."""
-    spark = stream.sparkSession
-    deltas = Deltas(new_path(spark, name), prepare)
-    query = (
-        stream.writeStream.foreachBatch(deltas.add)
-        .option("checkpointLocation", new_path(spark, f"{name}-log"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return deltas.read(spark, prepare(stream).schema)
+COUNT = T.StructType(
+    [T.StructField("game", T.StringType()), T.StructField("platform", T.StringType()), T.StructField("score", T.LongType())]
+)
 
 
 def board_of(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy("game", "platform").agg(F.sum("score").alias("score"))
 
 
-def cache_of(deltas: DataFrame) -> DataFrame:
-    """The newest row per key of the newest batch that has the key."""
-    newest = F.max(F.struct("batch", "created_at", "data"))
-    return deltas.groupBy("key").agg(newest.alias("newest")).select("key", "newest.data", "newest.created_at")
+def run_to_board(votes: DataFrame, folder: str | None = None) -> DataFrame:
+    """The board after all votes that are there now. A run with the same folder goes on."""
+    spark = votes.sparkSession
+    folder = folder or new_path(spark, "board")
+    deltas = Deltas(folder, vote_counts, board_of)
+    deltas.start(spark, COUNT)
+    run_now(votes.writeStream.foreachBatch(deltas.add), folder)
+    return board_of(deltas.read(spark, COUNT))
+
+
+class LiveBoard:
+    """A request stream's board: each micro-batch decides what is answered, then who votes, then counts.
+
+    Only hits and misses whose result was stored ask for a vote, as in the batch flow. A batch leaves the stored results
+    and cooldowns that are still open, and the latest time seen, in folders of its own, and reads those of the batch before, so running
+    it again changes nothing, and the state is that of the last day and hour. A row older than the latest time
+    seen before its batch is judged as if it came at that time.
+    """
+
+    RESULTS = "game_key string, platform string, at_us long, id long"
+    COOLDOWNS = "client_ip string, game_key string, platform string, at_us long, id long"
+    COLUMNS = ("request_id", "ts", "game", "game_key", "platform", "client_ip", "is_local", "outcome")
 
+    def __init__(self, folder: str, stats: DataFrame, codes: DataFrame, hot_rows: int | None = HOT_ROWS):
+        self.folder = folder
+        self.stats, self.codes = stats, codes
+        self.hot_rows = hot_rows
+        self.deltas = Deltas(f"{folder}/board", lambda voted: vote_counts(voted.where("voted")), board_of)
 
-def run_to_board(votes: DataFrame) -> DataFrame:
-    """The board after all votes that are there now."""
-    return board_of(run_to_deltas(votes, "board", vote_counts))
+    def _written(self, df: DataFrame, kind: str, batch_id: int) -> DataFrame:
+        path = f"{self.folder}/{kind}/batch={batch_id}"
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
 
+    def start(self, spark: SparkSession) -> None:
+        self._written(spark.createDataFrame([], self.RESULTS), "results", -1)
+        self._written(spark.createDataFrame([], self.COOLDOWNS), "cooldowns", -1)
+        self._written(spark.createDataFrame([], "at timestamp"), "seen", -1)
+        self.deltas.start(spark, COUNT)
 
-def run_to_cache(rows: DataFrame) -> DataFrame:
-    """The keyed snapshot after all rows that are there now."""
-    return cache_of(run_to_deltas(rows, "cache", latest_per_key))
+    def add(self, rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        before = {k: spark.read.schema(s).parquet(f"{self.folder}/{k}/batch={batch_id - 1}") for k, s in
+                  (("results", self.RESULTS), ("cooldowns", self.COOLDOWNS), ("seen", "at timestamp"))}
+        seen = before["seen"].agg(F.max("at")).first()[0]
+        named = with_scoring_outcome(accepted(rows), self.stats, self.codes).select(*self.COLUMNS)
+        named = named.withColumn("ts", F.greatest("ts", F.lit(seen).cast("timestamp")))
+        decided = self._written(with_outcome_source(named, hot_rows=self.hot_rows, start=before["results"], keep_opener=True), "decided", batch_id)
+        asking = decided.where((F.col("source") == HIT) | stored()).drop("opener_id", "opener_us")
+        voted = self._written(with_votes(asking, hot_rows=self.hot_rows, start=before["cooldowns"], keep_opener=True), "voted", batch_id)
+        now = self._written(decided.agg(F.greatest(F.max("ts"), F.lit(seen).cast("timestamp")).alias("at")), "seen", batch_id).first()["at"]
+        now_us = F.unix_micros(F.lit(now).cast("timestamp"))
+        for kind, judged, keys, period in (("results", decided, RESULT_KEYS, RESULT_TTL_US), ("cooldowns", voted, VOTE_KEYS, COOLDOWN_US)):
+            self._written(last_openers(judged, keys, before[kind]).where(F.col("at_us") > now_us - period), kind, batch_id)
+        self.deltas.add(voted, batch_id)
+
+    def board(self, spark: SparkSession) -> DataFrame:
+        return board_of(self.deltas.read(spark, COUNT))
+
+
+def run_requests_to_board(
+    requests: DataFrame, stats: DataFrame, codes: DataFrame, hot_rows: int | None = HOT_ROWS, folder: str | None = None
+) -> DataFrame:
+    """The board after all requests that are there now. A run with the same folder goes on."""
+    spark = requests.sparkSession
+    folder = folder or new_path(spark, "live-board")
+    live = LiveBoard(folder, stats, codes, hot_rows)
+    live.start(spark)
+    run_now(requests.writeStream.foreachBatch(live.add), folder)
+    return live.board(spark)
+
+
+def run_to_cache(rows: DataFrame, folder: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """The keyed snapshot after all rows that are there now: rows of a later batch replace earlier ones."""
+    spark = rows.sparkSession
+    folder = folder or new_path(spark, "cache")
+    snapshot = BucketedSnapshot(f"{folder}/rows", buckets)
+    snapshot.start(spark)
+    run_now(rows.writeStream.foreachBatch(lambda batch, _: snapshot.upsert(batch)), folder)
+    return snapshot.read(spark)

@@ -132,7 +132,7 @@ def test_batches_of_far_times_and_keys_that_go_on():
         for x, y in keyed_scan._safe_parts(starts[a : a + 37], at[a : a + 37], period):
             part = slice(a + x, a + y)
             us, by, covered = np.zeros(y - x, np.int64), np.zeros(y - x, np.int64), np.zeros(y - x, bool)
-            carried = keyed_scan._judge(starts[part], at[part], ids[part], eligible[part], period, carried, us, by, covered)
+            carried = keyed_scan.judge_range(starts[part], at[part], ids[part], eligible[part], period, carried, us, by, covered)
             got |= {int(i): (int(u), int(o)) if c else None for i, u, o, c in zip(ids[part], us, by, covered)}
     assert got == by_loop(rows, period)
 
