@@ -20,31 +20,28 @@ def appearance_gaps(appearances: DataFrame) -> DataFrame:
     )
 
 
-def history_summary(appearances: DataFrame) -> DataFrame:
-    """Number of days seen, last day and mean gap per item and platform.
+def item_histories(appearances: DataFrame) -> DataFrame:
+    """Number of days seen, first and last day per item and platform: all that summaries and waits need.
 
-    The gaps add up to last minus first, so plain aggregates give their mean
-    and no ordering is needed.
+    Written once, it takes the place of the appearances for everything built on it.
     """
     days = appearances.select("game_id", "platform", "appeared_on").distinct()
-    return (
-        days.groupBy("game_id", "platform")
-        .agg(
-            F.count("*").alias("occurrences"),
-            F.min("appeared_on").alias("first_on"),
-            F.max("appeared_on").alias("last_on"),
-        )
-        .withColumn(
-            "mean_gap_days",
-            F.when(
-                F.col("occurrences") > 1,
-                F.datediff("last_on", "first_on") / (F.col("occurrences") - 1),
-            ),
-        )
-        .drop("first_on")
+    return days.groupBy("game_id", "platform").agg(
+        F.count("*").alias("occurrences"), F.min("appeared_on").alias("first_on"), F.max("appeared_on").alias("last_on")
     )
 
 
+def summary_of(histories: DataFrame) -> DataFrame:
+    """The mean gap added. The gaps add up to last minus first, so no ordering is needed."""
+    gap = F.datediff("last_on", "first_on") / (F.col("occurrences") - 1)
+    return histories.withColumn("mean_gap_days", F.when(F.col("occurrences") > 1, gap)).drop("first_on")
+
+
+def history_summary(appearances: DataFrame) -> DataFrame:
+    """Number of days seen, last day and mean gap per item and platform."""
+    return summary_of(item_histories(appearances))
+
+
 def never_appeared(items: DataFrame, appearances: DataFrame) -> DataFrame:
     return items.join(appearances, ["game_id", "platform"], "left_anti")
 

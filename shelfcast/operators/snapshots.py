@@ -55,7 +55,7 @@ class BucketedSnapshot:
         spark = batch.sparkSession
         aside = new_path(spark, "upsert")
         newest = latest_per_key(batch).withColumn("bucket", self.bucket())
-        newest.write.partitionBy("bucket").parquet(f"{aside}/batch")
+        newest.write.parquet(f"{aside}/batch")
         newest = spark.read.schema(f"{ROW}, bucket int").parquet(f"{aside}/batch")
         # as many numbers as there are buckets at most
         touched = [r["bucket"] for r in newest.select("bucket").distinct().collect()]
@@ -63,9 +63,10 @@ class BucketedSnapshot:
             return
         of_touched = self._read(spark).where(F.col("bucket").isin(touched)).drop("bucket")
         merged = upsert(of_touched, newest.drop("bucket")).withColumn("bucket", self.bucket())
-        merged.repartition("bucket").write.partitionBy("bucket").parquet(f"{aside}/merged")
+        merged.write.parquet(f"{aside}/merged")
         ready = spark.read.schema(f"{ROW}, bucket int").parquet(f"{aside}/merged")
-        ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        # one file a bucket
+        ready.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
 
 
 def single_rows(snapshot: DataFrame) -> DataFrame:

@@ -5,9 +5,11 @@ words come first, then fewer distinct words in the title, then the shorter
 title, then the lower id. Only the first of these depends on the query.
 
 A word is hot if joining on it would give more than ``hot_pairs`` pairs. Titles that share another word
-with a query are found through that word. Titles that share hot words only are found through their
-whole set of hot words: the order among titles with the same set does not depend on the query, so the
-best five of each set are all that any query can need, and only distinct sets meet.
+with a query are found through that word. Titles that share hot words only are found through posting lists: every set
+of hot words that a title holds has a list of the titles that hold all of it, in the order that does not depend on the query, cut
+to a page. Where a query and a title share the hot words T and nothing else, all titles ahead on the list of T share at
+least as much with the query; so a title on the query's page is on the cut list of T, and a query reads one
+page for each set of its own hot words, however many titles hold them.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from shelfcast.sources.sinks import write_snapshot
 
 PAGE_SIZE = 5
 HOT_PAIRS = 1_000_000
+# a title or query has a list for each of the 2^n sets of its n hot words; those with more are compared word by word
+WIDE = 10
 
 
 def words(text: Column) -> Column:
@@ -99,22 +103,38 @@ def _through_rare_words(searches: DataFrame, listed: DataFrame) -> DataFrame:
     )
 
 
+def _sets(words: Column) -> Column:
+    """All sets of an array's values but the empty one, each in the array's order."""
+    none = F.array(F.array().cast("array<string>"))
+    every = F.aggregate(words, none, lambda sets, w: F.concat(sets, F.transform(sets, lambda s: F.concat(s, F.array(w)))))
+    return F.filter(every, lambda s: F.size(s) > 0)
+
+
 def _through_hot_sets(searches: DataFrame, listed: DataFrame, size: int) -> DataFrame:
-    """The pairs that share hot words only, of the best titles of each set of hot words.
-
-    Of the titles with the hot words S, those ahead in the order share at least as much with a query
-    as a title that shares nothing but hot words with it. So if such a title belongs to the query's
-    page, it is among the best of S.
-    """
-    best = Window.partitionBy("hot").orderBy("n_words", "n_chars", "game_id")
-    # tasks cut to ``size`` titles per set before the shuffle
+    """The pairs that share hot words only, or some of those that share others too, which do no harm twice."""
+    listed = listed.where(F.size("hot") > 0).select("hot", "title_words", *_ranking_columns())
+    searches = searches.where(F.size("hot") > 0)
+    narrow = F.size("hot") <= WIDE
+    best = Window.partitionBy("held").orderBy("n_words", "n_chars", "game_id")
+    # tasks cut to ``size`` titles per list before the shuffle
     lists = (
-        listed.where(F.size("hot") > 0)
-        .select("hot", "title_words", *_ranking_columns())
+        listed.where(narrow)
+        .withColumn("held", F.explode(_sets(F.col("hot"))))
         .withColumn("place", F.row_number().over(best))
         .where(F.col("place") <= size)
+        .drop("hot", "place")
     )
-    by_title = lists.withColumnRenamed("hot", "title_hot").withColumn("word", F.explode("title_hot"))
+    shared = F.size(F.array_intersect("query_words", "title_words")).cast("bigint").alias("shared")
+    read = searches.where(narrow).select("query_words", F.explode(_sets(F.col("hot"))).alias("held")).join(lists, "held")
+    # what shares more than the list's words is on a longer list, or shares a word that is not hot
+    found = read.select("query_words", "held", "game_id", "name", "n_words", "n_chars", shared).where(F.size("held") == F.col("shared"))
+    wide = _word_by_word(searches, listed.where(~narrow)).unionByName(_word_by_word(searches.where(~narrow), listed.where(narrow)))
+    return found.drop("held").unionByName(wide)
+
+
+def _word_by_word(searches: DataFrame, listed: DataFrame) -> DataFrame:
+    """The pairs that share hot words only, one by one."""
+    by_title = listed.withColumnRenamed("hot", "title_hot").withColumn("word", F.explode("title_hot"))
     by_query = searches.select("query_words", "hot", F.explode("hot").alias("word"))
     common = F.array_intersect("hot", "title_hot")
     shared = F.size(F.array_intersect("query_words", "title_words"))

@@ -394,7 +394,9 @@ WITH asked AS (
               WHEN p_partkey % 5 = 2 THEN p_name || ' deluxe' WHEN p_partkey % 5 = 3 THEN split_part(p_name, ' ', 2)
               ELSE split_part(p_name, ' ', 1) || ' #' || CAST(p_partkey AS VARCHAR) END AS query
   FROM part),
-titles AS (SELECT p_partkey AS game_id, p_name || ' #' || CAST(p_partkey AS VARCHAR) AS name FROM part),
+titles AS (
+  SELECT p_partkey * 8 + e AS game_id, p_name || ' #' || CAST(p_partkey * 8 + e AS VARCHAR) AS name
+  FROM part, range(1, 8) AS editions(e)),
 query_words AS (
   SELECT DISTINCT query_id, word
   FROM (SELECT query_id, unnest(string_split_regex(lower(query), '\\s+')) AS word FROM asked) WHERE word <> ''),

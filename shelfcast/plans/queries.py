@@ -64,6 +64,14 @@ def board(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.counted_board(pipeline.voting(named_requests(spark, sf_dir)))
 
 
+def statistics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Publisher statistics and the codes of their labels, written once: lookups, the mean of all and the codes read
+    the small table, not the appearances again."""
+    stats = derived.publisher_stats(spark, sf_dir)
+    stats = spark.read.schema(stats.schema).parquet(sinks.write_snapshot(stats, new_path(spark, "statistics")))
+    return stats, publishers.label_codes(derived.publisher_labels(stats))
+
+
 def request_time() -> Column:
     return F.lit(derived.AS_OF).cast("timestamp")
 
@@ -323,7 +331,7 @@ def _shown_statistics(first: DataFrame) -> DataFrame:
 
 @query
 def publisher_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return publishers.label_codes(derived.publisher_labels(spark, sf_dir))
+    return publishers.label_codes(derived.publisher_labels(derived.publisher_stats(spark, sf_dir)))
 
 
 @query
@@ -388,8 +396,7 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    stats = derived.publisher_stats(spark, sf_dir)
-    codes = publishers.label_codes(derived.publisher_labels(spark, sf_dir))
+    stats, codes = statistics(spark, sf_dir)
     return scoring.feature_rows(_items(spark, sf_dir), stats, codes), stats
 
 
@@ -445,18 +452,23 @@ def estimate_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _histories(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Item histories, written once, and the statistics per publisher and service that are built on them."""
+    found = history.item_histories(derived.appearances(spark, sf_dir))
+    found = spark.read.schema(found.schema).parquet(sinks.write_snapshot(found, new_path(spark, "histories")))
+    first = publishers.first_waits(found, cat.enrich(derived.catalogue(spark, sf_dir)))
+    return found, publishers.statistics_of(publishers.wait_moments(first, ["publisher", "platform"]))
+
+
 @query
 def tiered_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = derived.appearances(spark, sf_dir)
-    stats = publishers.publisher_statistics(
-        seen, cat.enrich(derived.catalogue(spark, sf_dir)), ["publisher", "platform"]
-    )
+    histories, stats = _histories(spark, sf_dir)
     measured = (
         "theoretical_wait_time", "predicted_total_days", "publisher_avg_wait_days", "predicted_months",
         "publisher_consistency",
     )
     rows = tiers.tiered_estimates(
-        _items_on_platforms(spark, sf_dir), history.history_summary(seen), stats,
+        _items_on_platforms(spark, sf_dir), history.summary_of(histories), stats,
         derived.first_party(spark, sf_dir), history_day(),
     )
     return rows.select(*[six(c) if c in measured else F.col(c) for c in rows.columns])
@@ -467,8 +479,7 @@ def tiered_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def request_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = derived.publisher_stats(spark, sf_dir)
-    codes = publishers.label_codes(derived.publisher_labels(spark, sf_dir))
+    stats, codes = statistics(spark, sf_dir)
     answers = pipeline.responses(derived.requests(spark, sf_dir), stats, codes)
     return _shown_answers(answers)
 
@@ -482,8 +493,7 @@ def _shown_answers(answers: DataFrame) -> DataFrame:
 
 def _two_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, pipeline.FlowState]:
     """The requests of the first half, then those of the second on the state that the first left."""
-    stats = derived.publisher_stats(spark, sf_dir)
-    codes = publishers.label_codes(derived.publisher_labels(spark, sf_dir))
+    stats, codes = statistics(spark, sf_dir)
     requests = derived.requests(spark, sf_dir)
     later = F.coalesce(F.col("ts") >= F.lit(derived.BATCH_FROM).cast("timestamp"), F.lit(False))
     first, state = pipeline.answer_batch(requests.where(~later), stats, codes)
@@ -516,7 +526,7 @@ def request_pipeline_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = derived.table(spark, sf_dir, "events").schema
     # the pattern takes a single file as well as a folder of part files
-    events = spark.readStream.schema(schema).option("maxBytesPerTrigger", "64g").parquet(f"{sf_dir}/events.parquet*")
+    events = spark.readStream.schema(schema).option("maxBytesPerTrigger", 64 << 30).parquet(f"{sf_dir}/events.parquet*")
     return derived.requests_from_events(events)
 
 
@@ -551,8 +561,7 @@ def stream_cache_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream's board: what was answered with a result, then who may vote, then counts, batch by batch."""
-    stats = derived.publisher_stats(spark, sf_dir)
-    codes = publishers.label_codes(derived.publisher_labels(spark, sf_dir))
+    stats, codes = statistics(spark, sf_dir)
     return live.run_requests_to_board(_request_stream(spark, sf_dir), stats, codes)
 
 

@@ -140,10 +140,10 @@ def publisher_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def publisher_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels the encoder was fitted on; one known publisher is not among them."""
+def publisher_labels(stats: DataFrame) -> DataFrame:
+    """Labels the encoder was fitted on; one publisher of the statistics is not among them."""
     return (
-        publisher_stats(spark, sf_dir)
+        stats
         .where(F.col("primary_publisher") != "Brand#23")
         .select(F.col("primary_publisher").alias("label"))
     )
@@ -182,9 +182,8 @@ def _request_json() -> Column:
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The titles that are searched: one per part."""
-    p = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select(p.alias("game_id"), F.concat("p_name", F.lit(" #"), p.cast("string")).alias("name"))
+    """The titles that are searched: those of the whole catalogue."""
+    return catalogue(spark, sf_dir).select(F.col("id").alias("game_id"), "name")
 
 
 def title_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

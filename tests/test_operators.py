@@ -244,6 +244,26 @@ def test_label_codes_over_many_partitions(spark):
     assert found == {x: i for i, x in enumerate(want)}
 
 
+def test_statistics_of_two_batches_are_those_of_one_run(spark):
+    rnd = random.Random(4)
+    rows = [(f"p{rnd.randint(0, 6)}", "epic", rnd.randint(-50, 900), rnd.choice([None, 0.0, 70.5, 91.0])) for _ in range(200)]
+    rows += [("lone", "epic", 5, None), ("late", "psplus", 7, 3.0)]
+    first = spark.createDataFrame(rows, "publisher string, platform string, wait_days int, metacritic double").withColumn("n", F.monotonically_increasing_id())
+    by = ["publisher", "platform"]
+    whole = publishers.statistics_of(publishers.wait_moments(first, by))
+    parts = [publishers.wait_moments(first.where(F.col("publisher").isin("p1", "late") == late), by) for late in (True, False)]
+    parts2 = [publishers.wait_moments(first.where(F.col("n") % 2 == i), by) for i in (0, 1)]
+    for a, b in (parts, parts2):
+        merged = publishers.statistics_of(publishers.merge_moments(a, b, by))
+        got = {(r.publisher, r.platform): r for r in merged.collect()}
+        assert len(got) == whole.count()
+        for r in whole.collect():
+            other = got[r.publisher, r.platform]
+            assert other.games_count == r.games_count
+            for c in ("avg_wait_days", "avg_score", "consistency"):
+                assert (other[c] is None) == (r[c] is None) and (r[c] is None or abs(other[c] - r[c]) < 1e-9)
+
+
 def test_consistency_needs_two_waits(spark):
     seen = spark.createDataFrame([(1, "epic", date(2020, 1, 11)), (2, "epic", date(2020, 1, 31)), (3, "epic", date(2020, 1, 5))], "game_id bigint, platform string, appeared_on date")
     items = spark.createDataFrame(

@@ -1,6 +1,9 @@
 """Shapes of the plans that matter at scale."""
 
+import random
+
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from shelfcast.operators import demand, titles
@@ -55,3 +58,28 @@ def test_many_common_words_do_not_blow_up(spark):
     found = titles.title_candidates(asked, listed, hot_pairs=500).collect()
     assert {r.query_id: r.shared for r in found} == dict.fromkeys(range(20), 30)
     assert sorted(r.game_id for r in found if r.query_id == 0) == [0, 1, 2, 3, 4]
+
+
+def test_titles_of_common_words_read_few_of_all_pairs(spark):
+    """Three of forty hot words a title: nearly every pair of titles shares one."""
+    rnd = random.Random(2)
+    rows = [(i, " ".join(rnd.sample([f"w{j}" for j in range(40)], 3))) for i in range(20_000)]
+    listed = spark.createDataFrame(rows, "game_id bigint, name string").repartition(8)
+    asked = listed.where("game_id < 2000").selectExpr("game_id AS query_id", "name AS query")
+    df = titles.title_candidates(asked, listed, hot_pairs=1000)
+    counter = Observation("read")
+    hot = spark.createDataFrame([(f"w{j}",) for j in range(40)], "word string")
+    listed = titles._with_hot(listed.select("game_id", "name", titles.words("name").alias("title_words")), ["game_id", "name", "title_words"], "title_words", hot)
+    searches = asked.select(titles.words("query").alias("query_words")).distinct()
+    searches = titles._with_hot(searches, ["query_words"], "query_words", hot)
+    titles._through_hot_sets(searches, listed, 5).observe(counter, F.count("*").alias("n")).count()
+    assert df.count() == 10_000
+    assert counter.get["n"] < 40 * 2000 < 20_000 * 2000 / 100
+
+
+@pytest.mark.parametrize("name", ["estimate_postprocessed", "tiered_estimate", "request_pipeline"])
+def test_appearances_are_scanned_once(spark, sf_dir, name):
+    """All that is built on the appearances reads what was written from them: no plan has a second scan."""
+    from shelfcast.plans.queries import REGISTRY
+
+    assert "lineitem" not in plan(REGISTRY[name](spark, sf_dir))
