@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +22,6 @@ from shelfcast.operators.demand import (
 )
 from shelfcast.operators.keyed_scan import HOT_ROWS
 from shelfcast.operators.leaderboard import merge_counts, vote_counts
-from shelfcast.operators.model import predict_days
 from shelfcast.operators.scoring import FAILED, RESULT_FIELDS, estimates, feature_rows, publisher_features
 from shelfcast.session import new_path
 from shelfcast.sources.readers import read_leaderboard
@@ -73,11 +71,12 @@ def stored() -> Column:
 
 
 def scored_results(
-    answered_requests: DataFrame, stats: DataFrame, codes: DataFrame, model: PipelineModel | None = None
+    answered_requests: DataFrame, stats: DataFrame, codes: DataFrame, days: Column | None = None
 ) -> DataFrame:
     """The estimate of every request that was passed on and succeeded, by request id.
 
-    Without a model the publisher's mean wait takes the place of its prediction.
+    ``days`` is the prediction as a column over feature rows (``model.days_column``). Without one the publisher's mean
+    wait takes its place.
     """
     items = answered_requests.where(stored()).select(
         F.col("request_id").alias("stored_by"),
@@ -88,10 +87,8 @@ def scored_results(
         release_month(F.col("release_date")).alias("release_month"),
     )
     features = feature_rows(items, stats, codes)
-    if model is None:
-        features = features.withColumn("predicted_days", F.col("avg_days_to_epic"))
-    else:
-        features = predict_days(model, features)
+    predicted = F.col("avg_days_to_epic") if days is None else days
+    features = features.withColumn("predicted_days", predicted)
     return estimates(features, stats, F.col("predicted_days")).select("stored_by", *RESULT_FIELDS)
 
 
@@ -100,7 +97,7 @@ def responses(
     stats: DataFrame,
     codes: DataFrame,
     hot_rows: int | None = HOT_ROWS,
-    model: PipelineModel | None = None,
+    days: Column | None = None,
 ) -> DataFrame:
     """One answer per request: status, source, the result and whether it counted as a vote."""
     columns = ["request_id", "status", "game", "platform", "source", "stored_by"]
@@ -113,7 +110,7 @@ def responses(
     voted = with_votes(
         decided.where(has_result).select(*columns, "ts", "client_ip", "game_key", "is_local"), hot_rows=hot_rows
     ).select(*columns, "voted")
-    with_result = voted.join(scored_results(decided, stats, codes, model), "stored_by", "left")
+    with_result = voted.join(scored_results(decided, stats, codes, days), "stored_by", "left")
     without = decided.where(~has_result).select(*columns, F.lit(False).alias("voted"))
     refused = rq.rejected(requests).select("request_id", "status", F.lit(False).alias("voted"))
     return (
@@ -142,7 +139,7 @@ def answer_batch(
     codes: DataFrame,
     state: FlowState | None = None,
     hot_rows: int | None = HOT_ROWS,
-    model: PipelineModel | None = None,
+    days: Column | None = None,
 ) -> tuple[DataFrame, FlowState]:
     """The answers to a batch of requests, and the state after it; batches come in the order of time.
 
@@ -156,7 +153,7 @@ def answer_batch(
     named = with_scoring_outcome(rq.accepted(requests), stats, codes)
     before = state.results if state else None
     decided = written(with_outcome_source(named, hot_rows=hot_rows, start=before, keep_opener=True), "answered")
-    results = scored_results(decided, stats, codes, model)
+    results = scored_results(decided, stats, codes, days)
     if state:
         results = results.unionByName(before.select(F.col("id").alias("stored_by"), *RESULT_FIELDS))
     results = written(results, "results")

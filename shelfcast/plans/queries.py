@@ -436,22 +436,59 @@ def estimate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SERVICES = ["epic", "gamepass", "psplus", "humble"]
+
+
+def _epic_trees(spark: SparkSession, sf_dir: str, features: DataFrame) -> DataFrame:
+    """The first service's model, whose statistics are those of the feature rows, as node rows."""
+    seen = history.item_histories(derived.appearances(spark, sf_dir).where(F.col("platform") == "epic"))
+    first = publishers.first_waits(seen, cat.enrich(derived.catalogue(spark, sf_dir)))
+    return model.fit_trees(features.join(first.select("game_id", "wait_days"), "game_id"))
+
+
 @query
 def estimate_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fitted and scored by a model of the first service; the statistics are of that service."""
     features, stats = _features(spark, sf_dir)
-    waited = model.training_rows(
-        derived.appearances(spark, sf_dir).where(F.col("platform") == "epic"),
-        cat.enrich(derived.catalogue(spark, sf_dir)),
-    )
-    fitted = model.fit_model(features.join(waited.select("game_id", "wait_days"), "game_id"))
-    scored = model.predict_days(fitted, features)
+    days = model.days_column(_epic_trees(spark, sf_dir, features))
+    scored = features.withColumn("predicted_days", days)
     return scoring.estimates(scored, stats, F.col("predicted_days")).select(
         "game_id", "path", six("predicted_days"), six("predicted_years"), "years_whole", "months_whole",
         six("lower_bound_years"), six("upper_bound_years"), "sentence",
     )
 
 
+@query
+def model_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of four models, one per service, on items that they have not seen, beside those of the publisher's mean."""
+    histories, _ = _histories(spark, sf_dir)
+    first = publishers.first_waits(histories, cat.enrich(derived.catalogue(spark, sf_dir)))
+    found = model.held_out_errors(_items(spark, sf_dir), first, SERVICES)
+    return found.select("platform", "items", "not_scored", six("model_error"), six("mean_error"))
+
+
+@query
+def tiered_estimate_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiers whose model tier reads the written predictions of four models; the mean wait only where there is none."""
+    histories, stats = _histories(spark, sf_dir)
+    first = publishers.first_waits(histories, cat.enrich(derived.catalogue(spark, sf_dir)))
+    predicted = model.wait_predictions(_items(spark, sf_dir), first, SERVICES)
+    items = _items_on_platforms(spark, sf_dir).join(predicted, ["game_id", "platform"], "left")
+    rows = tiers.tiered_estimates(
+        items, history.summary_of(histories), stats, derived.first_party(spark, sf_dir), history_day(),
+        predicted_days=F.coalesce("predicted_days", "avg_wait_days"),
+    )
+    return rows.select("game_id", "platform", "tier", "category", six("predicted_total_days"), six("predicted_months"), "sample_size")
+
+
+@query
+def request_pipeline_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole flow with a fitted model's answers to the misses."""
+    stats, codes = statistics(spark, sf_dir)
+    days = model.days_column(_epic_trees(spark, sf_dir, scoring.feature_rows(_items(spark, sf_dir), stats, codes)))
+    return _shown_answers(pipeline.responses(derived.requests(spark, sf_dir), stats, codes, days=days))
+
+
 def _histories(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Item histories, written once, and the statistics per publisher and service that are built on them."""
     found = history.item_histories(derived.appearances(spark, sf_dir))

@@ -354,23 +354,56 @@ def test_json_result_and_source(spark):
     ]
 
 
-def test_models_per_platform(spark):
-    stats = spark.createDataFrame([(1, "A", 730.0, 1, 70.0), (2, "B", 365.0, 2, 60.0)], STATS)
-    codes = spark.createDataFrame([("A", 0), ("B", 1)], "label string, code bigint")
-    items = spark.range(60).select(
-        F.when(F.col("id") % 3 == 0, "A").when(F.col("id") % 3 == 1, "B").otherwise("Z").alias("publisher"),
-        (50.0 + F.col("id") % 40).alias("metacritic_score"),
+def service_rows(spark):
+    """Items of a few publishers, one of them without any score, with waits on two services."""
+    items = spark.range(400).select(
+        F.col("id").alias("game_id"),
+        F.element_at(F.array(*map(F.lit, ["A", "B", "Scoreless", "Rare"])), F.when(F.col("id") == 7, 4).otherwise((F.col("id") % 3 + 1)).cast("int")).alias("publisher"),
+        F.when((F.col("id") % 3 != 2) & (F.col("id") % 5 != 0), 50.0 + F.col("id") % 40).alias("metacritic_score"),
         (2000 + F.col("id") % 20).cast("int").alias("release_year"),
-        F.lit(5).alias("release_month"),
-        (F.col("id") * 10.0).alias("wait_days"),
+        (1 + F.col("id") % 12).cast("int").alias("release_month"),
     )
-    features = scoring.feature_rows(items, stats, codes)
-    of = {"epic": features, "humble": features.withColumn("wait_days", F.col("wait_days") + 5000)}
-    rows = model.predict_platform_days(model.fit_models(of, rounds=2, depth=2), of).collect()
-    assert len(rows) == 120
-    assert all((r.predicted_days is None) == (r.path == "unknown") for r in rows)
-    best = {p: max(r.predicted_days for r in rows if r.platform == p and r.path == "known") for p in of}
-    assert best["epic"] < 1000 < 5000 < best["humble"]
+    year, late = F.col("release_year"), F.when(F.col("metacritic_score").isNull(), 500).otherwise(0)
+    waits = items.where("game_id % 7 <> 0 OR game_id = 7").select(
+        "game_id", "publisher", F.col("metacritic_score").alias("metacritic"), ((year - 1990) * 10 + late).cast("int").alias("wait_days")
+    )
+    first = waits.withColumn("platform", F.lit("epic")).unionByName(
+        waits.withColumn("platform", F.lit("humble")).withColumn("wait_days", F.col("wait_days") + 5000)
+    )
+    return items, first
+
+
+def test_a_model_per_service_as_a_column_and_as_sql(spark, tmp_path):
+    import duckdb
+
+    items, first = service_rows(spark)
+    codes = publishers.label_codes(first.select(F.col("publisher").alias("label")))
+    features = model.service_features(items, first, codes, "epic")
+    waited = first.where("platform = 'epic'").select("game_id", "wait_days")
+    nodes = model.fit_trees(features.join(waited, "game_id"), rounds=3, depth=3)
+    assert nodes.where("left >= 0").count() > 0
+    rows = features.select("game_id", "path", *scoring.FEATURES, model.days_column(nodes).alias("days"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "rows"))
+    told = duckdb.sql(f"SELECT days, {model.days_sql(nodes)} AS again FROM '{tmp_path}/rows/*.parquet'").fetchall()
+    assert len(told) == 400 and all(a is not None and abs(a - b) < 1e-6 for a, b in told)
+    # a publisher without any score is trained on and scored, and missing scores are told apart
+    by = {r.game_id: r.days for r in rows.collect()}
+    seen = {r.game_id: r.wait_days for r in waited.collect()}
+    assert sum(abs(by[i] - seen[i]) for i in seen) / len(seen) < 100
+    assert model.fit_trees(features.limit(0).withColumn("wait_days", F.lit(1))).count() == 0
+    none = features.select(model.days_column(nodes.limit(0)).alias("d")).where("d IS NOT NULL")
+    assert none.count() == 0
+
+
+def test_predictions_and_errors_per_service(spark):
+    items, first = service_rows(spark)
+    found = model.wait_predictions(items, first, ["epic", "humble"], rounds=3, depth=3)
+    rows = {(r.game_id, r.platform): r.predicted_days for r in found.collect()}
+    assert len(rows) == 800
+    assert max(rows[i, "epic"] for i in range(400)) < 1500 < 5000 < min(rows[i, "humble"] for i in range(400))
+    errors = {r.platform: r for r in model.held_out_errors(items, first, ["epic", "humble"], rounds=5, depth=3).collect()}
+    for r in errors.values():
+        assert r["items"] + r["not_scored"] > 50 and r["model_error"] < r["mean_error"]
 
 
 def test_tiers(spark):

@@ -15,7 +15,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-SLOW = {"estimate_model", "stream_votes", "stream_votes_in_cells", "stream_cache_outcome", "stream_leaderboard", "stream_cache_upsert"}
+SLOW = {"estimate_model", "model_errors", "tiered_estimate_model", "request_pipeline_model", "stream_votes", "stream_votes_in_cells", "stream_cache_outcome", "stream_leaderboard", "stream_cache_upsert"}
 
 
 @pytest.mark.parametrize("name", sorted(set(REGISTRY) - SLOW))
