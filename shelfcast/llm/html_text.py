@@ -1,11 +1,12 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides blocks by the region they stand in
-(menu, footer, advert, ... by tag, role, class or id; article or main part), by the share of their characters that
-are links, by length, and by the share of stop words of the language that the page's own text shows; where it shows none of
-those listed, length and links decide. Where the marked article has the bulk of the good text, nothing else is taken. What is left undecided, short blocks and
-middling ones, takes in the second pass the label that its nearest decided neighbours of the same region share; where
-they differ or there are none, a block of an article stays and another one stays only if its stop words spoke for it.
+A page is cut into blocks at block-level tags. The first pass decides every block by the share of stop words of the language
+that the page's own text shows, by length, and by the share of its characters that are links. The region it stands in counts in that:
+blocks of menus, footers, adverts and the like (by tag, role, class or id) are out; in an article or main part, few stop words
+or some links leave a block undecided instead of bad. Where a page shows none of the listed languages, length and links decide. Where the
+marked article has the bulk of the text, nothing else is taken. What is left undecided, short blocks and middling ones,
+takes in the second pass the label that its nearest decided neighbours of the same region share. Where they differ or there are none, a block
+of an article stays, a sentence follows the block before it, and any other one stays only if its stop words spoke for it.
 
 Cases: null and empty pages, and pages without main text, give an empty text; unclosed and wrongly nested tags end with
 the block or the element around them; a page cut off anywhere is read up to there; texts of any length are read
@@ -71,6 +72,9 @@ AFTER_INSIDE = frozenset("area body container content inner text wrap wrapper".s
 # whole class names of a page's frame; beside them a name with a side or state speaks about the page
 FRAMES = frozenset("body container content layout page row site wrap wrapper".split())
 SIDES = frozenset("active enabled fixed left open right".split())
+PARAGRAPH_ENDS = BLOCKS - {"p"} | UNSEEN
+IN_UNSEEN_ENDS = BLOCKS - {"p"} | (UNSEEN - NO_PARAGRAPHS)
+ITEM_ENDS = frozenset(["ul", "ol", "dl", "table", "select"]) | (UNSEEN - NO_PARAGRAPHS)
 # elements whose class or id can mark an article
 CONTAINERS = frozenset("article body center dd details div fieldset li main section table tbody td tr ul ol".split())
 # fixed values: frequent words of four languages
@@ -93,15 +97,18 @@ WORD = regex.compile(r"\p{L}+")
 DENSE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
 NAME_WORD = regex.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
-SHORT_CHARS, LONG_CHARS = 70, 200
+SHORT_CHARS, MIDDLING_CHARS, LONG_CHARS = 70, 100, 200
 LOW_STOPS, HIGH_STOPS = 0.30, 0.32
 # share of stop words from which on a page is taken to be of their language
 SHOWN_STOPS = 0.25
 MOST_LINKS, MOST_LINKS_INSIDE = 0.2, 0.5
+# a line that says whose the page is, not a paragraph that speaks of it
+NOTICE = regex.compile(r"\s*(?:©|\(c\)\s|copyright\b)", regex.I)
+SENTENCE = regex.compile(r"""[.!?…。！？]["'”’»)\]]*$""")
 
 # what is SOFT is outside, but an article in it is inside
 UNKNOWN, INSIDE, OUTSIDE, SOFT = 0, 1, 2, 3
-GOOD, BAD, SHORT, NEAR = "good", "bad", "short", "near"
+GOOD, BAD, SHORT, NEAR, LIST = "good", "bad", "short", "near", "list"
 
 
 def _names(value: str | None, after: frozenset[str] = AFTER_NOUN) -> set[str]:
@@ -161,24 +168,45 @@ class Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.found: list[tuple[str, int, int, bool]] = []
         self.open: list[tuple[str, int]] = []
+        # places of the open elements by tag, of the open blocks, of the unseen ones: no tag looks through all that is open
+        self.places: dict[str, list[int]] = {}
+        self.open_blocks: list[int] = []
+        self.open_unseen: list[int] = []
         self.text: list[str] = []
-        self.links, self.in_link, self.unseen, self.breaks = 0, False, 0, 0
+        self.links, self.in_link, self.breaks, self.headings = 0, False, 0, 0
+
+    @property
+    def unseen(self) -> bool:
+        return bool(self.open_unseen)
 
     def region(self) -> int:
         return self.open[-1][1] if self.open else UNKNOWN
 
+    def last(self, tag: str) -> int:
+        """The place of the innermost open element of this tag, or -1."""
+        found = self.places.get(tag)
+        return found[-1] if found else -1
+
+    def begin(self, tag: str, region: int) -> None:
+        at = len(self.open)
+        self.places.setdefault(tag, []).append(at)
+        if tag in BLOCKS:
+            self.open_blocks.append(at)
+        if tag in UNSEEN:
+            self.open_unseen.append(at)
+        self.headings += tag in HEADINGS
+        self.open.append((tag, region))
+
     def end_block(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            heading = any(tag in HEADINGS for tag, _ in self.open)
             region = OUTSIDE if self.region() == SOFT else self.region()
-            self.found.append((text, self.links, region, heading))
+            self.found.append((text, self.links, region, self.headings > 0))
         self.text, self.links, self.in_link, self.breaks = [], 0, False, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in UNSEEN:
-            self.unseen += 1
-            self.open.append((tag, self.region()))
+            self.begin(tag, self.region())
             return
         told = dict(attrs)
         if tag == "br" and not self.unseen:
@@ -191,52 +219,51 @@ class Blocks(HTMLParser):
         if tag in BLOCKS:
             if not self.unseen:
                 self.end_block()
-            self._close({"p"}, until=(BLOCKS - {"p"}) | (UNSEEN - NO_PARAGRAPHS if tag == "p" else UNSEEN))
+            self._close({"p"}, until=IN_UNSEEN_ENDS if tag == "p" else PARAGRAPH_ENDS)
             if tag in ENDS:
-                self._close(ENDS[tag], until=frozenset(["ul", "ol", "dl", "table", "select"]) | (UNSEEN - NO_PARAGRAPHS))
+                self._close(ENDS[tag], until=ITEM_ENDS)
         if tag in VOID:
             return
         if self.unseen:
-            self.open.append((tag, self.region()))
+            self.begin(tag, self.region())
             return
         region = _region(tag, told, self.region())
         if region != self.region() and tag not in BLOCKS:
             self.end_block()
         if tag == "a":
             self.in_link = "href" in told
-        self.open.append((tag, region))
+        self.begin(tag, region)
 
     def _end(self, k: int) -> None:
         """Close the element at place ``k`` with all inside it, unseen ones too."""
-        self.unseen -= sum(t in UNSEEN for t, _ in self.open[k:])
-        del self.open[k:]
+        while len(self.open) > k:
+            tag, _ = self.open.pop()
+            self.places[tag].pop()
+            self.headings -= tag in HEADINGS
+        for places in (self.open_blocks, self.open_unseen):
+            while places and places[-1] >= k:
+                places.pop()
 
     def _close(self, tags: set[str], until: frozenset[str]) -> None:
         """Close the innermost of ``tags`` with all inside it, not looking beyond an element of ``until``."""
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] in tags:
-                if self.unseen and not any(t in UNSEEN for t, _ in self.open[:k]):
-                    self.end_block()
-                self._end(k)
-                return
-            if self.open[k][0] in until:
-                return
+        k = max(map(self.last, tags))
+        if k < 0 or any(self.last(t) > k for t in until - tags):
+            return
+        if self.unseen and self.open_unseen[0] >= k:
+            self.end_block()
+        self._end(k)
 
     def handle_endtag(self, tag: str) -> None:
-        at = None
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                at = k
-                break
-            # an inline end tag does not close the block around it
-            if tag not in BLOCKS | UNSEEN and self.open[k][0] in BLOCKS:
-                break
-        seen = not self.unseen or (at is not None and not any(t in UNSEEN for t, _ in self.open[: at + 1]))
+        at = self.last(tag)
+        # an inline end tag does not close the block around it
+        if tag not in BLOCKS and tag not in UNSEEN and self.open_blocks and self.open_blocks[-1] > at:
+            at = -1
+        seen = not self.unseen or 0 <= at < self.open_unseen[0]
         if tag in BLOCKS and seen:
             self.end_block()
         if tag == "a" and seen:
             self.in_link = False
-        if at is None:
+        if at < 0:
             return
         if seen and tag not in BLOCKS and (self.open[at - 1][1] if at else UNKNOWN) != self.region():
             self.end_block()
@@ -262,38 +289,39 @@ def _length(text: str) -> int:
     return len(text) + 2 * len(DENSE.findall(text))
 
 
-def _stop_words(blocks: list[tuple[str, int, int, bool]]) -> frozenset[str] | None:
+def _stop_words(blocks: list[tuple[str, int, int, bool]], words: list[list[str]]) -> frozenset[str] | None:
     """Those of the language of the page's long blocks; None if it is none of the listed."""
-    words = [
-        w.lower()
-        for text, links, region, _ in blocks
+    every = [
+        w
+        for (text, links, region, _), own in zip(blocks, words)
         if region != OUTSIDE and _length(text) >= SHORT_CHARS and _dense(text, links) <= MOST_LINKS
-        for w in WORD.findall(text)
+        for w in own
     ]
-    found = {lang: sum(w in stops for w in words) for lang, stops in STOP_SETS.items()}
+    found = {lang: sum(map(stops.__contains__, every)) for lang, stops in STOP_SETS.items()}
     best = max(found, key=found.__getitem__)
-    return STOP_SETS[best] if found[best] >= max(1, SHOWN_STOPS * len(words)) else None
+    return STOP_SETS[best] if found[best] >= max(1, SHOWN_STOPS * len(every)) else None
 
 
-def _first_label(text: str, links: int, region: int, heading: bool, stops: frozenset[str] | None) -> str:
+def _first_label(text: str, links: int, region: int, heading: bool, words: list[str], stops: frozenset[str] | None) -> str:
     if region == OUTSIDE:
         return BAD
-    dense = _dense(text, links)
-    if region == INSIDE:
-        if dense > MOST_LINKS_INSIDE:
-            return SHORT if len(text) < SHORT_CHARS else BAD
-        return SHORT if len(text) < SHORT_CHARS and links else GOOD
-    if dense > MOST_LINKS or "©" in text:
+    inside = region == INSIDE
+    length, dense = _length(text), _dense(text, links)
+    if dense > (MOST_LINKS_INSIDE if inside else MOST_LINKS):
+        return SHORT if inside and length < SHORT_CHARS else BAD
+    if length < LONG_CHARS and not inside and NOTICE.match(text):
         return BAD
-    if _length(text) < SHORT_CHARS:
-        return BAD if links else SHORT
+    if length < SHORT_CHARS:
+        return BAD if links and not inside else SHORT
     if stops is None:
-        return GOOD if _length(text) > LONG_CHARS else NEAR
-    words = [w.lower() for w in WORD.findall(text)]
-    share = sum(w in stops for w in words) / max(1, len(words))
+        return GOOD if length > LONG_CHARS else NEAR
+    share = sum(map(stops.__contains__, words)) / max(1, len(words))
     if share >= HIGH_STOPS:
-        return GOOD if len(text) > LONG_CHARS else NEAR
-    return NEAR if share >= LOW_STOPS else BAD
+        told = not links and length > MIDDLING_CHARS and SENTENCE.search(text)
+        return GOOD if length > LONG_CHARS or inside or told else NEAR
+    if share >= LOW_STOPS or inside:
+        return NEAR
+    return LIST if length <= LONG_CHARS and not links else BAD
 
 
 def main_text(html: str | None) -> str:
@@ -305,11 +333,14 @@ def main_text(html: str | None) -> str:
     page.close()
     page.end_block()
     blocks = page.found
-    around = [b for b in blocks if b[2] == UNKNOWN]
-    stops = _stop_words(blocks) if around else None
-    first = [_first_label(*b, stops) for b in blocks]
-    # where the marked article has the bulk of the good text, what stands around it is not asked
-    good = {r: sum(_length(b[0]) for b, x in zip(blocks, first) if b[2] == r and x in (GOOD, NEAR)) for r in (INSIDE, UNKNOWN)}
+    words = [WORD.findall(text.lower()) if region != OUTSIDE else [] for text, _, region, _ in blocks]
+    stops = _stop_words(blocks, words)
+    first = [_first_label(*b, w, stops) for b, w in zip(blocks, words)]
+    # where the marked article has the bulk of the text, what stands around it is not asked
+    good = {
+        r: sum(_length(b[0]) for b, x in zip(blocks, first) if b[2] == r and (x in (GOOD, NEAR) or (x == SHORT and r == INSIDE)))
+        for r in (INSIDE, UNKNOWN)
+    }
     if good[INSIDE] and good[INSIDE] >= good[UNKNOWN]:
         first = [BAD if b[2] == UNKNOWN else label for b, label in zip(blocks, first)]
     before: list[str | None] = []
@@ -322,15 +353,20 @@ def main_text(html: str | None) -> str:
                 seen[blocks[i][2]] = first[i]
     after.reverse()
     kept = []
-    for (text, _, region, heading), label, left, right in zip(blocks, first, before, after):
+    for (text, links, region, heading), label, left, right in zip(blocks, first, before, after):
+        if label == LIST:
+            # names or numbers between two blocks of the text
+            label = GOOD if left == right == GOOD else BAD
         if label in (SHORT, NEAR):
             near = {x for x in (left, right) if x}
-            if heading and right:
+            if heading and right and region != INSIDE:
                 label = right
             elif len(near) == 1:
                 label = near.pop()
+            elif region == INSIDE or label == NEAR:
+                label = GOOD
             else:
-                label = GOOD if region == INSIDE or label == NEAR else BAD
+                label = left if left and not links and SENTENCE.search(text) else BAD
         if label == GOOD:
             kept.append(text)
     return "\n".join(kept)

@@ -371,6 +371,41 @@ PAGE = """<!DOCTYPE html><html lang="en"><head><title>T</title><style>p{}</style
 <aside>Related of the day</aside><footer>&copy; The site</footer></body></html>"""
 
 
+PARAGRAPHS = [
+    "This is the first paragraph of the story, and it has all the words that one would look for in a text about what it was that they had seen on the day.",
+    "It was on the second day that they came to the town with the sign © over the door, and there was no one in it who could say what it meant to them or to us.",
+    "And so it is that we have to go on with it for as long as there are some of us who can, which is what they had said to us when we first came here.",
+]
+INGREDIENTS = "Flour, butter, sugar, milk, almonds, raisins, cinnamon, cardamom, vanilla, yeast, salt"
+
+
+@pytest.mark.parametrize("wrapped", ["<article>{}</article>", "<main>{}</main>", "<div>{}</div>", '<div id="content"><div class="post-body">{}</div></div>'])
+def test_html_text_of_pages_with_and_without_a_marked_article(wrapped):
+    body = f"<h1>A title of some words</h1><p>{PARAGRAPHS[0]}</p><p>{INGREDIENTS}</p><p>{PARAGRAPHS[1]}</p><p>{PARAGRAPHS[2]}</p><p>That was all.</p>"
+    links = "".join(f'<li><a href="/{i}">Another page {i}</a></li>' for i in range(9))
+    page = f"<html><body><nav><ul>{links}</ul></nav>{wrapped.format(body)}<ul>{links}</ul><p>© 2020 The Site. All rights reserved.</p></body></html>"
+    want = ["A title of some words", PARAGRAPHS[0], INGREDIENTS, PARAGRAPHS[1], PARAGRAPHS[2], "That was all."]
+    assert html_text.main_text(page).split("\n") == want
+
+
+def test_html_rules_decide_inside_a_marked_article_too():
+    links = "".join(f'<li><a href="/{i}">Another page of the site, which has a name that is longer than those of the others {i}</a></li>' for i in range(9))
+    body = f"<article><p>{PARAGRAPHS[0]}</p><p>A short line</p><ul>{links}</ul><p>Between lists</p><ul>{links}</ul><p>{PARAGRAPHS[2]}</p></article>"
+    # a short line follows its neighbours, whose links decide against the lists
+    assert html_text.main_text(body).split("\n") == [PARAGRAPHS[0], "A short line", PARAGRAPHS[2]]
+
+
+@pytest.mark.parametrize("part", ["<span>w</i> ", "<div>word ", "<b><i>x</b> ", "<p><button>y ", "<ul><li>z ", "<table><td>c "])
+def test_html_with_a_megabyte_of_unclosed_tags(part):
+    import time
+
+    page = "<article>" + part * (1_000_000 // len(part))
+    began = time.process_time()
+    text = html_text.main_text(page)
+    assert time.process_time() - began < 20
+    assert ("y" not in text) if "button" in part else len(text) > 10_000
+
+
 def test_html_text():
     assert html_text.main_text(PAGE).split("\n") == [
         "The & title!", "First para graph of the text.", "Second one, unclosed", "item linked and more words of the item here", "Quoted.",
