@@ -15,6 +15,7 @@ whole; repeated rows give repeated results; further columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -72,9 +73,8 @@ AFTER_INSIDE = frozenset("area body container content inner text wrap wrapper".s
 # whole class names of a page's frame; beside them a name with a side or state speaks about the page
 FRAMES = frozenset("body container content layout page row site wrap wrapper".split())
 SIDES = frozenset("active enabled fixed left open right".split())
-PARAGRAPH_ENDS = BLOCKS - {"p"} | UNSEEN
-IN_UNSEEN_ENDS = BLOCKS - {"p"} | (UNSEEN - NO_PARAGRAPHS)
-ITEM_ENDS = frozenset(["ul", "ol", "dl", "table", "select"]) | (UNSEEN - NO_PARAGRAPHS)
+OPEN_PARAGRAPH = UNSEEN - NO_PARAGRAPHS
+LISTS = ("ul", "ol", "dl", "table", "select")
 # elements whose class or id can mark an article
 CONTAINERS = frozenset("article body center dd details div fieldset li main section table tbody td tr ul ol".split())
 # fixed values: frequent words of four languages
@@ -92,7 +92,8 @@ STOP_WORDS = {
 }
 STOP_SETS = {lang: frozenset(words.split()) for lang, words in STOP_WORDS.items()}
 
-WORD = regex.compile(r"\p{L}+")
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+WORD = re.compile(r"[^\W\d_]+")
 # scripts that write a word in one or two characters
 DENSE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
 NAME_WORD = regex.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -104,7 +105,7 @@ SHOWN_STOPS = 0.25
 MOST_LINKS, MOST_LINKS_INSIDE = 0.2, 0.5
 # a line that says whose the page is, not a paragraph that speaks of it
 NOTICE = regex.compile(r"\s*(?:©|\(c\)\s|copyright\b)", regex.I)
-SENTENCE = regex.compile(r"""[.!?…。！？]["'”’»)\]]*$""")
+SENTENCE_ENDS, AFTER_SENTENCE = frozenset(".!?…。！？"), "\"'”’»)]"
 
 # what is SOFT is outside, but an article in it is inside
 UNKNOWN, INSIDE, OUTSIDE, SOFT = 0, 1, 2, 3
@@ -113,7 +114,9 @@ GOOD, BAD, SHORT, NEAR, LIST = "good", "bad", "short", "near", "list"
 
 def _names(value: str | None, after: frozenset[str] = AFTER_NOUN) -> set[str]:
     """The nouns that the names in ``value`` end with, and the names as one word."""
-    tokens = (value or "").split()
+    if not value:
+        return set()
+    tokens = value.split()
     framed = any(t.lower() in FRAMES for t in tokens)
     out: set[str] = set()
     for token in tokens:
@@ -136,7 +139,7 @@ def _region(tag: str, attrs: dict[str, str | None], around: int) -> int:
         return around
     if "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true":
         return OUTSIDE
-    if regex.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or "", regex.I):
+    if HIDDEN.search(attrs.get("style") or ""):
         return OUTSIDE
     role, classes = (attrs.get("role") or "").lower(), attrs.get("class")
     marked = tag in INSIDE_TAGS or role in ("article", "main") or "articlebody" in (attrs.get("itemprop") or "").lower()
@@ -219,9 +222,14 @@ class Blocks(HTMLParser):
         if tag in BLOCKS:
             if not self.unseen:
                 self.end_block()
-            self._close({"p"}, until=IN_UNSEEN_ENDS if tag == "p" else PARAGRAPH_ENDS)
+            at = self.last("p")
+            # a block inside the paragraph keeps it open
+            if at >= 0 and self.open_blocks[-1] == at:
+                self._close(at, OPEN_PARAGRAPH if tag == "p" else UNSEEN)
             if tag in ENDS:
-                self._close(ENDS[tag], until=ITEM_ENDS)
+                at = max(map(self.last, ENDS[tag]))
+                if at >= 0 and not any(self.last(t) > at for t in LISTS):
+                    self._close(at, OPEN_PARAGRAPH)
         if tag in VOID:
             return
         if self.unseen:
@@ -244,14 +252,13 @@ class Blocks(HTMLParser):
             while places and places[-1] >= k:
                 places.pop()
 
-    def _close(self, tags: set[str], until: frozenset[str]) -> None:
-        """Close the innermost of ``tags`` with all inside it, not looking beyond an element of ``until``."""
-        k = max(map(self.last, tags))
-        if k < 0 or any(self.last(t) > k for t in until - tags):
+    def _close(self, at: int, until: frozenset[str]) -> None:
+        """Close the element at a place with all inside it, but not from within an unseen element of ``until``."""
+        if self.open_unseen and self.open_unseen[-1] > at and any(self.last(t) > at for t in until):
             return
-        if self.unseen and self.open_unseen[0] >= k:
+        if self.unseen and self.open_unseen[0] >= at:
             self.end_block()
-        self._end(k)
+        self._end(at)
 
     def handle_endtag(self, tag: str) -> None:
         at = self.last(tag)
@@ -286,7 +293,11 @@ def _dense(text: str, links: int) -> float:
 
 def _length(text: str) -> int:
     """Characters, as many as the text would have in letters."""
-    return len(text) + 2 * len(DENSE.findall(text))
+    return len(text) if text.isascii() else len(text) + 2 * len(DENSE.findall(text))
+
+
+def _sentence(text: str) -> bool:
+    return text.rstrip(AFTER_SENTENCE)[-1:] in SENTENCE_ENDS
 
 
 def _stop_words(blocks: list[tuple[str, int, int, bool]], words: list[list[str]]) -> frozenset[str] | None:
@@ -317,7 +328,7 @@ def _first_label(text: str, links: int, region: int, heading: bool, words: list[
         return GOOD if length > LONG_CHARS else NEAR
     share = sum(map(stops.__contains__, words)) / max(1, len(words))
     if share >= HIGH_STOPS:
-        told = not links and length > MIDDLING_CHARS and SENTENCE.search(text)
+        told = not links and length > MIDDLING_CHARS and _sentence(text)
         return GOOD if length > LONG_CHARS or inside or told else NEAR
     if share >= LOW_STOPS or inside:
         return NEAR
@@ -366,7 +377,7 @@ def main_text(html: str | None) -> str:
             elif region == INSIDE or label == NEAR:
                 label = GOOD
             else:
-                label = left if left and not links and SENTENCE.search(text) else BAD
+                label = left if left and not links and _sentence(text) else BAD
         if label == GOOD:
             kept.append(text)
     return "\n".join(kept)
