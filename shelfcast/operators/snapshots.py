@@ -69,6 +69,19 @@ class BucketedSnapshot:
         ready.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
 
 
+def write_for_lookup(snapshot: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """The snapshot as a table bucketed and sorted by key.
+
+    What is looked up in it is shuffled to its buckets; the snapshot itself, the larger side, stays where it lies, in this
+    and in every later batch. The table is of the session's catalogue, its files are in the shared folder.
+    """
+    spark = snapshot.sparkSession
+    path = new_path(spark, "lookup")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    snapshot.repartition(buckets, "key").write.bucketBy(buckets, "key").sortBy("key").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def single_rows(snapshot: DataFrame) -> DataFrame:
     """Keys that occur exactly once; a doubled key reads as absent."""
     return (

@@ -27,6 +27,8 @@ REGISTRY: dict[str, Query] = {}
 
 # small enough to cut the busiest keys into cells on the supplied tables
 CELL_ROWS, CELL_BANDS = 100, 16
+# of the stored tables: about their size over 1 GB
+LOOKUP_BUCKETS = 8
 # small enough to make common title words hot on the supplied tables
 FEW_PAIRS = 5_000
 
@@ -221,7 +223,7 @@ def cache_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of the first half of the requests, overwritten by those of the second."""
     rows = _stored_rows(named_requests(spark, sf_dir))
     later = F.col("created_at") >= F.lit(derived.BATCH_FROM).cast("timestamp")
-    snapshot = snapshots.BucketedSnapshot(new_path(spark, "cache"))
+    snapshot = snapshots.BucketedSnapshot(new_path(spark, "cache"), LOOKUP_BUCKETS)
     snapshot.start(spark)
     snapshot.upsert(rows.where(~later))
     snapshot.upsert(rows.where(later))
@@ -252,6 +254,7 @@ def cache_lookup_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
         .where(F.col("key").startswith(rq.RESULT_PREFIX + ":"))
         .withColumn("data", scoring.with_source(F.col("data"), F.lit(demand.HIT)))
     )
+    stored = snapshots.write_for_lookup(stored, LOOKUP_BUCKETS)
     found = snapshots.lookup(asked, "result_key", stored, request_time(), demand.RESULT_TTL_US)
     return found.select("request_id", "result_key", "fresh", F.when(F.col("fresh"), F.col("data")).alias("response"))
 
@@ -264,6 +267,7 @@ def cooldown_lookup_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
         rq.cooldown_key(F.col("client_ip"), F.col("game"), F.col("platform")).alias("cooldown_key"),
     )
     stored = derived.cache(spark, sf_dir).where(F.col("key").startswith(rq.COOLDOWN_PREFIX + ":"))
+    stored = snapshots.write_for_lookup(stored, LOOKUP_BUCKETS)
     found = snapshots.lookup(asked, "cooldown_key", stored, request_time(), demand.COOLDOWN_US)
     return found.select("request_id", "cooldown_key", F.col("fresh").alias("blocked"))
 
@@ -605,4 +609,4 @@ def stream_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = rq.accepted(_request_stream(spark, sf_dir))
-    return live.run_to_cache(_stored_rows(requests)).select("key", "data", micros("created_at", "created_us"))
+    return live.run_to_cache(_stored_rows(requests), buckets=LOOKUP_BUCKETS).select("key", "data", micros("created_at", "created_us"))

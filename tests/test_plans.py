@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from shelfcast.operators import demand, titles
+from shelfcast.operators import demand, snapshots, titles
 from shelfcast.operators.keyed_scan import period_openers
 from shelfcast.plans.queries import REGISTRY
 
@@ -83,3 +83,22 @@ def test_appearances_are_scanned_once(spark, sf_dir, name):
     from shelfcast.plans.queries import REGISTRY
 
     assert "lineitem" not in plan(REGISTRY[name](spark, sf_dir))
+
+
+def test_a_lookup_shuffles_what_is_asked_and_not_the_snapshot(spark):
+    stored = spark.range(3000).select(
+        F.concat(F.lit("k"), F.col("id") % 2900).alias("key"), F.lit("{}").alias("data"), F.timestamp_seconds("id").alias("created_at")
+    )
+    table = snapshots.write_for_lookup(stored, 6)
+    asked = spark.range(500).select("id", F.concat(F.lit("k"), F.col("id") * 7).alias("asked"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = snapshots.lookup(asked, "asked", table, F.timestamp_seconds(F.lit(3000)), 3_600_000_000)
+        text = plan(df)
+        assert text.count("Exchange") == 1 and "Exchange hashpartitioning(asked" in text
+        rows = df.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    # 100 keys occur twice and read as absent
+    assert sum(r.fresh for r in rows) == sum(100 <= 7 * i < 2900 for i in range(500))
