@@ -105,13 +105,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents written as token shards in training order, and the records read back from there."""
+    """All documents written as token shards in training order, the records read back from the files: a row per piece of a document."""
     out = new_path(spark, "token-shards")
     token_shards.write_shards(table(spark, sf_dir, "documents"), out, seed=20_240_607)
-    per_shard, stride = token_shards.PER_SHARD, F.octet_length("ids")
-    return token_shards.read_shards(spark, out).select(
-        "slot", "shard", ((F.col("slot") % per_shard) * stride).alias("byte_offset"), stride.cast("long").alias("stride_bytes"),
-        "doc_id", "start", "n_tokens", F.crc32("ids").alias("record_crc32"),
+    size = F.lit(token_shards.layout(spark, out).record_bytes).alias("stride_bytes")
+    records = token_shards.read_shards(spark, out).select("slot", "shard", "byte_offset", F.crc32("ids").alias("record_crc32"))
+    pieces = token_shards.read_pieces(spark, out).drop("record_crc32")
+    return pieces.join(records, "slot").select(
+        "slot", "shard", "byte_offset", size, "doc_id", "start", "offset", "n_tokens", "record_crc32"
     )
 
 

@@ -1,24 +1,30 @@
-"""Token ids in training order, as shards of fixed-stride binary records.
+"""Token ids in training order, as files of fixed-stride binary records.
 
-Texts become ids, cut into sequences of ``stride`` ids, the last padded. The sequences are numbered from 0
+Texts become ids, each ended by the end id, and a task's ids are laid one after the other and cut into sequences of ``stride``
+ids; only a task's last sequence is padded. The sequences are numbered from 0
 without gaps, and a keyed Feistel network maps the number to a slot: a permutation of the next power of
 four, walked on until it lands inside the number of sequences. So the order is a permutation, is known
-from the key alone, and needs no sort of random numbers and no table of its own. Sequences are
-range-partitioned by shard, sorted by slot and written as one folder per shard. Each record holds the same number
-of bytes, so slot s is record ``s % per_shard`` of shard ``s // per_shard``, and a reader that stopped can go on there.
+from the key alone, and needs no sort of random numbers and no table of its own. Slots are cut into ranges, the shards; a shard is
+one file, sorted by slot. A record is the ids as little-endian numbers of two bytes (four for vocabularies above 65,536) and one
+more number that is always the padding id. So slot s is at byte ``s % per_shard * record_bytes`` of the file of shard
+``s // per_shard``: a reader seeks there, reads on, and can stop and go on anywhere (``read_records``).
 
-Cases: a null or empty text is the end id alone; repeated rows are sequences each; null identifiers are kept;
-an empty table writes an empty table; further columns are not read.
+Folders under ``out``: ``records``, the files; ``pieces``, per slot what it holds: document, first id there, place in the record,
+length; ``files``, per shard its file, first slot and number of records; ``layout``, one row, written last.
+
+Cases: a null or empty text is the end id alone; repeated rows are pieces each; null identifiers are kept;
+an empty table writes no file; further columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfcast.llm import tokens
@@ -28,7 +34,12 @@ STRIDE = 2048
 PER_SHARD = 16_384
 ROUNDS = 6
 PAD_ID = 0
-RECORD = "slot long, doc_id long, start long, n_tokens int, ids binary"
+# tasks that write shards: beyond that, a task writes a range of shards, one after the other
+MOST_WRITERS = 20_000
+# records that a task holds before it hands them on
+HELD = 1000
+PIECE = "struct<doc_id: bigint, start: bigint, offset: int, n_tokens: int>"
+LAYOUT = "n_records long, per_shard long, stride int, id_bytes int, record_bytes long, seed long"
 
 
 def _mixed(x: np.ndarray, key: np.uint64) -> np.ndarray:
@@ -56,38 +67,72 @@ def permuted(numbers: np.ndarray, count: int, key: int, rounds: int = ROUNDS) ->
     return out.astype(np.int64)
 
 
+class Filler:
+    """Records of ``stride`` ids, filled by one document after the other."""
+
+    def __init__(self, stride: int, kind: str):
+        self.stride, self.kind = stride, kind
+        self.parts: list[np.ndarray] = []
+        self.used = 0
+        self._start()
+
+    def _start(self) -> None:
+        self.records: list[bytes] = []
+        self.ends = [0]
+        self.pieces: tuple[list, list, list, list] = ([], [], [], [])
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        at = 0
+        while at < len(ids):
+            n = min(len(ids) - at, self.stride - self.used)
+            for column, value in zip(self.pieces, (doc_id, at, self.used, n)):
+                column.append(value)
+            self.parts.append(ids[at : at + n])
+            self.used += n
+            at += n
+            if self.used == self.stride:
+                self.close()
+
+    def close(self) -> None:
+        """End the open record, padded if it is not full."""
+        if self.used:
+            self.parts.append(np.full(self.stride - self.used, PAD_ID, dtype=self.kind))
+            self.records.append(np.concatenate(self.parts).tobytes())
+            self.ends.append(len(self.pieces[0]))
+            self.parts, self.used = [], 0
+
+    def taken(self) -> pa.RecordBatch:
+        """The closed records; the pieces of an open one stay."""
+        until = self.ends[-1]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        columns = [pa.array(c[:until], k) for c, k in zip(self.pieces, kinds)]
+        inside = pa.StructArray.from_arrays(columns, ["doc_id", "start", "offset", "n_tokens"])
+        lists = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), inside)
+        batch = pa.RecordBatch.from_arrays([lists, pa.array(self.records, pa.binary())], ["pieces", "ids"])
+        rest = tuple(c[until:] for c in self.pieces)
+        self._start()
+        self.pieces = rest
+        return batch
+
+
 def sequences(docs: DataFrame, path: str, key: str, text: str, stride: int) -> DataFrame:
-    """Every document's sequences, in records of ``stride`` ids of two bytes (four for vocabularies above 65,536)."""
+    """The records of all documents and the pieces in each."""
     kind = id_type(path)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filler = Filler(stride, kind)
         for batch in batches:
-            rows, starts, sizes, records = [], [], [], []
-
-            def filled() -> pa.RecordBatch:
-                own = batch.column("doc_id").take(pa.array(rows, pa.int64()))
-                return pa.RecordBatch.from_arrays(
-                    [own, pa.array(starts, pa.int64()), pa.array(sizes, pa.int32()), pa.array(records, pa.binary())],
-                    ["doc_id", "start", "n_tokens", "ids"],
-                )
-
+            own = batch.column("doc_id").to_pylist()
             for i, ids in tokens.encoded(path, batch.column("text").to_pylist()):
-                ids = np.append(ids, np.uint32(tokens.END_ID)).astype(kind)
-                for at in range(0, len(ids), stride):
-                    part = ids[at : at + stride]
-                    record = np.full(stride, PAD_ID, dtype=kind)
-                    record[: len(part)] = part
-                    rows.append(i)
-                    starts.append(at)
-                    sizes.append(len(part))
-                    records.append(record.tobytes())
-                if len(records) >= 2000:
-                    yield filled()
-                    rows, starts, sizes, records = [], [], [], []
-            yield filled()
-
-    read = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return read.mapInArrow(cut, "doc_id long, start long, n_tokens int, ids binary")
+                filler.add(own[i], np.append(ids, np.uint32(tokens.END_ID)).astype(kind))
+                if len(filler.records) >= HELD:
+                    yield filler.taken()
+        filler.close()
+        if filler.records:
+            yield filler.taken()
+
+    read = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return read.mapInArrow(cut, f"pieces array<{PIECE}>, ids binary")
 
 
 def id_type(path: str) -> str:
@@ -105,7 +150,7 @@ def numbered(found: DataFrame) -> tuple[DataFrame, int]:
     starts = runs.select("run", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
     count = rows.count()
     number = (F.col("earlier") + F.col("at") - F.col("first")).alias("number")
-    return rows.join(F.broadcast(starts), "run").select(number, "doc_id", "start", "n_tokens", "ids"), count
+    return rows.join(F.broadcast(starts), "run").select(number, "pieces", "ids"), count
 
 
 def write_shards(
@@ -119,25 +164,83 @@ def write_shards(
     per_shard: int = PER_SHARD,
 ) -> int:
     """Write the shards to ``out`` and return the number of sequences."""
-    rows, count = numbered(sequences(docs, path or tokens.default_path(), key, text, stride))
+    spark, path = docs.sparkSession, path or tokens.default_path()
+    rows, count = numbered(sequences(docs, path, key, text, stride))
+    id_bytes = np.dtype(id_type(path)).itemsize
+    record_bytes = (stride + 1) * id_bytes
 
     def slots(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for numbers in batches:
             yield pd.Series(permuted(numbers.to_numpy(), count, seed))
 
-    placed = rows.withColumn("slot", F.pandas_udf(slots, "long")("number")).withColumn("shard", F.floor(F.col("slot") / per_shard))
-    (
-        placed.repartitionByRange(max(1, -(-count // per_shard)), "shard")
-        .sortWithinPartitions("shard", "slot")
-        .select("shard", "slot", "doc_id", "start", "n_tokens", "ids")
-        .write.option("compression", "zstd")
-        .partitionBy("shard")
-        .parquet(out)
-    )
+    shard = F.floor(F.col("slot") / per_shard)
+    placed = rows.withColumn("slot", F.pandas_udf(slots, "long")("number")).withColumn("shard", shard)
+    placed.select("slot", "pieces", F.crc32("ids").alias("record_crc32")).write.option("compression", "zstd").parquet(f"{out}/pieces")
+    if count:
+        shards = -(-count // per_shard)
+        # slots are a permutation, so ranges of them are even without sampling
+        each = -(-shards // MOST_WRITERS)
+        (
+            placed.repartitionById(-(-shards // each), F.floor(F.col("shard") / each).cast("int"))
+            .sortWithinPartitions("shard", "slot")
+            # a line of text is its bytes as they are, and a line's end the number that ends a record
+            .select("shard", F.col("ids").cast("string").alias("value"))
+            .write.partitionBy("shard")
+            .option("lineSep", chr(PAD_ID) * id_bytes)
+            .text(f"{out}/records")
+        )
+        found = _binary(spark, out).select(
+            "shard",
+            "path",
+            (F.col("shard") * per_shard).alias("first_slot"),
+            F.expr(f"length div {record_bytes}").alias("n_records"),
+        )
+        found.write.parquet(f"{out}/files")
+    layout = [(count, per_shard, stride, id_bytes, record_bytes, seed)]
+    spark.createDataFrame(layout, LAYOUT).coalesce(1).write.json(f"{out}/layout")
     return count
 
 
-def read_shards(spark: SparkSession, out: str, first_slot: int = 0, per_shard: int = PER_SHARD) -> DataFrame:
-    """The records from ``first_slot`` on; only its shard and later ones are opened."""
-    rows = spark.read.schema(f"{RECORD}, shard long").parquet(out)
-    return rows.where((F.col("shard") >= first_slot // per_shard) & (F.col("slot") >= first_slot))
+def _binary(spark: SparkSession, out: str) -> DataFrame:
+    files = spark.read.format("binaryFile").load(f"{out}/records")
+    return files.select(F.col("shard").cast("long").alias("shard"), "path", "length", "content")
+
+
+def layout(spark: SparkSession, out: str) -> Row:
+    """How the records of ``out`` lie."""
+    return spark.read.schema(LAYOUT).json(f"{out}/layout").first()
+
+
+def read_shards(spark: SparkSession, out: str, first_slot: int = 0) -> DataFrame:
+    """The records of the files from ``first_slot`` on, with where they lie; only its shard and later ones are opened."""
+    told = layout(spark, out)
+    if not told.n_records:
+        return spark.createDataFrame([], "slot long, shard long, byte_offset long, ids binary")
+    size, start = told.record_bytes, F.col("shard") * told.per_shard
+    first = F.greatest(F.lit(0), F.lit(first_slot) - start)
+    record = F.transform(
+        F.sequence(first, F.expr(f"length div {size}") - 1),
+        lambda i: F.struct(
+            (start + i).alias("slot"),
+            (i * size).alias("byte_offset"),
+            F.substring("content", (i * size + 1).cast("int"), F.lit(told.stride * told.id_bytes)).alias("ids"),
+        ),
+    )
+    opened = _binary(spark, out).where(F.col("shard") >= first_slot // told.per_shard)
+    # a first slot behind the last record leaves nothing of its shard
+    opened = opened.where(first < F.expr(f"length div {size}"))
+    rows = opened.select("shard", F.explode(record).alias("r"))
+    return rows.select("r.slot", "shard", "r.byte_offset", "r.ids")
+
+
+def read_pieces(spark: SparkSession, out: str) -> DataFrame:
+    """One row per piece of a document: its record's slot and checksum, and the place there."""
+    held = spark.read.schema(f"slot long, pieces array<{PIECE}>, record_crc32 long").parquet(f"{out}/pieces")
+    return held.select("slot", "record_crc32", F.inline("pieces"))
+
+
+def read_records(file: BinaryIO, slot: int, n: int, told: Row) -> np.ndarray:
+    """Up to ``n`` records of an open shard file from ``slot`` on, a row each: one seek, one read."""
+    file.seek(slot % told.per_shard * told.record_bytes)
+    read = file.read(n * told.record_bytes)
+    return np.frombuffer(read, f"<u{told.id_bytes}").reshape(-1, told.stride + 1)[:, :-1]

@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -127,22 +128,44 @@ def test_permutation_is_one():
     assert (token_shards.permuted(np.arange(1000), 1000, 5) != token_shards.permuted(np.arange(1000), 1000, 6)).any()
 
 
-def test_token_shards_round_trip_and_resume(spark, docs, no_docs):
+@pytest.mark.parametrize("most_writers", [1, 20_000])
+def test_token_shards_round_trip_seek_and_resume(spark, docs, no_docs, monkeypatch, most_writers):
+    monkeypatch.setattr(token_shards, "MOST_WRITERS", most_writers)
     out = new_path(spark, "shards")
     count = token_shards.write_shards(docs, out, seed=3, stride=64, per_shard=50)
-    got = token_shards.read_shards(spark, out, per_shard=50).toPandas().sort_values("slot")
+    got = token_shards.read_shards(spark, out).toPandas().sort_values("slot")
     assert got.slot.tolist() == list(range(count)) and set(map(len, got.ids)) == {128}
+    pieces = token_shards.read_pieces(spark, out).toPandas().fillna({"doc_id": -1})
+    records = dict(zip(got.slot, got.ids))
+    assert all(zlib.crc32(records[r.slot]) == r.record_crc32 for r in pieces.itertuples())
+    # every document's ids, put together from the records, are the tokenizer's; repeated identifiers come as often as they are
     whole = Counter()
-    for (doc_id, start), rows in got.fillna({"doc_id": -1}).groupby(["doc_id", "start"]):
-        for r in rows.itertuples():
-            whole[doc_id] += r.n_tokens
     want = Counter()
+    for r in pieces.itertuples():
+        ids = np.frombuffer(records[r.slot], "<u2")[r.offset : r.offset + r.n_tokens]
+        whole.update((r.doc_id, r.start + k, int(v)) for k, v in enumerate(ids))
     for r, (_, ids) in zip(documents(), tokens.encoded(tokens.default_path(), [r[1] for r in documents()])):
-        want[-1 if r[0] is None else r[0]] += len(ids) + 1
+        want.update((-1 if r[0] is None else r[0], k, int(v)) for k, v in enumerate([*ids, tokens.END_ID]))
     assert whole == want
-    rest = token_shards.read_shards(spark, out, first_slot=70, per_shard=50).toPandas()
+    rest = token_shards.read_shards(spark, out, first_slot=70).toPandas()
     assert sorted(rest.slot) == list(range(70, count))
-    assert token_shards.write_shards(no_docs, new_path(spark, "none"), seed=3) == 0
+    assert token_shards.read_shards(spark, out, first_slot=count).count() == 0
+    # the files themselves: one a shard, each slot where its number says
+    told = token_shards.layout(spark, out)
+    files = {r.shard: r for r in spark.read.parquet(f"{out}/files").collect()}
+    assert sorted(files) == list(range(-(-count // 50))) and sum(r.n_records for r in files.values()) == count
+    for slot in (0, 49, 50, 77, count - 1):
+        held = files[slot // 50]
+        with open(held.path.removeprefix("file:"), "rb") as file:
+            read = token_shards.read_records(file, slot, 3, told)
+        assert len(read) == min(3, held.first_slot + held.n_records - slot)
+        assert [row.tobytes() for row in read] == [records[slot + k] for k in range(len(read))]
+
+
+def test_token_shards_of_nothing(spark, no_docs):
+    out = new_path(spark, "none")
+    assert token_shards.write_shards(no_docs, out, seed=3) == 0
+    assert token_shards.read_shards(spark, out).count() == token_shards.read_pieces(spark, out).count() == 0
 
 
 def test_tokens_equal_the_tokenizer():

@@ -53,15 +53,25 @@ def test_op1_sharding(spark, sf_dir, documents):
 
 
 def test_op2_token_shards(spark, sf_dir, true_ids):
-    got = REGISTRY["op2_token_shards"](spark, sf_dir).toPandas().sort_values("slot")
-    assert got.slot.tolist() == list(range(len(got)))
-    assert sum(map(len, true_ids.values())) == got.n_tokens.sum()
-    for r in got.itertuples():
+    got = REGISTRY["op2_token_shards"](spark, sf_dir).toPandas().sort_values(["slot", "offset"])
+    assert got.slot.unique().tolist() == list(range(got.slot.max() + 1))
+    total = sum(map(len, true_ids.values()))
+    assert total == got.n_tokens.sum()
+    covered = got.sort_values(["doc_id", "start"]).groupby("doc_id")
+    assert set(covered.groups) == set(true_ids)
+    for doc_id, rows in covered:
+        assert rows.start.tolist() == [0, *rows.n_tokens.cumsum()[:-1]] and rows.n_tokens.sum() == len(true_ids[doc_id])
+    for slot, rows in got.groupby("slot"):
         record = np.zeros(token_shards.STRIDE, dtype="<u2")
-        part = true_ids[r.doc_id][r.start : r.start + token_shards.STRIDE]
-        record[: len(part)] = part
-        assert (r.n_tokens, r.record_crc32) == (len(part), zlib.crc32(record.tobytes()))
-        assert r.byte_offset == r.slot % token_shards.PER_SHARD * r.stride_bytes
+        for r in rows.itertuples():
+            record[r.offset : r.offset + r.n_tokens] = true_ids[r.doc_id][r.start : r.start + r.n_tokens]
+        assert rows.offset.tolist() == [0, *rows.n_tokens.cumsum()[:-1]]
+        assert set(rows.record_crc32) == {zlib.crc32(record.tobytes())}
+        assert set(rows.stride_bytes) == {2 * token_shards.STRIDE + 2}
+        assert set(rows.byte_offset) == {slot % token_shards.PER_SHARD * (2 * token_shards.STRIDE + 2)}
+    # one padded record a task at most
+    tasks = spark.read.parquet(f"{sf_dir}/documents.parquet").rdd.getNumPartitions()
+    assert (got.slot.max() + 1) * token_shards.STRIDE - total < tasks * token_shards.STRIDE
 
 
 def test_op3_quality_keeps_good_text(spark, sf_dir):
