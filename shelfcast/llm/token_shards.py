@@ -5,9 +5,10 @@ ids; only a task's last sequence is padded. The sequences are numbered from 0
 without gaps, and a keyed Feistel network maps the number to a slot: a permutation of the next power of
 four, walked on until it lands inside the number of sequences. So the order is a permutation, is known
 from the key alone, and needs no sort of random numbers and no table of its own. Slots are cut into ranges, the shards; a shard is
-one file, sorted by slot. A record is the ids as little-endian numbers of two bytes (four for vocabularies above 65,536) and one
-more number that is always the padding id. So slot s is at byte ``s % per_shard * record_bytes`` of the file of shard
-``s // per_shard``: a reader seeks there, reads on, and can stop and go on anywhere (``read_records``).
+one file, sorted by slot. A record is its slot in eight bytes, the ids in two bytes each (four for vocabularies above 65,536) and one
+more id that is always the padding, all little-endian. So slot s is at byte ``s % per_shard * record_bytes`` of the file of shard
+``s // per_shard``: a reader seeks there, reads on, and can stop and go on anywhere (``read_records``). Spark reads the files in
+splits of whole records, whatever a shard's size; that reader gives an RDD, the only one here (``read_shards``).
 
 Folders under ``out``: ``records``, the files; ``pieces``, per slot what it holds: document, first id there, place in the record,
 length; ``files``, per shard its file, first slot and number of records; ``layout``, one row, written last.
@@ -18,12 +19,14 @@ an empty table writes no file; further columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +81,7 @@ class Filler:
 
     def _start(self) -> None:
         self.records: list[bytes] = []
+        self.sums: list[int] = []
         self.ends = [0]
         self.pieces: tuple[list, list, list, list] = ([], [], [], [])
 
@@ -98,6 +102,7 @@ class Filler:
         if self.used:
             self.parts.append(np.full(self.stride - self.used, PAD_ID, dtype=self.kind))
             self.records.append(np.concatenate(self.parts).tobytes())
+            self.sums.append(zlib.crc32(self.records[-1]))
             self.ends.append(len(self.pieces[0]))
             self.parts, self.used = [], 0
 
@@ -108,7 +113,8 @@ class Filler:
         columns = [pa.array(c[:until], k) for c, k in zip(self.pieces, kinds)]
         inside = pa.StructArray.from_arrays(columns, ["doc_id", "start", "offset", "n_tokens"])
         lists = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), inside)
-        batch = pa.RecordBatch.from_arrays([lists, pa.array(self.records, pa.binary())], ["pieces", "ids"])
+        sums, records = pa.array(self.sums, pa.int64()), pa.array(self.records, pa.binary())
+        batch = pa.RecordBatch.from_arrays([lists, sums, records], ["pieces", "record_crc32", "ids"])
         rest = tuple(c[until:] for c in self.pieces)
         self._start()
         self.pieces = rest
@@ -132,7 +138,7 @@ def sequences(docs: DataFrame, path: str, key: str, text: str, stride: int) -> D
             yield filler.taken()
 
     read = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return read.mapInArrow(cut, f"pieces array<{PIECE}>, ids binary")
+    return read.mapInArrow(cut, f"pieces array<{PIECE}>, record_crc32 long, ids binary")
 
 
 def id_type(path: str) -> str:
@@ -150,7 +156,7 @@ def numbered(found: DataFrame) -> tuple[DataFrame, int]:
     starts = runs.select("run", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
     count = rows.count()
     number = (F.col("earlier") + F.col("at") - F.col("first")).alias("number")
-    return rows.join(F.broadcast(starts), "run").select(number, "pieces", "ids"), count
+    return rows.join(F.broadcast(starts), "run").select(number, "pieces", "record_crc32", "ids"), count
 
 
 def write_shards(
@@ -167,45 +173,57 @@ def write_shards(
     spark, path = docs.sparkSession, path or tokens.default_path()
     rows, count = numbered(sequences(docs, path, key, text, stride))
     id_bytes = np.dtype(id_type(path)).itemsize
-    record_bytes = (stride + 1) * id_bytes
+    record_bytes = 8 + (stride + 1) * id_bytes
 
     def slots(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for numbers in batches:
             yield pd.Series(permuted(numbers.to_numpy(), count, seed))
 
-    shard = F.floor(F.col("slot") / per_shard)
-    placed = rows.withColumn("slot", F.pandas_udf(slots, "long")("number")).withColumn("shard", shard)
-    placed.select("slot", "pieces", F.crc32("ids").alias("record_crc32")).write.option("compression", "zstd").parquet(f"{out}/pieces")
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Slots, and records compressed for the exchange."""
+        codec = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            slot = permuted(batch.column("number").to_numpy(), count, seed)
+            ids = pa.array([codec.compress(r.as_buffer()) for r in batch.column("ids")], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per_shard), ids], ["slot", "shard", "ids"])
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = zstandard.ZstdDecompressor()
+        for batch in batches:
+            heads = batch.column("slot").to_numpy().astype("<i8")
+            value = [h.tobytes() + codec.decompress(r.as_buffer()) for h, r in zip(heads, batch.column("ids"))]
+            places = [batch.column("shard"), batch.column("slot")]
+            yield pa.RecordBatch.from_arrays([*places, pa.array(value, pa.binary())], ["shard", "slot", "value"])
+
+    held = rows.select(F.pandas_udf(slots, "long")("number").alias("slot"), "pieces", "record_crc32")
+    held.write.option("compression", "zstd").parquet(f"{out}/pieces")
     if count:
         shards = -(-count // per_shard)
         # slots are a permutation, so ranges of them are even without sampling
         each = -(-shards // MOST_WRITERS)
         (
-            placed.repartitionById(-(-shards // each), F.floor(F.col("shard") / each).cast("int"))
+            rows.select("number", "ids")
+            .mapInArrow(packed, "slot long, shard long, ids binary")
+            .repartitionById(-(-shards // each), F.floor(F.col("shard") / each).cast("int"))
+            .mapInArrow(unpacked, "shard long, slot long, value binary")
+            # the last step before the write, so that this is the order in the file
             .sortWithinPartitions("shard", "slot")
-            # a line of text is its bytes as they are, and a line's end the number that ends a record
-            .select("shard", F.col("ids").cast("string").alias("value"))
+            # a line of text is its bytes as they are, and a line's end the id that ends a record
+            .select("shard", F.col("value").cast("string").alias("value"))
             .write.partitionBy("shard")
             .option("lineSep", chr(PAD_ID) * id_bytes)
             .text(f"{out}/records")
         )
-        found = _binary(spark, out).select(
-            "shard",
-            "path",
-            (F.col("shard") * per_shard).alias("first_slot"),
-            F.expr(f"length div {record_bytes}").alias("n_records"),
-        )
-        found.write.parquet(f"{out}/files")
+        files = spark.read.format("binaryFile").load(f"{out}/records")
+        own = F.col("shard").cast("long")
+        files.select(
+            own.alias("shard"), "path", (own * per_shard).alias("first_slot"), F.expr(f"length div {record_bytes}").alias("n_records")
+        ).write.parquet(f"{out}/files")
     layout = [(count, per_shard, stride, id_bytes, record_bytes, seed)]
     spark.createDataFrame(layout, LAYOUT).coalesce(1).write.json(f"{out}/layout")
     return count
 
 
-def _binary(spark: SparkSession, out: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(f"{out}/records")
-    return files.select(F.col("shard").cast("long").alias("shard"), "path", "length", "content")
-
-
 def layout(spark: SparkSession, out: str) -> Row:
     """How the records of ``out`` lie."""
     return spark.read.schema(LAYOUT).json(f"{out}/layout").first()
@@ -213,24 +231,21 @@ def layout(spark: SparkSession, out: str) -> Row:
 
 def read_shards(spark: SparkSession, out: str, first_slot: int = 0) -> DataFrame:
     """The records of the files from ``first_slot`` on, with where they lie; only its shard and later ones are opened."""
-    told = layout(spark, out)
-    if not told.n_records:
-        return spark.createDataFrame([], "slot long, shard long, byte_offset long, ids binary")
-    size, start = told.record_bytes, F.col("shard") * told.per_shard
-    first = F.greatest(F.lit(0), F.lit(first_slot) - start)
-    record = F.transform(
-        F.sequence(first, F.expr(f"length div {size}") - 1),
-        lambda i: F.struct(
-            (start + i).alias("slot"),
-            (i * size).alias("byte_offset"),
-            F.substring("content", (i * size + 1).cast("int"), F.lit(told.stride * told.id_bytes)).alias("ids"),
-        ),
-    )
-    opened = _binary(spark, out).where(F.col("shard") >= first_slot // told.per_shard)
-    # a first slot behind the last record leaves nothing of its shard
-    opened = opened.where(first < F.expr(f"length div {size}"))
-    rows = opened.select("shard", F.explode(record).alias("r"))
-    return rows.select("r.slot", "shard", "r.byte_offset", "r.ids")
+    told, kind = layout(spark, out), "slot long, ids binary"
+    if first_slot >= told.n_records:
+        rows = spark.createDataFrame([], kind)
+    else:
+        first, last = first_slot // told.per_shard, (told.n_records - 1) // told.per_shard
+        paths = [f"{out}/records/shard={k}" for k in range(first, last + 1)] if first else [f"{out}/records/*"]
+        end = told.id_bytes
+
+        def parts(records: Iterator[bytes]) -> Iterator[tuple[int, bytes]]:
+            return ((int.from_bytes(r[:8], "little"), r[8:-end]) for r in records)
+
+        found = spark.sparkContext.binaryRecords(",".join(paths), told.record_bytes).mapPartitions(parts)
+        rows = spark.createDataFrame(found, kind, verifySchema=False).where(F.col("slot") >= first_slot)
+    place = F.col("slot") % told.per_shard * told.record_bytes
+    return rows.select("slot", F.expr(f"slot div {told.per_shard}").alias("shard"), place.alias("byte_offset"), "ids")
 
 
 def read_pieces(spark: SparkSession, out: str) -> DataFrame:
@@ -240,7 +255,8 @@ def read_pieces(spark: SparkSession, out: str) -> DataFrame:
 
 
 def read_records(file: BinaryIO, slot: int, n: int, told: Row) -> np.ndarray:
-    """Up to ``n`` records of an open shard file from ``slot`` on, a row each: one seek, one read."""
+    """Up to ``n`` records of an open shard file from ``slot`` on, with their slots: one seek, one read."""
     file.seek(slot % told.per_shard * told.record_bytes)
-    read = file.read(n * told.record_bytes)
-    return np.frombuffer(read, f"<u{told.id_bytes}").reshape(-1, told.stride + 1)[:, :-1]
+    ids = f"<u{told.id_bytes}"
+    kind = np.dtype([("slot", "<i8"), ("ids", ids, told.stride), ("end", ids)])
+    return np.frombuffer(file.read(n * told.record_bytes), kind)

@@ -159,7 +159,8 @@ def test_token_shards_round_trip_seek_and_resume(spark, docs, no_docs, monkeypat
         with open(held.path.removeprefix("file:"), "rb") as file:
             read = token_shards.read_records(file, slot, 3, told)
         assert len(read) == min(3, held.first_slot + held.n_records - slot)
-        assert [row.tobytes() for row in read] == [records[slot + k] for k in range(len(read))]
+        assert read["slot"].tolist() == list(range(slot, slot + len(read))) and not read["end"].any()
+        assert [row.tobytes() for row in read["ids"]] == [records[k] for k in read["slot"]]
 
 
 def test_token_shards_of_nothing(spark, no_docs):

@@ -67,8 +67,8 @@ def test_op2_token_shards(spark, sf_dir, true_ids):
             record[r.offset : r.offset + r.n_tokens] = true_ids[r.doc_id][r.start : r.start + r.n_tokens]
         assert rows.offset.tolist() == [0, *rows.n_tokens.cumsum()[:-1]]
         assert set(rows.record_crc32) == {zlib.crc32(record.tobytes())}
-        assert set(rows.stride_bytes) == {2 * token_shards.STRIDE + 2}
-        assert set(rows.byte_offset) == {slot % token_shards.PER_SHARD * (2 * token_shards.STRIDE + 2)}
+        assert set(rows.stride_bytes) == {8 + 2 * token_shards.STRIDE + 2}
+        assert set(rows.byte_offset) == {slot % token_shards.PER_SHARD * (8 + 2 * token_shards.STRIDE + 2)}
     # one padded record a task at most
     tasks = spark.read.parquet(f"{sf_dir}/documents.parquet").rdd.getNumPartitions()
     assert (got.slot.max() + 1) * token_shards.STRIDE - total < tasks * token_shards.STRIDE
