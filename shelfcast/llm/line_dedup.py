@@ -23,6 +23,8 @@ from shelfcast.llm.common import stored, whole_row
 
 WIDTH = 3
 DOC = ["unknown", "doc_id", "text_hash"]
+# what equal windows share, and what the second hash starts from
+SAME, SEED = ["window", "evidence"], 1
 
 
 def lines_of(text: str | Column) -> Column:
@@ -40,8 +42,11 @@ def _named(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
 
 
 def windows(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """One row per window: the document, the position of its first line, and a hash of its lines."""
-    hashes = F.transform(F.col("lines"), lambda line: F.xxhash64(line))
+    """One row per window: the document, the position of its first line, and two hashes of its lines.
+
+    The second starts from another seed, so windows are taken as equal on 128 bits.
+    """
+    hashes = F.transform(F.col("lines"), lambda line: F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(SEED), line).alias("b")))
     blank = F.transform(F.col("lines"), lambda line: F.trim(line) == "")
     starts = F.when(F.size("lines") >= width, F.sequence(F.lit(0), F.size("lines") - width))
 
@@ -50,7 +55,8 @@ def windows(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         empty = F.lit(True)
         for k in range(width):
             empty = empty & F.get(F.col("blank"), i + k)
-        return F.when(~empty, F.struct(i.alias("position"), F.xxhash64(*parts).alias("window")))
+        names = (("window", "a"), ("evidence", "b"))
+        return F.when(~empty, F.struct(i.alias("position"), *[F.xxhash64(*[p[h] for p in parts]).alias(n) for n, h in names]))
 
     return (
         _named(docs, key, text)
@@ -58,17 +64,17 @@ def windows(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         .select(*DOC, "lines", hashes.alias("hashes"), blank.alias("blank"))
         .select(*DOC, F.explode(F.transform(starts, window)).alias("w"))
         .where(F.col("w").isNotNull())
-        .select(*DOC, "w.position", "w.window")
+        .select(*DOC, "w.position", *[f"w.{c}" for c in SAME])
     )
 
 
 def repeats(found: DataFrame) -> DataFrame:
     """The occurrences that go: all but the first of every window that occurs more than once."""
     first = F.min(F.struct(*DOC, "position"))
-    common = found.groupBy("window").agg(first.alias("first"), F.max(F.struct(*DOC, "position")).alias("last"))
+    common = found.groupBy(*SAME).agg(first.alias("first"), F.max(F.struct(*DOC, "position")).alias("last"))
     common = common.where(F.col("first") != F.col("last")).drop("last")
     return (
-        found.join(common, "window")
+        found.join(common, SAME)
         .where(F.struct(*DOC, "position") != F.col("first"))
         .select(*DOC, "position")
     )

@@ -5,11 +5,14 @@ import re
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pytest
+from cases import frame
 from compare import connect, spark_result, sql_result, type_differences
 
 from shelfcast.llm import ngram_join, token_shards, tokens
+from shelfcast.llm.common import stored
 from shelfcast.llm.queries import ORACLE, REGISTRY
 
 
@@ -192,8 +195,6 @@ def test_op13_token_counts(spark, sf_dir, documents):
 
 
 def test_pipeline(spark, sf_dir, documents, true_ids):
-    import corpus_pipeline
-
     got = corpus_pipeline.run(spark, sf_dir).toPandas()
     kept = set(got.doc_id)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").toPandas().set_index("doc_id").quality
@@ -203,3 +204,41 @@ def test_pipeline(spark, sf_dir, documents, true_ids):
     assert len({group[i] for i in kept}) == len(kept)
     assert {group[i] for i in labels[labels == 1].index} <= {group[i] for i in kept}
     assert got.groupby("doc_id").length.sum().to_dict() == {i: len(true_ids[i]) for i in kept}
+
+
+@pytest.fixture(scope="module")
+def small_dir(spark, tmp_path_factory):
+    """Documents with nulls, empty and long texts, copies, repeated rows and clashing names, half of them trusted."""
+    at = str(tmp_path_factory.mktemp("cases"))
+    docs = frame(spark)
+    docs.repartition(3, "doc_id").write.parquet(f"{at}/documents.parquet")
+    docs.where("doc_id >= 100").selectExpr("doc_id", "cast(doc_id % 2 as int) AS quality").write.parquet(f"{at}/labels.parquet")
+    return at
+
+
+def test_pipeline_stages_on_cases(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    columns, before = docs.columns, None
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, small_dir), f"case-{name}")
+        assert docs.columns == columns
+        rows = Counter(map(tuple, docs.select("doc_id", "text", "row", "lane").collect()))
+        assert not before or not rows - before
+        if name == "exact":
+            plain = [re.sub(r"[ \t-\r]+", " ", text or "") for _, text, _, _ in rows.elements()]
+            assert len(plain) == len(set(plain))
+            assert len(plain) == len({re.sub(r"[ \t-\r]+", " ", text or "") for _, text, _, _ in before})
+        if name == "mix":
+            assert rows == before
+        before = rows
+    pieces = corpus_pipeline.pack(spark, docs, small_dir).toPandas()
+    ids = {i for i, *_ in before}
+    assert set(pieces.doc_id.dropna().astype(int)) == {i for i in ids if i is not None}
+    assert pieces.doc_id.isna().any() == (None in ids)
+
+
+def test_pipeline_of_nothing(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, small_dir), f"none-{name}")
+        assert docs.count() == 0
