@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; ``run`` writes
 every stage's result as Parquet to the shared folder and reads it back for the next one.
+
+Cases: a document with a null identifier, null language or null source goes through like others; null and empty texts are one text,
+of which one document stays; of repeated rows one stays; an empty table gives an empty result; further columns are kept by
+all stages but the last, under their own names.
 """
 
 from __future__ import annotations
