@@ -7,7 +7,9 @@ an n-gram is one 64-bit number. All trusted documents are counted, whole.
    that occurs in it once, and adds the counts of its trusted documents. Requests are cut into shards by a hash of the n-gram.
 2. From the summed counts follow continuation counts, discounts and back-off weights of every order, and the
    probability of every n-gram that was asked for, all by joins and groupings.
-3. Requests meet the probabilities by shard; the answers go back to their blocks, where the documents are scored.
+3. Requests meet the probabilities by shard; the answers go back to their blocks, where the documents are scored. A shard's
+   requests grow with the text and its probabilities hardly do, so blocks are dealt to lanes: as many as
+   keep a shard's requests of one lane at ``LANE_BYTES``, each with the shard's probabilities.
 
 So what is exchanged is each block's distinct n-grams instead of every occurrence, and no table is held whole
 anywhere.
@@ -45,6 +47,8 @@ from shelfcast.llm.shingles import mixed
 
 ORDER = 5
 BLOCK_BYTES = 6_000_000
+# n-grams that the blocks of a lane ask of a shard, at 8 bytes each
+LANE_BYTES = 64_000_000
 # identifiers of trusted documents that may be sent to every executor: 16 bytes each
 BROADCAST_ROWS = 2_000_000
 # share of a language's trusted documents below the threshold, and how many it takes for a median of its own; a quantile
@@ -137,11 +141,12 @@ def requests(flagged: DataFrame, text: str, order: int, shards: int) -> DataFram
                     pa.array([keys[p] for p in parts], pa.list_(pa.int64())),
                     pa.array([counts[p] for p in parts], pa.list_(pa.int64())),
                     pa.array([half[p] for p in parts], pa.list_(pa.int64())),
+                    pa.array([len(p) for p in parts], pa.int32()),
                 ],
-                ["block", "checksum", "shard", "grams", "counts", "half"],
+                ["block", "checksum", "shard", "grams", "counts", "half", "n_grams"],
             )
 
-    kind = "block long, checksum long, shard int, grams array<long>, counts array<long>, half array<long>"
+    kind = "block long, checksum long, shard int, grams array<long>, counts array<long>, half array<long>, n_grams int"
     return flagged.select(text, "trusted", "held_out").mapInArrow(ask, kind)
 
 
@@ -198,7 +203,13 @@ def probabilities(asked: DataFrame, models: list[str], order: int = ORDER) -> Da
     return below
 
 
-def answers(asked: DataFrame, found: DataFrame, shards: int) -> DataFrame:
+def lanes_of(asked: DataFrame, shards: int) -> int:
+    """How many lanes the blocks are dealt to, from the number of n-grams that they ask for."""
+    total = asked.agg(F.sum("n_grams")).first()[0] or 0
+    return max(1, -(-8 * total // (shards * LANE_BYTES)))
+
+
+def answers(asked: DataFrame, found: DataFrame, shards: int, lanes: int) -> DataFrame:
     """Per block and shard: the logarithms of both models' probabilities, in the order of the request's n-grams."""
 
     @F.pandas_udf("int")
@@ -212,14 +223,16 @@ def answers(asked: DataFrame, found: DataFrame, shards: int) -> DataFrame:
         out = requested[["block", "checksum", "shard"]].copy()
         for name in ("whole", "half"):
             logs = np.log(table[name].to_numpy()).astype(np.float32)
-            out[name] = [logs[i].tobytes() for i in at]
+            out[name] = pd.Series([logs[i].tobytes() for i in at], index=out.index, dtype=object)
         return out
 
-    by_shard = found.select("gram", "whole", "half", shard("gram").alias("shard")).groupBy("shard")
+    own_lane = F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int").alias("lane")
+    every_lane = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane")
+    table = found.select("gram", "whole", "half", shard("gram").alias("shard")).select("*", every_lane)
     return (
-        asked.select("block", "checksum", "shard", "grams")
-        .groupBy("shard")
-        .cogroup(by_shard)
+        asked.select("block", "checksum", "shard", "grams", own_lane)
+        .groupBy("shard", "lane")
+        .cogroup(table.groupBy("shard", "lane"))
         .applyInPandas(reply, "block long, checksum long, shard int, whole binary, half binary")
     )
 
@@ -366,7 +379,8 @@ def _model(flagged: DataFrame, order: int, shards: int) -> DataFrame:
     listed = asked.select(F.explode(F.arrays_zip("grams", "counts", "half")).alias("x"))
     sums = [F.sum("x.counts").alias("whole"), F.sum("x.half").alias("half")]
     table = stored(listed.groupBy(F.col("x.grams").alias("gram")).agg(*sums), "gram-counts")
-    return stored(answers(asked, probabilities(table, ["whole", "half"], order), shards), "answers")
+    found = probabilities(table, ["whole", "half"], order)
+    return stored(answers(asked, found, shards, lanes_of(asked, shards)), "answers")
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:

@@ -271,6 +271,22 @@ def test_language_model_equals_its_definition(spark, docs, no_docs):
     assert nobody.where("kept").count() == sum(bool(r[1]) for r in documents())
 
 
+def test_language_model_answers_the_same_in_many_lanes(spark, docs, monkeypatch):
+    ids = spark.createDataFrame([(i,) for i in range(60)], "doc_id long")
+    columns = ["doc_id", "n_bytes", "log_perplexity", "limit", "kept"]
+
+    def rows():
+        return sorted(language_model.perplexities(docs, ids, order=3).select(*columns).collect(), key=str)
+
+    whole, dealt = rows(), []
+    # small blocks, so that lanes have several blocks, and some lanes none
+    monkeypatch.setattr(language_model, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(language_model, "LANE_BYTES", 500)
+    lanes_of = language_model.lanes_of
+    monkeypatch.setattr(language_model, "lanes_of", lambda *args: dealt.append(lanes_of(*args)) or dealt[-1])
+    assert rows() == whole and dealt[0] > 3
+
+
 def test_probabilities_of_a_context_add_up(spark):
     seen = Counter()
     for t in ("abracadabra", "banana", "cabbage"):
