@@ -23,6 +23,8 @@ import regex
 END_ID = 2
 CHUNK_CHARS = 4_000_000
 MOST_CACHED = 300_000
+# stands between the words' ids while they are worked out; no vocabulary has so many ids
+WORD_END = np.uint32(0xFFFFFFFF)
 
 # printable Latin-1 without the no-break space, and line feeds: no normalisation changes these but lower case
 PLAIN = regex.compile(r"[\x21-\x7e\xa1-\xff\n]+")
@@ -59,56 +61,55 @@ class WordIds:
             raise ValueError("the vocabulary does not split words as this module does")
         self.pieces = regex.compile(PIECES + r"|\n")
         self.characters = _byte_characters()
-        self.known: dict[str, bytes] = {"\n": b""}
+        self.known: dict[str, bytes] = {"\n": WORD_END.tobytes()}
 
     def _learn(self, pieces: list[str]) -> None:
         """Cache the ids of pieces that are new."""
         if len(self.known) > MOST_CACHED:
-            self.known = {"\n": b""}
-        tokenize = self.tokenizer.model.tokenize
-        for piece in set(pieces).difference(self.known):
-            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.characters)
-            self.known[piece] = array("I", [t.id for t in tokenize(shown)]).tobytes()
-
-    def _plain(self, joined: str) -> tuple[bytes, np.ndarray]:
-        """Ids of words that are joined by line feeds and end with one, and how many each has."""
+            self.known = {"\n": WORD_END.tobytes()}
+        tokenize, new = self.tokenizer.model.tokenize, list(set(pieces).difference(self.known))
+        shown = [p if p.isascii() else p.encode().decode("latin-1").translate(self.characters) for p in new]
+        self.known.update(zip(new, [array("I", [t.id for t in tokenize(p)]).tobytes() for p in shown]))
+
+    def _plain(self, joined: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that end with a line feed each, and where each word's ids end."""
         pieces = self.pieces.findall(joined.lower())
         self._learn(pieces)
-        found = [self.known[p] for p in pieces]
-        until = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])
-        ends = np.flatnonzero(np.fromiter((p == "\n" for p in pieces), bool, len(pieces)))
-        return b"".join(found), np.diff(until[ends], prepend=0)
-
-    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words one after the other, and how many each has."""
-        joined = "\n".join(words) + "\n"
-        if PLAIN.fullmatch(joined) and not any(s in joined for s in self.special):
-            data, sizes = self._plain(joined)
-            return np.frombuffer(data, np.uint32), sizes
+        ids = np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.uint32)
+        ends = np.flatnonzero(ids == WORD_END)
+        return ids[ids != WORD_END], ends - np.arange(len(ends))
+
+    def _is_plain(self, joined: str) -> bool:
+        return bool(PLAIN.fullmatch(joined)) and not any(s in joined for s in self.special)
+
+    def _ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after the other, and where each word's end."""
+        line, nothing = (pa.scalar(x, pa.large_string()) for x in ("\n", ""))
+        joined = pc.binary_join_element_wise(words, line, nothing).buffers()[2].to_pybytes().decode()
+        if self._is_plain(joined):
+            return self._plain(joined)
         parts, sizes = [], np.zeros(len(words), np.int64)
-        for i, w in enumerate(words):
-            if PLAIN.fullmatch(w) and not any(s in w for s in self.special):
-                data = self._plain(w + "\n")[0]
+        for i, w in enumerate(words.to_pylist()):
+            if self._is_plain(w):
+                part = self._plain(w + "\n")[0]
             else:
-                data = array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
-            parts.append(data)
-            sizes[i] = len(data) // 4
-        return np.frombuffer(b"".join(parts), np.uint32), sizes
+                part = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
+            parts.append(part)
+            sizes[i] = len(part)
+        return np.concatenate(parts), np.cumsum(sizes)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each has."""
         split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
         words, ends = split.flatten(), split.offsets.to_numpy()
-        coded = words.dictionary_encode()
         if not len(words):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        store, sizes = self._ids_of(coded.dictionary.to_pylist())
-        starts = np.cumsum(sizes) - sizes
-        codes = coded.indices.to_numpy()
-        lengths = sizes[codes]
-        until = np.concatenate([[0], np.cumsum(lengths)])
-        shift = np.repeat(starts[codes] - until[:-1], lengths)
-        return store[np.arange(until[-1]) + shift], until[ends[1:]] - until[ends[:-1]]
+        coded = words.dictionary_encode()
+        store, until = self._ids_of(coded.dictionary)
+        each = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], until])), pa.array(store))
+        laid = each.take(coded.indices)
+        until = laid.offsets.to_numpy()
+        return laid.values.to_numpy(), until[ends[1:]] - until[ends[:-1]]
 
 
 def worker_cache(path: str) -> WordIds:
