@@ -12,9 +12,9 @@ from shelfcast.sources.sinks import write_snapshot
 def waits(appearances: DataFrame, enriched: DataFrame, day: str = "appeared_on") -> DataFrame:
     """Days from release to each appearance, for items with a publisher and a release date."""
     known = enriched.where(F.col("publisher").isNotNull() & F.col("released").isNotNull())
-    return appearances.join(known.select("game_id", "publisher", "released", "metacritic"), "game_id").withColumn(
-        "wait_days", F.datediff(day, "released")
-    )
+    # both sides grow with the items, and a file's size says little about the rows made from it: never broadcast
+    known = known.select("game_id", "publisher", "released", "metacritic").hint("merge")
+    return appearances.join(known, "game_id").withColumn("wait_days", F.datediff(day, "released"))
 
 
 def first_waits(histories: DataFrame, enriched: DataFrame) -> DataFrame:

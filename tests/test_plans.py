@@ -1,13 +1,15 @@
 """Shapes of the plans that matter at scale."""
 
 import random
+from functools import partial
 
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from shelfcast.operators import demand, snapshots, titles
+from shelfcast.operators import demand, model, snapshots, titles
 from shelfcast.operators.keyed_scan import period_openers
+from shelfcast.plans import queries
 from shelfcast.plans.queries import REGISTRY
 
 
@@ -102,3 +104,46 @@ def test_a_lookup_shuffles_what_is_asked_and_not_the_snapshot(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     # 100 keys occur twice and read as absent
     assert sum(r.fresh for r in rows) == sum(100 <= 7 * i < 2900 for i in range(500))
+
+
+def unmeasured_broadcasts(text, sf_dir):
+    """Scans of supplied tables below a broadcast with no shuffle, which would measure the rows, between the two."""
+    found, above = [], []
+    for line in text.split("== Initial Plan ==")[-1].splitlines():
+        node = line.lstrip(" :+-*|")
+        depth = len(line) - len(node)
+        above = [(d, n) for d, n in above if d < depth]
+        if node.startswith("FileScan") and f"{sf_dir}/" in node:
+            for _, name in reversed(above):
+                if name.startswith("Exchange"):
+                    break
+                if name.startswith("BroadcastExchange"):
+                    found.append(node)
+                    break
+        above.append((depth, node))
+    return found
+
+
+@pytest.fixture
+def plans(spark, monkeypatch):
+    """The plans of all that is written meanwhile."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    seen, write = [], DataFrame.write.fget
+    monkeypatch.setattr(DataFrame, "write", property(lambda df: (seen.append(plan(df)), write(df))[1]))
+    return seen
+
+
+UNMEASURED = [
+    "publisher_stats",
+]
+
+
+@pytest.mark.parametrize("name", UNMEASURED)
+def test_supplied_rows_are_not_broadcast_by_the_size_of_their_file(spark, sf_dir, plans, monkeypatch, name):
+    """A file's size says little about the rows made from it, which the driver would have to hold."""
+    # one small model has the plans of all
+    monkeypatch.setattr(model, "fit_trees", partial(model.fit_trees, rounds=1, depth=1))
+    monkeypatch.setattr(queries, "SERVICES", ["epic"])
+    plans.append(plan(REGISTRY[name](spark, sf_dir)))
+    assert [x for text in plans for x in unmeasured_broadcasts(text, sf_dir)] == []
