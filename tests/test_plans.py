@@ -136,6 +136,7 @@ def plans(spark, monkeypatch):
 
 UNMEASURED = [
     "publisher_stats",
+    "publisher_first_match",
 ]
 
 
