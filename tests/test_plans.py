@@ -137,6 +137,7 @@ def plans(spark, monkeypatch):
 UNMEASURED = [
     "publisher_stats",
     "publisher_first_match",
+    "feature_rows",
 ]
 
 
