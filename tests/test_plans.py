@@ -139,6 +139,7 @@ UNMEASURED = [
     "publisher_first_match",
     "feature_rows",
     "estimate_postprocessed",
+    "estimate_json",
 ]
 
 
