@@ -54,9 +54,11 @@ def fit_trees(features: DataFrame, seed: int = 42, rounds: int = 10, depth: int
     through the driver. The training rows are written once: fitting reads them repeatedly.
     """
     spark = features.sparkSession
-    usable = features.where((F.col("path") == KNOWN) & F.col("wait_days").isNotNull())
-    usable = usable.select(*[i.column().alias(i.name()) for i in INPUTS], F.col("wait_days").cast("double").alias("wait_days"))
-    training = spark.read.schema(usable.schema).parquet(write_snapshot(usable, new_path(spark, "training")))
+    usable = features.where(F.col("wait_days").isNotNull()).select(
+        "path", *[i.column().alias(i.name()) for i in INPUTS], F.col("wait_days").cast("double").alias("wait_days")
+    )
+    # the path is asked for after writing: before, it would make the features' left join an inner one, whose items could be broadcast
+    training = spark.read.schema(usable.schema).parquet(write_snapshot(usable, new_path(spark, "training"))).where(F.col("path") == KNOWN)
     if training.isEmpty():
         return spark.createDataFrame([], NODE)
     vectors = VectorAssembler(inputCols=[i.name() for i in INPUTS], outputCol="features").transform(training)

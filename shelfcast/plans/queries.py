@@ -447,7 +447,7 @@ def _epic_trees(spark: SparkSession, sf_dir: str, features: DataFrame) -> DataFr
     """The first service's model, whose statistics are those of the feature rows, as node rows."""
     seen = history.item_histories(derived.appearances(spark, sf_dir).where(F.col("platform") == "epic"))
     first = publishers.first_waits(seen, cat.enrich(derived.catalogue(spark, sf_dir)))
-    return model.fit_trees(features.join(first.select("game_id", "wait_days"), "game_id"))
+    return model.fit_trees(features.join(first.select("game_id", "wait_days").hint("merge"), "game_id"))
 
 
 @query

@@ -140,6 +140,7 @@ UNMEASURED = [
     "feature_rows",
     "estimate_postprocessed",
     "estimate_json",
+    "estimate_model",
 ]
 
 
