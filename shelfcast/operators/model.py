@@ -165,8 +165,8 @@ def held_out_errors(items: DataFrame, first: DataFrame, platforms: list[str], **
     for platform in platforms:
         features = service_features(items, known, codes, platform)
         waited = first.where(F.col("platform") == platform).select("game_id", "wait_days")
-        nodes = fit_trees(features.join(waited.where(~out), "game_id"), **how)
-        tested = features.join(waited.where(out), "game_id").withColumn("days", days_column(nodes))
+        nodes = fit_trees(features.join(waited.where(~out).hint("merge"), "game_id"), **how)
+        tested = features.join(waited.where(out).hint("merge"), "game_id").withColumn("days", days_column(nodes))
         scored = F.col("days").isNotNull()
 
         def error(c: str, scored: Column = scored) -> Column:

@@ -141,6 +141,7 @@ UNMEASURED = [
     "estimate_postprocessed",
     "estimate_json",
     "estimate_model",
+    "model_errors",
 ]
 
 
