@@ -146,7 +146,7 @@ def wait_predictions(items: DataFrame, first: DataFrame, platforms: list[str], *
     for platform in platforms:
         features = service_features(items, first, codes, platform)
         waited = first.where(F.col("platform") == platform).select("game_id", "wait_days")
-        nodes = fit_trees(features.join(waited, "game_id"), **how)
+        nodes = fit_trees(features.join(waited.hint("merge"), "game_id"), **how)
         rows = features.select("game_id", F.lit(platform).alias("platform"), days_column(nodes).alias("predicted_days"))
         rows.write.mode("append").parquet(path)
     return spark.read.schema("game_id long, platform string, predicted_days double").parquet(path)

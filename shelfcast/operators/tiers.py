@@ -54,14 +54,14 @@ def tiered_estimates(
 
     ``items(game_id, platform, publisher, metacritic, released)`` is joined to
     the history and statistics of the same platform; both are unique on the join
-    keys, so no row multiplies, and small sides are broadcast by the adaptive
-    planner from their measured size. ``predicted_days`` defaults to the
+    keys, so no row multiplies. The history grows with the items and is never
+    broadcast; small sides are, by the adaptive planner from their measured size. ``predicted_days`` defaults to the
     publisher's mean wait.
     """
     stats = publisher_stats.select("publisher", "platform", "games_count", "avg_wait_days", "consistency")
     owned = first_party.select("publisher", "platform").distinct().withColumn("owned", F.lit(True))
     joined = (
-        items.join(history, ["game_id", "platform"], "left")
+        items.join(history.hint("merge"), ["game_id", "platform"], "left")
         .join(stats, ["publisher", "platform"], "left")
         .join(owned, ["publisher", "platform"], "left")
     )

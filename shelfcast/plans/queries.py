@@ -477,7 +477,7 @@ def tiered_estimate_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     histories, stats = _histories(spark, sf_dir)
     first = publishers.first_waits(histories, cat.enrich(derived.catalogue(spark, sf_dir)))
     predicted = model.wait_predictions(_items(spark, sf_dir), first, SERVICES)
-    items = _items_on_platforms(spark, sf_dir).join(predicted, ["game_id", "platform"], "left")
+    items = _items_on_platforms(spark, sf_dir).join(predicted.hint("merge"), ["game_id", "platform"], "left")
     rows = tiers.tiered_estimates(
         items, history.summary_of(histories), stats, derived.first_party(spark, sf_dir), history_day(),
         predicted_days=F.coalesce("predicted_days", "avg_wait_days"),

@@ -142,6 +142,7 @@ UNMEASURED = [
     "estimate_json",
     "estimate_model",
     "model_errors",
+    "tiered_estimate_model",
 ]
 
 
