@@ -52,7 +52,7 @@ def title_candidates(
         F.desc("shared"), F.asc("n_words"), F.asc("n_chars"), F.asc("game_id")
     )
     ranked = found.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= size)
-    return asked.join(ranked, "query_words").select("query_id", "rank", "game_id", "name", "shared")
+    return asked.hint("merge").join(ranked, "query_words").select("query_id", "rank", "game_id", "name", "shared")
 
 
 def hot_words(searches: DataFrame, listed: DataFrame, hot_pairs: int) -> DataFrame:
@@ -68,10 +68,10 @@ def hot_words(searches: DataFrame, listed: DataFrame, hot_pairs: int) -> DataFra
 
 
 def _with_hot(rows: DataFrame, key: list[str], column: str, hot: DataFrame) -> DataFrame:
-    """Adds the row's hot words, sorted."""
-    hits = rows.select(*key, F.explode(column).alias("word")).join(hot, "word")
+    """Adds the row's hot words, sorted; only the list of hot words may be broadcast, never the rows."""
+    hits = rows.select(*key, F.explode(column).alias("word")).join(hot, "word", "left_semi")
     lists = hits.groupBy(*key).agg(F.array_sort(F.collect_set("word")).alias("hot"))
-    return rows.join(lists, key, "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<string>")))
+    return rows.join(lists.hint("merge"), key, "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<string>")))
 
 
 def _ranking_columns() -> list[Column]:
@@ -97,7 +97,7 @@ def _through_rare_words(searches: DataFrame, listed: DataFrame) -> DataFrame:
     # the smallest shared rare word keeps the pair
     keeper = F.array_min(F.array_intersect("rare", "title_words"))
     return (
-        by_query.join(by_title, "word")
+        by_query.join(by_title.hint("merge"), "word")
         .where(F.col("word") == keeper)
         .select("query_words", "game_id", "name", "n_words", "n_chars", F.size(shared).cast("bigint").alias("shared"))
     )

@@ -143,6 +143,7 @@ UNMEASURED = [
     "estimate_model",
     "model_errors",
     "tiered_estimate_model",
+    "title_candidates",
 ]
 
 
