@@ -165,13 +165,13 @@ def answer_batch(
 
     latest = last_openers(decided, RESULT_KEYS, before)
     after = FlowState(
-        written(latest.join(results, latest["id"] == results["stored_by"]).drop("stored_by"), "stored-results"),
+        written(latest.join(results.hint("merge"), latest["id"] == results["stored_by"]).drop("stored_by"), "stored-results"),
         written(last_openers(voted, VOTE_KEYS, cooling), "cooldowns"),
         written(merge_counts(state.board, counts) if state else counts, "board"),
     )
     columns = ["request_id", "status", "game", "platform", "source", "stored_by"]
     status = F.when(F.col("source") == ERROR, STATUS_ERROR).otherwise(STATUS_OK).alias("status")
-    with_result = voted.withColumn("status", status).select(*columns, "voted").join(results, "stored_by", "left")
+    with_result = voted.withColumn("status", status).select(*columns, "voted").join(results.hint("merge"), "stored_by", "left")
     without = decided.where(~((F.col("source") == HIT) | stored())).withColumn("status", status)
     refused = rq.rejected(requests).select("request_id", "status", F.lit(False).alias("voted"))
     answers = (
