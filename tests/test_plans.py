@@ -146,6 +146,7 @@ UNMEASURED = [
     "title_candidates",
     "title_candidates_hot_words",
     "request_pipeline_batches",
+    "request_pipeline_board",
 ]
 
 
