@@ -147,6 +147,7 @@ UNMEASURED = [
     "title_candidates_hot_words",
     "request_pipeline_batches",
     "request_pipeline_board",
+    "request_pipeline_cache",
 ]
 
 
