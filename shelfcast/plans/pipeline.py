@@ -110,7 +110,7 @@ def responses(
     voted = with_votes(
         decided.where(has_result).select(*columns, "ts", "client_ip", "game_key", "is_local"), hot_rows=hot_rows
     ).select(*columns, "voted")
-    with_result = voted.join(scored_results(decided, stats, codes, days), "stored_by", "left")
+    with_result = voted.join(scored_results(decided, stats, codes, days).hint("merge"), "stored_by", "left")
     without = decided.where(~has_result).select(*columns, F.lit(False).alias("voted"))
     refused = rq.rejected(requests).select("request_id", "status", F.lit(False).alias("voted"))
     return (

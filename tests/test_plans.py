@@ -148,6 +148,7 @@ UNMEASURED = [
     "request_pipeline_batches",
     "request_pipeline_board",
     "request_pipeline_cache",
+    "request_pipeline_model",
 ]
 
 
@@ -159,3 +160,8 @@ def test_supplied_rows_are_not_broadcast_by_the_size_of_their_file(spark, sf_dir
     monkeypatch.setattr(queries, "SERVICES", ["epic"])
     plans.append(plan(REGISTRY[name](spark, sf_dir)))
     assert [x for text in plans for x in unmeasured_broadcasts(text, sf_dir)] == []
+
+
+def test_stored_results_are_not_broadcast(spark, sf_dir):
+    for name in ("request_pipeline", "request_pipeline_batches"):
+        assert "SortMergeJoin [stored_by" in plan(REGISTRY[name](spark, sf_dir))
