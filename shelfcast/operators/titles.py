@@ -42,8 +42,9 @@ def title_candidates(
 
     hot = hot_words(searches, listed, hot_pairs)
     if hot.take(1):
-        searches = _with_hot(searches, ["query_words"], "query_words", hot)
-        listed = _with_hot(listed, ["game_id", "name", "title_words"], "title_words", hot)
+        # written once: pairs are found in several ways, and all of them read both
+        searches = _written(_with_hot(searches, ["query_words"], "query_words", hot), "searches")
+        listed = _written(_with_hot(listed, ["game_id", "name", "title_words"], "title_words", hot), "listed-titles")
         found = _through_rare_words(searches, listed).unionByName(_through_hot_sets(searches, listed, size))
     else:
         none = F.array().cast("array<string>")
@@ -61,10 +62,14 @@ def hot_words(searches: DataFrame, listed: DataFrame, hot_pairs: int) -> DataFra
     def counts(rows: DataFrame, column: str, name: str) -> DataFrame:
         return rows.select(F.explode(column).alias("word")).groupBy("word").agg(F.count("*").alias(name))
 
-    both = counts(searches, "query_words", "queries").join(counts(listed, "title_words", "titles"), "word")
-    found = both.where(F.col("queries").cast("double") * F.col("titles") > hot_pairs).select("word")
-    spark = searches.sparkSession
-    return spark.read.schema(found.schema).parquet(write_snapshot(found, new_path(spark, "hot-words")))
+    # both lists of words grow with the rows
+    both = counts(listed, "title_words", "titles").join(counts(searches, "query_words", "queries").hint("merge"), "word")
+    return _written(both.where(F.col("queries").cast("double") * F.col("titles") > hot_pairs).select("word"), "hot-words")
+
+
+def _written(rows: DataFrame, name: str) -> DataFrame:
+    spark = rows.sparkSession
+    return spark.read.schema(rows.schema).parquet(write_snapshot(rows, new_path(spark, name)))
 
 
 def _with_hot(rows: DataFrame, key: list[str], column: str, hot: DataFrame) -> DataFrame:
@@ -125,21 +130,32 @@ def _through_hot_sets(searches: DataFrame, listed: DataFrame, size: int) -> Data
         .drop("hot", "place")
     )
     shared = F.size(F.array_intersect("query_words", "title_words")).cast("bigint").alias("shared")
-    read = searches.where(narrow).select("query_words", F.explode(_sets(F.col("hot"))).alias("held")).join(lists, "held")
+    read = searches.where(narrow).select("query_words", F.explode(_sets(F.col("hot"))).alias("held")).join(lists.hint("merge"), "held")
     # what shares more than the list's words is on a longer list, or shares a word that is not hot
     found = read.select("query_words", "held", "game_id", "name", "n_words", "n_chars", shared).where(F.size("held") == F.col("shared"))
-    wide = _word_by_word(searches, listed.where(~narrow)).unionByName(_word_by_word(searches.where(~narrow), listed.where(narrow)))
-    return found.drop("held").unionByName(wide)
+    found = found.drop("held")
+    # either side may have no wide rows, and then the other is not read
+    if listed.where(~narrow).take(1):
+        found = found.unionByName(_word_by_word(_by_query(searches), _by_title(listed.where(~narrow))))
+    if searches.where(~narrow).take(1):
+        found = found.unionByName(_word_by_word(_by_title(listed.where(narrow)), _by_query(searches.where(~narrow))))
+    return found
+
+
+def _by_query(searches: DataFrame) -> DataFrame:
+    return searches.select("query_words", "hot", F.explode("hot").alias("word"))
+
+
+def _by_title(listed: DataFrame) -> DataFrame:
+    return listed.withColumnRenamed("hot", "title_hot").withColumn("word", F.explode("title_hot"))
 
 
-def _word_by_word(searches: DataFrame, listed: DataFrame) -> DataFrame:
-    """The pairs that share hot words only, one by one."""
-    by_title = listed.withColumnRenamed("hot", "title_hot").withColumn("word", F.explode("title_hot"))
-    by_query = searches.select("query_words", "hot", F.explode("hot").alias("word"))
+def _word_by_word(rows: DataFrame, wide: DataFrame) -> DataFrame:
+    """The pairs that share hot words only, one by one; a task holds the wide rows of a word and passes over the others."""
     common = F.array_intersect("hot", "title_hot")
     shared = F.size(F.array_intersect("query_words", "title_words"))
     return (
-        by_query.join(by_title, "word")
+        rows.join(wide.hint("merge"), "word")
         # the smallest common hot word keeps the pair
         .where((F.col("word") == F.array_min(common)) & (F.size(common) == shared))
         .select("query_words", "game_id", "name", "n_words", "n_chars", shared.cast("bigint").alias("shared"))

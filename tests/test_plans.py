@@ -163,6 +163,27 @@ def test_supplied_rows_are_not_broadcast_by_the_size_of_their_file(spark, sf_dir
     assert [x for text in plans for x in unmeasured_broadcasts(text, sf_dir)] == []
 
 
+def test_only_hot_words_are_broadcast_to_searches_and_titles(spark, plans, tmp_path):
+    """What is made from a row after its shuffle is not measured, and a broadcast once planned stays."""
+    common = [f"w{i}" for i in range(titles.WIDE + 2)]
+    names = {i: " ".join([*(common if i % 3 == 0 else common[i % 5 : i % 5 + 3]), f"t{i}"]) for i in range(60)}
+    typed = {i: " ".join(common[1:] if i % 2 else [*common[i % 4 : i % 4 + 2], f"t{i}"]) for i in range(12)}
+    # small files, as planned by their size
+    spark.createDataFrame(list(names.items()), "game_id bigint, name string").write.parquet(f"{tmp_path}/titles")
+    spark.createDataFrame(list(typed.items()), "query_id bigint, query string").write.parquet(f"{tmp_path}/queries")
+    df = titles.title_candidates(spark.read.parquet(f"{tmp_path}/queries"), spark.read.parquet(f"{tmp_path}/titles"), hot_pairs=30)
+    plans.append(plan(df))
+    joins = [line for text in plans for line in text.splitlines() if "BroadcastHashJoin" in line]
+    assert joins and [line for line in joins if "LeftSemi" not in line] == []
+
+    expected = set()
+    for q, text in typed.items():
+        shared = {g: len(set(text.split()) & set(name.split())) for g, name in names.items()}
+        best = sorted((g for g in names if shared[g]), key=lambda g: (-shared[g], len(names[g].split()), len(names[g]), g))
+        expected |= {(q, rank, g, shared[g]) for rank, g in enumerate(best[:5], 1)}
+    assert {(r.query_id, r.rank, r.game_id, r.shared) for r in df.collect()} == expected
+
+
 def test_stored_results_are_not_broadcast(spark, sf_dir):
     for name in ("request_pipeline", "request_pipeline_batches"):
         assert "SortMergeJoin [stored_by" in plan(REGISTRY[name](spark, sf_dir))
